@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, packing, tiff, token_counts, toxicity, url_filter, warc
+from . import mixing, ngram_join, packing, tiff, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_media_columns": tiff.op7_media_columns,
