@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, ngram_join, packing, tiff, token_counts, toxicity, url_filter, warc
+from . import mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_join": ngram_join.op4_ngram_join,
