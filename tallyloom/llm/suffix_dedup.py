@@ -284,9 +284,11 @@ def neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, np.where(after < 0, -1, len(order) - 1 - after)
 
 
-def previous_factor(text: np.ndarray, depth: int) -> np.ndarray:
-    """For each place, the length of the longest string there that also starts earlier, up to depth."""
+def previous_factor(text: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each place, the length of the longest string there that also starts earlier, up to depth. starts: the only places that count, as booleans."""
     order, levels = suffix_array(text, depth)
+    if starts is not None:
+        order = order[starts[order]]
     out = np.zeros(len(text), np.int64)
     for other in neighbours(order):
         use = other >= 0
@@ -311,11 +313,13 @@ def _factors(least: int):
         doc = np.array([r[1] for r in rows], np.int64)
         place, tag, back, more = unpack(np.array([r[2] for r in rows], np.int64))
         begin = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])[:-1]])
-        # Only strings inside a context count, not those across two.
-        factor = previous_factor(text, least)
         n = more + 1
         row = np.repeat(np.arange(len(rows)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # Only strings inside a context count, not those across two.
+        inside = np.zeros(len(text), bool)
+        inside[begin[row] + within] = True
+        factor = previous_factor(text, least, inside)
         hit = factor[begin[row] + within] >= least
         row, within = row[hit], within[hit]
         lo = (place - back)[row] + within
