@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
+from . import fingerprints, mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_media_columns": tiff.op7_media_columns,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {"op2_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE}
