@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numbers, text, vectors
 from ..operators import analyze as an
-from ..operators import cells, charts, derive, search
+from ..operators import cells, charts, chunks, derive, search
 from ..operators import compare as cmp
+from ..sources import archive
 from ..sources import catalog as cat
+from ..streaming import progress
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -466,3 +468,21 @@ def set_ops(spark, d):
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_keys"))
     keys = s.select("s_nationkey")
     return count(c.intersect(keys), "both").union(count(c.union(keys).distinct(), "either")).union(count(n.exceptAll(s.where("s_suppkey < 20").select("s_nationkey").distinct()), "one"))
+
+
+@query(None)
+def html_block_source(spark, d):
+    return archive.html_blocks(read(spark, d, "pages"))
+
+
+@query("SELECT c_mktsegment || ' ' || c_nationkey AS key, 'labels' AS chunk_kind, 0 AS chunk_no, c_mktsegment || ' ' || string_agg(c_name, ' | ' ORDER BY c_custkey) AS search_text FROM customer WHERE c_custkey < 1000 GROUP BY c_mktsegment, c_nationkey HAVING length(c_mktsegment || ' ' || string_agg(c_name, ' | ')) <= 800")
+def chunk_labels(spark, d):
+    c = read(spark, d, "customer").where("c_custkey < 1000").groupBy("c_mktsegment", "c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("labels"))
+    rows = c.select(F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("key"), F.col("c_mktsegment").alias("heading"), "labels")
+    return chunks.chunks(rows, "key", "heading", "labels", "labels")
+
+
+@query("SELECT user_id::VARCHAR AS job_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status, count(*) AS n_events FROM events GROUP BY 1")
+def latest_progress(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.lit("").alias("stage"), F.lit(0).alias("progress"), F.lit("").alias("message"), F.col("ts").alias("created_at"))
+    return progress.latest(e).select("job_id", "event_id", "status", "n_events")
