@@ -16,7 +16,10 @@ gives an empty result. Very long texts are tokenised word by word with a bounded
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -26,13 +29,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize, table
+from .token_counts import byte_symbols
 
 MAX_LEN = 2048
 END_ID = 1
-#: So many words are kept in a worker; past that, only those of the batch at hand stay.
-CACHE = 600_000
+#: So many words are kept in a worker; past that, it starts anew.
+CACHE = 800_000
+LONGEST_KEPT = 64
 #: So many texts are tokenised at a time.
 TEXTS = 512
+#: The vocabulary's own pattern of pieces, for ASCII in lower case.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk int"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "chunk"]
 #: Slots of a pattern at most, so that the number of patterns stays small.
@@ -42,64 +49,57 @@ PATTERN_LIMIT = 64
 class WordIds:
     """Token ids as little-endian 32-bit bytes, for vocabularies that fold case, drop white space and mark the ends of words.
 
-    Such a vocabulary's ids of a text are those of its words one after another. Words of
-    letters alone are made by the library many at a time, and told apart by the ids
-    that end a word; the ids of such words are kept. A comma or the like that ends a word, and
-    ASCII capitals, are taken off first.
+    Such a vocabulary's ids of a text are those of its pieces one after another. Words of
+    letters, with or without a comma or the like at the end, and other words of printable
+    ASCII are split here, and the library's model gives the ids of the pieces; both
+    are kept. Any other word goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.known: dict[str, bytes] = {"": b""}
+        self.bases: dict[str, bytes] = {}
+        self.pieces = re.compile(PIECES, re.ASCII).findall
         self.marks = {m: self.encode(m) for m in ".,;:!?"}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            return {w: self.encode(w) for w in words}
-        raw, out, at = ids.tobytes(), {}, 0
-        for w, stop in zip(words, stops.tolist(), strict=True):
-            out[w] = raw[4 * at : 4 * stop]
-            at = stop
-        return out
-
-    def forms(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each of these words."""
-        parts, rest = {}, []
-        for word in words:
-            mark = word[-1:] if word[-1:] in self.marks else ""
-            base = word[: len(word) - len(mark)]
-            base = base.lower() if base.isascii() else base
-            if base.isalpha() and (base.isascii() or base.lower().isalpha()):
-                parts[word] = (base, mark)
-            else:
-                rest.append(word)
-        bases = {b for b, _ in parts.values()}
-        new = [b for b in bases if b not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            keep = {b: self.known[b] for b in bases if b in self.known}
-            self.known.clear()
-            self.known.update(keep)
-        for at in range(0, len(new), 20_000):
-            self.known.update(self.learn(new[at : at + 20_000]))
-        out = {w: self.known[b] + self.marks[m] if m else self.known[b] for w, (b, m) in parts.items()}
-        out.update((w, self.encode(w) if w else b"") for w in rest)
-        return out
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A piece in lower case."""
+        got = self.bases.get(piece)
+        if got is None:
+            symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            got = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if len(piece) <= LONGEST_KEPT:
+                self.bases[piece] = got
+        return got
+
+    def word(self, word: str) -> bytes:
+        mark = word[-1] if word[-1] in self.marks else ""
+        base = word[:-1] if mark else word
+        low = base.lower()
+        if low.isalpha() and (low.isascii() or base.isalpha() and "Σ" not in base):
+            ids = self.piece(low if low.isascii() else unicodedata.normalize("NFC", base).lower())
+            return ids + self.marks[mark] if mark else ids
+        if word.isascii() and word.isprintable() and "<|" not in word:
+            return b"".join(map(self.piece, self.pieces(word.lower())))
+        return self.encode(word)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        forms = self.forms(set().union(*split))
-        return [b"".join(map(forms.__getitem__, words)) for words in split]
+        words = set().union(*split)
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+            self.bases = {}
+        known, word = self.known, self.word
+        for w in words.difference(known):
+            known[w] = word(w)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _tokenizers: dict[str, WordIds] = {}
