@@ -284,10 +284,11 @@ def tree_join(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: i
     return out + [(i, np.array(x, np.int64)) for i, x in back.items()]
 
 
-def _unit(rows: list[tuple], num: int, den: int) -> pa.RecordBatch:
-    """rows: (node, copies, block, tokens) of one unit. Gives node, root and links for the linked ones."""
+def _unit(rows: list[tuple], cross: bool, num: int, den: int) -> pa.RecordBatch:
+    """rows: (node, copies, block, tokens) of one unit; cross: only links across its two blocks. Gives node, root and links for the linked ones."""
+    if cross and len({r[2] for r in rows}) < 2:
+        rows = []
     nodes, copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-    cross = len({r[2] for r in rows}) > 1
     up = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -297,7 +298,7 @@ def _unit(rows: list[tuple], num: int, den: int) -> pa.RecordBatch:
         return i
 
     links = np.zeros(len(rows), np.int64)
-    for i, js in tree_join([r[3] for r in rows], [r[2] for r in rows] if cross else None, num, den):
+    for i, js in tree_join([r[3] for r in rows], [r[2] for r in rows] if cross else None, num, den) if rows else []:
         if len(js):
             links[i] += copies[js].sum()
             a = root(i)
@@ -314,11 +315,11 @@ def _units(num: int, den: int):
             for r in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "node", "copies", "block", "tokens")), strict=True):
                 if r[:3] != key:
                     if len(held) > 1:
-                        yield _unit(held, num, den)
+                        yield _unit(held, key[1] != key[2], num, den)
                     held, key = [], r[:3]
                 held.append((*r[3:6], np.frombuffer(r[6], U)))
         if len(held) > 1:
-            yield _unit(held, num, den)
+            yield _unit(held, key[1] != key[2], num, den)
 
     return run
 

@@ -38,13 +38,14 @@ RECORDS_SCHEMA = (
 
 
 def dedup_plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html, n, digest, original: original is the page_id that a revisit refers to, else null."""
+    """row, page_id, url, html, n, digest, original, first: original is the page_id that a revisit refers to, else null; first marks the response that it is."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    firsts = rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("newest"))
-    joined = rows.join(firsts, rows["digest"] == firsts["d"], "left")
-    return joined.withColumn("original", F.when((F.col("n") >= least) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))), F.col("newest"))).drop("d", "newest")
+    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("row", F.monotonically_increasing_id())
+    firsts = rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("page_id", -F.col("row"))).alias("top"))
+    joined = rows.join(firsts, rows["digest"] == firsts["d"], "left").withColumn("newest", F.col("top.page_id"))
+    original = F.when((F.col("n") >= least) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))), F.col("newest"))
+    return joined.withColumn("original", original).withColumn("first", (F.col("n") >= least) & (F.col("row") == -F.col("top.col2"))).drop("d", "top", "newest")
 
 
 def _record_id(*cols):
@@ -62,9 +63,9 @@ def _record(kind, rid, url, kind_of, body, *more):
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    plan = dedup_plan(pages).withColumn("row", F.monotonically_increasing_id())
-    # One response for each digest and page id stands for those that repeat it.
-    rid = _record_id(F.lit("capture"), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(F.col("original").isNotNull() | (F.col("n") < LEAST_REVISIT), F.col("row").cast("string")))
+    plan = dedup_plan(pages)
+    # The response that revisits refer to is known by digest and page id; all else, rows that repeat it too, by the row as well.
+    rid = _record_id(F.lit("capture"), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(~F.coalesce("first", F.lit(False)), F.col("row").cast("string")))
     plan = plan.withColumn("rid", rid).withColumn("revisit", F.col("original").isNotNull())
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(END))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
@@ -162,8 +163,7 @@ def op2_warc(spark, sf_dir):
     write_archives(table(spark, sf_dir, "pages"), path)
     records = read_archives(spark, path, with_payload=False).drop("headers", "payload")
     whole = assemble(records)
-    # A response that repeats page_id and payload shares its record id: once is enough to resolve revisits.
-    originals = whole.where(F.col("capture.type") == "response").groupBy(F.col("rid").alias("o")).agg(F.max("metadata.page_id").alias("original_page"), F.max("capture.payload_bytes").alias("original_bytes"), F.max("capture.payload_digest").alias("original_digest"))
+    originals = whole.where(F.col("capture.type") == "response").select(F.col("rid").alias("o"), F.col("metadata.page_id").alias("original_page"), F.col("capture.payload_bytes").alias("original_bytes"), F.col("capture.payload_digest").alias("original_digest"))
     revisit = F.col("capture.type") == "revisit"
     found = whole.join(originals, whole["refers_to"] == originals["o"], "left")
     return found.select(

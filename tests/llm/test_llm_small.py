@@ -156,7 +156,8 @@ def test_warc(spark, tmp_path):
     assert records.count() == 27 and records.where("payload_digest <> declared_digest AND type = 'response'").count() == 0
     whole = warc.assemble(records)
     assert whole.where("request IS NULL OR metadata IS NULL").count() == 0
-    kinds = collections.Counter((r["metadata"]["page_id"], r["capture"]["type"]) for r in whole.select("metadata", "capture").distinct().collect())
+    kinds = collections.Counter((r["metadata"]["page_id"], r["capture"]["type"]) for r in whole.select("metadata", "capture").collect())
+    assert whole.count() == 9 and kinds[3, "response"] == 2
     assert {k for k, t in kinds if t == "revisit"} == {1, 2, None} and (3, "response") in kinds
     assert warc.write_archives(pages.limit(0), path + "-none") is None
 
