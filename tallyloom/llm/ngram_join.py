@@ -5,8 +5,8 @@ linked at all is found without loss: two sets of similarity t or more differ in
 (1 - t) / t times the smaller size, so of that many parts of the hash space and one more, cut in global
 order, one part holds the same n-grams in both. Every class gives a hash for each of its parts, under
 its own range of sizes and the next; equal hashes are candidates, kept as stars
-around the least member, not as pairs. (A set that leaves so many parts empty that this
-argument fails, which needs a freak of hashing, is a candidate of all such sets of its range.)
+around the least member, not as pairs. Parts leave out n-grams that very many texts have, by
+a sketch of all counts, unless too few others are left.
 
 The classes of a connected group of candidates meet in one task, or, where they have
 more than BLOCK n-grams in all, block by block. There the sets, in a common order with the most
@@ -24,6 +24,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,8 +39,9 @@ from .components import connected_components
 CACHE = 600_000
 #: N-grams in all that one task of the tree join holds of a block.
 BLOCK = 3_000_000
-NONE = -(1 << 63)
 U = np.uint64
+#: Buckets of the sketch of frequent n-grams, by the upper bits of their hashes, and slices in which it is summed.
+BUCKETS, SLICES, SHIFT = 1 << 22, 64, np.uint64(42)
 
 
 class WordHashes(dict):
@@ -99,26 +102,91 @@ class Ranges:
         return need, need if need == 1 else need + 1 + need // 16
 
 
-def part_hashes(h: np.ndarray, ranges: Ranges) -> np.ndarray:
-    out = []
-    r = ranges.of(len(h))
+def part_hashes(h: np.ndarray, size: int, ranges: Ranges, space: int = 0) -> tuple[np.ndarray, bool]:
+    """Hashes of the parts of h, all or some n-grams of a set of that size, under its range and the next; and whether they are enough.
+
+    A set of n differs from any linked one in d = n (1 - t) / t at most. Of p parts that
+    aren't empty, p - d or more are equal in both; so either may leave out half of p - d - 1, and one is
+    still given by both. The parts of fewest n-grams are left out: they are equal by chance most often.
+    """
+    out, enough = [], True
+    r = ranges.of(size)
     salted = mixed(h + U(1))
+    differ = size * (ranges.den - ranges.num) // ranges.num
     for key in (r, r + 1):
-        need, parts = ranges.parts(key)
+        _, parts = ranges.parts(key)
         part = ((h >> U(32)) * U(parts)) >> U(32)
-        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        sums = np.add.reduceat(salted, starts)
-        out.append(mixed(sums ^ mixed(part[starts] * U(1 << 20) + U(key + 1))))
-        if len(starts) < need:
-            out.append(mixed(np.array([key + (1 << 40)], U)))
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1]) if len(h) else np.zeros(0, np.int64)
+        spare = (len(starts) - differ - 1) // 2
+        enough &= len(starts) > differ
+        if not len(starts):
+            continue
+        hashes = mixed(np.add.reduceat(salted, starts) ^ mixed(part[starts] * U(1 << 20) + U((space << 50) + key + 1)))
+        if spare > 0:
+            sizes = np.diff(np.concatenate([starts, [len(h)]]))
+            hashes = hashes[np.argsort(sizes, kind="stable")[spare:]]
+        out.append(hashes)
+    return np.concatenate(out) if out else np.zeros(0, U), enough
+
+
+def candidate_hashes(h: np.ndarray, frequent: np.ndarray, ranges: Ranges) -> np.ndarray:
+    """Hashes of which two linked sets have one in common.
+
+    Parts are made of the n-grams that aren't frequent, since passages that many texts share make
+    parts equal too often; two sets differ no more in these than in all. Sets that have too few of them for
+    the argument meet by the parts of all their n-grams, and those that fail even so by their range.
+    """
+    rare, enough = part_hashes(h[~frequent[h >> SHIFT]], len(h), ranges)
+    if enough:
+        return rare
+    full, enough = part_hashes(h, len(h), ranges, 1)
+    out = [rare, full]
+    if not enough:
+        r = ranges.of(len(h))
+        out.append(mixed(np.array([r + (1 << 40), r + 1 + (1 << 40)], U)))
     return np.concatenate(out)
 
 
-def _candidates(num: int, den: int, n: int):
+def _count(n: int):
+    """Rows (slice, counts): how many n-grams of the task's texts fall into each bucket of each slice of the sketch."""
+
+    def run(batches):
+        words, counts = WordHashes(), np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(counts, shingle_set(text, words, n) >> SHIFT, 1)
+        if counts.any():
+            for k, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _frequent(batches):
+    """Rows (slice, bits): the buckets that hold far more than their share."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            one = np.frombuffer(zlib.decompress(c), "<u2").astype(np.int64)
+            sums[k] = sums[k] + one if k in sums else one
+    if sums:
+        bits = [np.packbits(c > c.mean() + 6 * np.sqrt(c.mean()) + 4).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["slice", "counts"])
+
+
+def frequent_buckets(rows: DataFrame, n: int) -> bytes:
+    """One bit for each of BUCKETS buckets of n-grams, from all texts: 512 KB, whatever the data's size."""
+    merged = rows.select("text").mapInArrow(_count(n), "slice int, counts binary").repartition("slice").mapInArrow(_frequent, "slice int, counts binary")
+    found = dict(map(tuple, merged.collect()))  # SLICES rows of 8 KB
+    return b"".join(bytes(found.get(k, b"\0" * (BUCKETS // SLICES // 8))) for k in range(SLICES))
+
+
+def _candidates(num: int, den: int, n: int, bits: bytes):
     """Rows (key, a, b): b = -1: a part's hash and a class; b = -2: classes key and a are candidates; else class, document id and set size."""
 
     def run(batches):
         words, ranges = WordHashes(), Ranges(num, den)
+        frequent = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for whole in batches:
             for first in range(0, max(whole.num_rows, 1), 2000):
                 batch = whole.slice(first, 2000)
@@ -131,7 +199,7 @@ def _candidates(num: int, den: int, n: int):
                     sizes.append(len(h))
                     if len(h) and node not in seen:
                         seen.add(node)
-                        k = part_hashes(h, ranges)
+                        k = candidate_hashes(h, frequent, ranges)
                         keys.append(k)
                         owners.append(np.full(len(k), node, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), ids, pa.array(sizes, pa.int64())], ["key", "a", "b"])
@@ -331,7 +399,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     document links with, component_id the least id that its links reach.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    emitted = rows.mapInArrow(_candidates(num, den, words), "key long, a long, b long")
+    emitted = rows.mapInArrow(_candidates(num, den, words, frequent_buckets(rows, words)), "key long, a long, b long")
     # Part hashes are dealt by hash, all else evenly.
     dealt = emitted.repartition(F.when(F.col("b") == -1, F.col("key")).otherwise(F.xxhash64("a", "b", "key")))
     found = materialize(dealt.mapInArrow(_stars, "key long, a long, b long"), "candidates")
