@@ -4,8 +4,9 @@ A document longer than a sequence is cut into whole sequences and a remainder. T
 histogram of piece lengths has at most max_len entries whatever the data's size, so it
 comes to the driver; there the lengths are placed longest first, all pieces of a length
 at once, each into the packing pattern with the least room that still holds it, and the
-counts of the patterns are updated. A pattern that is used for n sequences owns, for each
-of its slots, a run of n ranks of that slot's length. The runs are then joined back to
+counts of the patterns are updated. A pattern's slots are kept as (length, times), so that
+a sequence may hold as many pieces as fit. A pattern that is used for n sequences owns, for each
+such entry, a run of n * times ranks of that length. The runs are then joined back to
 the pieces by length and rank. A rank is counted in chunks of a length, so that a length that
 many documents share is spread over tasks.
 
@@ -42,8 +43,6 @@ TEXTS = 512
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk int"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "chunk"]
-#: Slots of a pattern at most, so that the number of patterns stays small.
-PATTERN_LIMIT = 64
 
 
 class WordIds:
@@ -129,18 +128,18 @@ def cut_pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, chunks: int =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES_SCHEMA)
 
 
-def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, tuple[int, ...]]]:
-    """Packing patterns as (number of sequences, lengths of the slots).
+def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Packing patterns as (number of sequences, slots), the slots as (length, times).
 
     Lengths are placed longest first. The n pieces of a length go to the pattern with the least room
-    that is enough, as many as it has sequences; those sequences become a pattern of their own with one slot
+    that is enough, as many as it has sequences; those sequences become a pattern of their own with one entry
     more. What finds no room opens new sequences. A pattern takes a length several times
     over while it has room.
     """
-    by_room: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
+    by_room: dict[int, dict[tuple[tuple[int, int], ...], int]] = defaultdict(lambda: defaultdict(int))
     rooms: list[int] = []  # ascending, of patterns in use
 
-    def add(room: int, slots: tuple[int, ...], n: int) -> None:
+    def add(room: int, slots: tuple[tuple[int, int], ...], n: int) -> None:
         if not by_room[room]:
             bisect.insort(rooms, room)
         by_room[room][slots] += n
@@ -149,41 +148,39 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> li
         left = histogram[length]
         while left:
             at = bisect.bisect_left(rooms, length)
-            while at < len(rooms) and not any(len(s) < PATTERN_LIMIT for s in by_room[rooms[at]]):
-                at += 1
             if at == len(rooms):
                 # New sequences: as many slots of this length as fit, for the pieces that are left.
-                fit = min(max_len // length, PATTERN_LIMIT)
+                fit = max_len // length
                 n, rest = divmod(left, fit)
                 if n:
-                    add(max_len - fit * length, (length,) * fit, n)
+                    add(max_len - fit * length, ((length, fit),), n)
                 if rest:
-                    add(max_len - rest * length, (length,) * rest, 1)
+                    add(max_len - rest * length, ((length, rest),), 1)
                 break
             room = rooms[at]
-            slots = min(s for s in by_room[room] if len(s) < PATTERN_LIMIT)
+            slots = min(by_room[room])
             have = by_room[room][slots]
-            fit = min(room // length, PATTERN_LIMIT - len(slots))
+            fit = room // length
             n, times = (min(have, left // fit), fit) if left >= fit else (1, left)
             by_room[room][slots] -= n
             if not by_room[room][slots]:
                 del by_room[room][slots]
                 if not by_room[room]:
                     rooms.remove(room)
-            add(room - times * length, slots + (length,) * times, n)
+            add(room - times * length, (*slots, (length, times)), n)
             left -= n * times
     return [(n, slots) for room in sorted(by_room) for slots, n in sorted(by_room[room].items(), reverse=True)]
 
 
-def runs_of(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) for each slot of each pattern."""
+def runs_of(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, sequences, first sequence, offset) for each entry of each pattern; its ranks fill a slot of all sequences, then the next slot."""
     out, used, sequence = [], defaultdict(int), 0
     for n, slots in patterns:
         offset = 0
-        for length in slots:
-            out.append((length, used[length], used[length] + n, sequence, offset))
-            used[length] += n
-            offset += length
+        for length, times in slots:
+            out.append((length, used[length], n, sequence, offset))
+            used[length] += n * times
+            offset += length * times
         sequence += n
     return out
 
@@ -197,24 +194,25 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, id_col: str = "doc_
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     runs = runs_of(shortest_pack_first(histogram, max_len))
     # So many runs at most for each length, so that the join by length and range stays bounded: the run's place is found by bisection.
-    by_length: dict[int, tuple[list[int], list[tuple[int, int]]]] = {}
-    for length, first, _, sequence, offset in runs:
-        firsts, places = by_length.setdefault(length, ([], []))
-        firsts.append(first)
-        places.append((sequence, offset))
-    found = spark.createDataFrame([(k, f, [s for s, _ in p], [o for _, o in p]) for k, (f, p) in by_length.items()], "l long, firsts array<long>, sequences array<long>, offsets array<long>")
+    by_length: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
+    for length, *run in runs:
+        for values, x in zip(by_length.setdefault(length, ([], [], [], [])), run, strict=True):
+            values.append(x)
+    found = spark.createDataFrame([(k, *v) for k, v in by_length.items()], "l long, firsts array<long>, widths array<long>, sequences array<long>, offsets array<long>")
     earlier = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     place = F.row_number().over(W.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
     ranked = pieces.withColumn("place", place).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("place") - 1)
     # The runs of a length as sorted arrays: bounded by the number of patterns, so they are sent to all.
-    joined = ranked.join(broadcast_if(found, len(runs), 24), F.col("length") == F.col("l"))
+    joined = ranked.join(broadcast_if(found, len(runs), 32), F.col("length") == F.col("l"))
 
     index = F.size(F.filter("firsts", lambda f: f <= F.col("rank"))) - 1
     at = joined.withColumn("at", index)
+    at = at.withColumns({"within": F.col("rank") - F.get("firsts", F.col("at")), "width": F.get("widths", F.col("at"))})
+    slot = F.expr("within div width")
     return at.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.get("sequences", F.col("at")) + F.col("rank") - F.get("firsts", F.col("at"))).alias("sequence_id"), F.get("offsets", F.col("at")).alias("offset"),
+        (F.get("sequences", F.col("at")) + F.col("within") % F.col("width")).alias("sequence_id"), (F.get("offsets", F.col("at")) + slot * F.col("length")).alias("offset"),
     )
 
 

@@ -207,6 +207,31 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_very_short_texts(spark):
+    path = P.path("word_bpe_49k.json")
+    texts = [None, "", "one", "one two", "the word of it"]
+    short = spark.createDataFrame([(i, texts[i % 5] if i % 7 else None) for i in range(9000)], "doc_id long, text string").repartition(3)
+    got = packing.pack(short, path).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == 9000
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= packing.MAX_LEN
+    # No sequence but the last has room left.
+    assert len(sequences) == -(-sum(r["length"] for r in got) // packing.MAX_LEN)
+    rnd = random.Random(3)
+    histogram = {n: rnd.choice([0, 1, 7, 100_000]) for n in range(1, 2049)}
+    patterns = packing.shortest_pack_first(histogram)
+    placed = collections.Counter()
+    for n, slots in patterns:
+        assert sum(length * times for length, times in slots) <= 2048
+        for length, times in slots:
+            placed[length] += n * times
+    assert placed == collections.Counter({k: v for k, v in histogram.items() if v}) and len(patterns) < 8192
+
+
 def test_word_ids_like_library():
     from tokenizers import Tokenizer
 
