@@ -13,9 +13,9 @@ suffix array is built over the contexts of the anchors that meet in a task, in t
 (id, place). For each suffix, the nearest suffixes above and below that start earlier give the
 longest previous factor; where that reaches `least`, the string is a repeat.
 
-Null and empty texts lose nothing. Rows that share an id are one document with several
-texts: a string is judged by its place in its own text, and rows that are equal
-altogether keep what they have. A null id comes last. An empty table gives an empty result. Anchors
+Null and empty texts lose nothing. Rows are numbered once, in a written table, and come in the order of
+(id, row); so rows that share an id, or have none, are texts of their own, of which the
+later ones lose what the earlier have. A null id comes last. An empty table gives an empty result. Anchors
 are compared by 64-bit hashes of their bytes and of their contexts.
 """
 
@@ -36,7 +36,7 @@ LAST = (1 << 63) - 1
 U = np.uint64
 #: Bytes of text that a map task works on at a time, and of contexts under one suffix array.
 CHUNK, SUFFIXES = 4 << 20, 4 << 20
-#: Place, texts' tag, string starts before the anchor and strings, packed: 32, 15, 8 and 8 bits.
+#: Place, string starts before the anchor and strings, packed: 47, 8 and 8 bits.
 _C = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -103,100 +103,91 @@ def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return text, lo - begin, hi - lo, a - begin, mixed(h[a]), context
 
 
-def tag_of(text: bytes) -> int:
-    """Fifteen bits that tell texts of one id apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little") & 0x7FFF
-
-
-def pack(place, tag, back, more):
-    return (place.astype(np.int64) << 31) | (tag.astype(np.int64) << 16) | (back.astype(np.int64) << 8) | more.astype(np.int64)
+def pack(place, back, more):
+    return (place.astype(np.int64) << 16) | (back.astype(np.int64) << 8) | more.astype(np.int64)
 
 
 def unpack(p: np.ndarray):
-    return p >> 31, (p >> 16) & 0x7FFF, (p >> 8) & 0xFF, p & 0xFF
+    return p >> 16, (p >> 8) & 0xFF, p & 0xFF
 
 
-def spans(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc, tag, spans): the joined ranges of each text, as pairs of 32-bit numbers."""
-    order = np.lexsort((lo, tag, doc))
-    doc, tag, lo, end = doc[order], tag[order], lo[order], end[order]
-    out = ([], [], [])
-    if len(doc):
-        first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+def spans(row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Rows (row, spans): the joined ranges of each text, as pairs of 32-bit numbers."""
+    order = np.lexsort((lo, row))
+    row, lo, end = row[order], lo[order], end[order]
+    out = ([], [])
+    if len(row):
+        first = np.concatenate([[True], row[1:] != row[:-1]])
         group = np.cumsum(first) - 1
         # A running maximum of ends within each text, by lifting each text above the one before.
         lift = group * (1 << 33)
         reach = np.maximum.accumulate(end + lift)
         new = np.concatenate([[True], (lo + lift)[1:] > reach[:-1]])
         at = np.flatnonzero(new)
-        stop = reach[np.concatenate([at[1:] - 1, [len(doc) - 1]])] - lift[at]
+        stop = reach[np.concatenate([at[1:] - 1, [len(row) - 1]])] - lift[at]
         pairs = np.stack([lo[at], stop], 1).astype("<u4")
         heads = np.flatnonzero(first[at])
         for g, (i, j) in enumerate(zip(heads, np.concatenate([heads[1:], [len(at)]]), strict=True)):
             del g
-            out[0].append(int(doc[at[i]]))
-            out[1].append(int(tag[at[i]]))
-            out[2].append(pairs[i:j].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["doc", "tag", "spans"])
+            out[0].append(int(row[at[i]]))
+            out[1].append(pairs[i:j].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["row", "spans"])
 
 
 def _batches(batches):
-    """(ids, texts as bytes) of bounded size."""
-    ids, texts, held = [], [], 0
+    """(ids, rows, texts as bytes) of bounded size."""
+    ids, rows, texts, held = [], [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+        for i, row, t in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
             t = t.as_py()
             data = t.encode("utf-8", "surrogatepass") if t else b""
             ids.append(i)
+            rows.append(row)
             texts.append(data)
             held += len(data)
             if held >= CHUNK:
-                yield np.array(ids, np.int64), texts
-                ids, texts, held = [], [], 0
+                yield np.array(ids, np.int64), np.array(rows, np.int64), texts
+                ids, rows, texts, held = [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield np.array(ids, np.int64), np.array(rows, np.int64), texts
+
 
+ROWS = ["anchor", "context", "doc", "row", "packed", "spans"]
+ROWS_SCHEMA = "anchor long, context long, doc long, row long, packed long, spans binary"
 
-ROWS = ["anchor", "context", "doc", "packed", "spans"]
-ROWS_SCHEMA = "anchor long, context long, doc long, packed long, spans binary"
 
+def _rows(anchor, context, doc, row, packed):
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, context, doc, row, packed)), pa.nulls(len(row), pa.binary())], ROWS)
 
-def _rows(anchor=None, context=None, doc=(), packed=(), found=None):
-    n = len(doc)
-    null = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [null if anchor is None else pa.array(anchor), null if context is None else pa.array(context), pa.array(doc, pa.int64()), pa.array(packed, pa.int64()), pa.nulls(n, pa.binary()) if found is None else found], ROWS
-    )
+
+def _found(s: pa.RecordBatch):
+    null = pa.nulls(s.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([null, null, null, s.column("row"), null, s.column("spans")], ROWS)
 
 
 def _emit(least: int):
     """Anchors, one for each context of the texts at hand, and the ranges of the contexts that repeat there."""
 
     def run(batches):
-        for ids, texts in _batches(batches):
+        for ids, rows, texts in _batches(batches):
             text, lo, more, a, h, c = anchors(texts, least)
             if not len(text):
                 continue
-            tags = np.array([tag_of(t) for t in texts], np.int64)
-            doc, tag = ids[text], tags[text]
-            packed = pack(a, tag, a - lo, more)
-            order = np.lexsort((packed, doc, c))
-            h, c, doc, packed, tag, lo, more = (x[order] for x in (h, c, doc, packed, tag, lo, more))
+            doc, row = ids[text], rows[text]
+            packed = pack(a, a - lo, more)
+            order = np.lexsort((packed, row, doc, c))
+            h, c, doc, row, packed, lo, more = (x[order] for x in (h, c, doc, row, packed, lo, more))
             new = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
-            # Rows of one id at the same place aren't earlier than one another.
-            later = (doc != doc[head]) | (packed >> 31 != packed[head] >> 31)
+            later = ~new
             if later.any():
-                s = spans(doc[later], tag[later], lo[later], lo[later] + more[later] + least)
-                yield _rows(doc=s.column("doc"), packed=s.column("tag"), found=s.column("spans"))
-            keep = ~later
-            yield _rows(h[keep].view(np.int64), c[keep].view(np.int64), doc[keep], packed[keep])
+                yield _found(spans(row[later], lo[later], lo[later] + more[later] + least))
+            yield _rows(h[new].view(np.int64), c[new].view(np.int64), doc[new], row[new], packed[new])
 
     return run
 
 
 def _meet(least: int):
-    """Ranges of contexts that repeat, and the contexts that need their text (anchor, doc, packed; context = 1)."""
+    """Ranges of contexts that repeat, and the contexts that need their text (anchor, doc, row, packed; context = 1)."""
 
     def run(batches):
         parts = []
@@ -206,11 +197,11 @@ def _meet(least: int):
             if ready.num_rows:
                 yield ready
             mine = batch.filter(pc.invert(done))
-            # 32 bytes a row, for the partition at hand.
-            parts.append([mine.column(k).to_numpy(zero_copy_only=False) for k in ROWS[:4]])
+            # 40 bytes a row, for the partition at hand.
+            parts.append([mine.column(k).to_numpy(zero_copy_only=False) for k in ROWS[:5]])
         if not parts:
             return
-        h, c, doc, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, c, doc, row, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         if not len(h):
             return
@@ -218,25 +209,23 @@ def _meet(least: int):
         sorted_h = h[order]
         same = sorted_h[1:] == sorted_h[:-1]
         use = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        h, c, doc, packed = h[use], c[use], doc[use], packed[use]
+        h, c, doc, row, packed = h[use], c[use], doc[use], row[use], packed[use]
         if not len(h):
             return
-        order = np.lexsort((packed, doc, c, h))
-        h, c, doc, packed = (x[order] for x in (h, c, doc, packed))
+        order = np.lexsort((packed, row, doc, c, h))
+        h, c, doc, row, packed = (x[order] for x in (h, c, doc, row, packed))
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
-        place, tag, back, more = unpack(packed)
-        later = (doc != doc[head]) | (place != place[head])
+        later = ~new
         if later.any():
-            lo = place[later] - back[later]
-            s = spans(doc[later], tag[later], lo, lo + more[later] + least)
-            yield _rows(doc=s.column("doc"), packed=s.column("tag"), found=s.column("spans"))
+            place, back, more = unpack(packed[later])
+            lo = place - back
+            yield _found(spans(row[later], lo, lo + more + least))
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new)[group] > 1
-        need = several & ~later
+        need = several & new
         if need.any():
-            yield _rows(h[need], np.ones(need.sum(), np.int64), doc[need], packed[need])
+            yield _rows(h[need], np.ones(need.sum(), np.int64), doc[need], row[need], packed[need])
 
     return run
 
@@ -305,14 +294,14 @@ def previous_factor(text: np.ndarray, depth: int, starts: np.ndarray | None = No
 
 
 def _factors(least: int):
-    """Rows (anchor, doc, packed, piece), sorted by anchor: the repeats among them."""
+    """Rows (anchor, doc, row, packed, piece), sorted by anchor: the repeats among them."""
 
     def found(rows):
-        rows.sort(key=lambda r: (r[1], r[2]))
-        text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        doc = np.array([r[1] for r in rows], np.int64)
-        place, tag, back, more = unpack(np.array([r[2] for r in rows], np.int64))
-        begin = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])[:-1]])
+        rows.sort(key=lambda r: r[1:4])
+        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        number = np.array([r[2] for r in rows], np.int64)
+        place, back, more = unpack(np.array([r[3] for r in rows], np.int64))
+        begin = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])[:-1]])
         n = more + 1
         row = np.repeat(np.arange(len(rows)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -323,17 +312,17 @@ def _factors(least: int):
         hit = factor[begin[row] + within] >= least
         row, within = row[hit], within[hit]
         lo = (place - back)[row] + within
-        return spans(doc[row], tag[row], lo, lo + least)
+        return spans(number[row], lo, lo + least)
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "packed", "piece")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "row", "packed", "piece")), strict=True):
                 if size >= SUFFIXES and r[0] != last:
                     yield found(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[3])
+                size += len(r[4])
                 last = r[0]
         if held:
             yield found(held)
@@ -341,33 +330,30 @@ def _factors(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, tag, spans: all ranges that go, of each text that loses something (binary pairs; several rows may come for a text)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
+def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
+    """row, spans: all ranges that go, of each text that loses something (binary pairs; several rows may come for a text). rows: (id, row, text), written."""
     emitted = rows.mapInArrow(_emit(least), ROWS_SCHEMA)
-    dealt = emitted.repartition(F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("doc", "packed", "spans")))
+    dealt = emitted.repartition(F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("row", "spans")))
     met = materialize(dealt.mapInArrow(_meet(least), ROWS_SCHEMA), "repeats")
-    done = met.where("anchor IS NULL").select("doc", F.col("packed").alias("tag"), "spans")
-    # Text is fetched for the places of a document all at once; the wanted places of one are bounded by its length.
-    wanted = met.where("anchor IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("anchor", "packed")).alias("places"))
+    done = met.where("anchor IS NULL").select("row", "spans")
+    # Text is fetched for the places of a row all at once; the wanted places of one are bounded by its length.
+    wanted = met.where("anchor IS NOT NULL").groupBy(F.col("row").alias("w")).agg(F.collect_list(F.struct("anchor", "packed")).alias("places"))
 
     def cut(batches):
         for batch in batches:
-            for i, t, places in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                data = t.encode("utf-8", "surrogatepass") if t else b""
-                tag = tag_of(data)
-                mine = [p for p in places if (p["packed"] >> 16) & 0x7FFF == tag]
-                if mine:
-                    place, _, back, more = unpack(np.array([p["packed"] for p in mine], np.int64))
-                    pieces = [data[s:e] for s, e in zip((place - back).tolist(), (place - back + more + least).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p["anchor"] for p in mine], pa.int64()), pa.array([i] * len(mine), pa.int64()), pa.array([p["packed"] for p in mine], pa.int64()), pa.array(pieces, pa.binary())], ["anchor", "doc", "packed", "piece"]
-                    )
+            for i, row, t, places in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "places")), strict=True):
+                data, n = t.encode("utf-8", "surrogatepass"), len(places)
+                place, back, more = unpack(np.array([p["packed"] for p in places], np.int64))
+                pieces = [data[s:e] for s, e in zip((place - back).tolist(), (place - back + more + least).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p["anchor"] for p in places], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array([p["packed"] for p in places], pa.int64()), pa.array(pieces, pa.binary())],
+                    ["anchor", "doc", "row", "packed", "piece"],
+                )
 
     # The wanted places are few and small against the texts: a shuffled hash join needs no sort of the texts.
-    fetched = rows.join(wanted.hint("shuffle_hash"), rows["id"] == wanted["doc"]).select("id", "text", "places")
-    pieces = fetched.mapInArrow(cut, "anchor long, doc long, packed long, piece binary")
-    factors = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(least), "doc long, tag long, spans binary")
+    fetched = rows.join(wanted.hint("shuffle_hash"), rows["row"] == wanted["w"]).select("id", "row", "text", "places")
+    pieces = fetched.mapInArrow(cut, "anchor long, doc long, row long, packed long, piece binary")
+    factors = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(least), "row long, spans binary")
     return done.union(factors)
 
 
@@ -376,9 +362,10 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
 
     kept_text is the remaining text; characters that are cut in two stay whole in it.
     """
-    gone = materialize(repeated_spans(docs, least, id_col, text_col), "spans").groupBy("doc").agg(F.collect_list(F.struct("tag", "spans")).alias("gone"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t_in"), F.col(id_col).isNull().alias("no_id"), *[F.col(k).alias(f"k_{k}") for k in keep])
-    joined = rows.join(gone.hint("shuffle_hash"), rows["id"] == gone["doc"], "left").drop("doc")
+    numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"), *[F.col(k).alias(f"k_{k}") for k in keep])
+    rows = materialize(numbered.withColumn("row", F.monotonically_increasing_id()), "rows")
+    gone = materialize(repeated_spans(rows.select("id", "row", "text"), least), "spans").groupBy(F.col("row").alias("g")).agg(F.collect_list("spans").alias("gone"))
+    joined = rows.withColumnRenamed("text", "t_in").join(gone.hint("shuffle_hash"), F.col("row") == F.col("g"), "left").drop("g", "row")
     kept = [f"k_{k}" for k in keep]
 
     def run(batches):
@@ -388,8 +375,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                 data = t.encode("utf-8", "surrogatepass") if t else b""
                 mask, n_spans = np.ones(len(data), bool), 0
                 if gone:
-                    tag = tag_of(data)
-                    mine = [np.frombuffer(g["spans"], "<u4").reshape(-1, 2) for g in gone if g["tag"] == tag]
+                    mine = [np.frombuffer(g, "<u4").reshape(-1, 2) for g in gone]
                     steps = np.zeros(len(data) + 1, np.int64)
                     for s in mine:
                         np.add.at(steps, np.minimum(s[:, 0], len(data)), 1)

@@ -90,6 +90,21 @@ def test_suffix_dedup(spark, docs, rows, empty, odd):
     assert len(out) == 6 and sorted((r["doc_id"] or -1, r["n_removed"]) for r in out)[:2] == [(-1, 0), (-1, 320)]
 
 
+def test_suffix_dedup_of_null_and_shared_ids(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    # So many null ids that a few bits don't tell their texts apart; copies at the same place and at others.
+    rows = [(None, text(300) + passage + str(k)) for k in range(600)]
+    rows += [(None, rows[0][1])] * 2 + [(7, text(400))] * 2 + [(7, passage + text(50)), (8, text(200))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The texts in the order of (id, row), each under a number of its own.
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    want = removed([(k, rows[k][1]) for k in order])
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == collections.Counter((rows[k][0], *v) for k, v in want.items())
+    assert sum(r["n_removed"] == r["n_bytes"] for r in got) == 3
+
+
 def components_of(rows, words, num, den):
     h = ngram_join.WordHashes()
     sets = [(i, frozenset(ngram_join.shingle_set(t, h, words).tolist())) for i, t in rows]
