@@ -10,9 +10,14 @@ context; about one anchor comes to every 35 bytes. Of contexts that are equal as
 first are repeats, which the map tasks already find for the texts that they hold. Where
 contexts that differ share their anchor's bytes, their text is fetched, and a
 suffix array is built over the contexts of the anchors that meet in a task, in the order of
-(id, place). For each suffix, the nearest suffixes above and below that start earlier give the
+(id, row, place). For each suffix, the nearest suffixes above and below that start earlier give the
 longest previous factor; where that reaches `least`, the string is a repeat.
 
+An anchor that very many contexts have (a line between ever new neighbours) would bring them all to one task. Such anchors
+are counted first, on a part of the rows, and their contexts are cut into single strings that
+meet by their own hash: a string has one anchor, so equal ones still meet, and no two that differ need a
+suffix array. Which anchors are taken for such has no effect on the result.
+
 Null and empty texts lose nothing. Rows are numbered once, in a written table, and come in the order of
 (id, row); so rows that share an id, or have none, are texts of their own, of which the
 later ones lose what the earlier have. A null id comes last. An empty table gives an empty result. Anchors
@@ -36,6 +41,8 @@ LAST = (1 << 63) - 1
 U = np.uint64
 #: Bytes of text that a map task works on at a time, and of contexts under one suffix array.
 CHUNK, SUFFIXES = 4 << 20, 4 << 20
+#: An anchor of more contexts than HOT, counted on one of SAMPLE rows, has its contexts cut into strings. So many take less room than SUFFIXES.
+HOT, SAMPLE = 16_000, 16
 #: Place, string starts before the anchor and strings, packed: 47, 8 and 8 bits.
 _C = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -67,8 +74,11 @@ def window_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - span)], a[width - span :]) if width > span else a
 
 
-def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """Of all texts: text number, first string start, strings less one, anchor (places within the text), anchor hash, context hash."""
+def anchors(texts: list[bytes], least: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of all texts: text number, first string start, strings less one, anchor (places within the text), anchor hash, context hash.
+
+    Contexts whose anchor hash is in hot are given as their strings, each with a hash of its own for the anchor's.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -98,9 +108,16 @@ def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero((a[1:] != a[:-1]) | (text[1:] != text[:-1]) | (s[1:] != s[:-1] + 1)) + 1
     lo, hi = s[np.concatenate([[0], cut])], s[np.concatenate([cut - 1, [len(s) - 1]])]
     a, text = a[np.concatenate([[0], cut])], text[np.concatenate([[0], cut])]
+    anchor = mixed(h[a])
+    if hot is not None and len(hot) and (cut := np.isin(anchor, hot)).any():
+        n = np.where(cut, hi - lo + 1, 1)
+        of = np.repeat(np.arange(len(n)), n)
+        lo, hi, a, text, anchor, cut = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), hi[of], a[of], text[of], anchor[of], cut[of]
+        hi[cut] = lo[cut]
+        anchor[cut] = mixed(anchor[cut] ^ (hash_at(w8, lo[cut], least) * _C[2]))
     context = mixed(hash_at(w8, lo, least) ^ (hash_at(w8, hi, least) * _C[1]) ^ ((hi - lo).astype(U) << U(32)) ^ (a - lo).astype(U) * _C[3])
     begin = starts[text]
-    return text, lo - begin, hi - lo, a - begin, mixed(h[a]), context
+    return text, lo - begin, hi - lo, a - begin, anchor, context
 
 
 def pack(place, back, more):
@@ -165,12 +182,34 @@ def _found(s: pa.RecordBatch):
     return pa.RecordBatch.from_arrays([null, null, null, s.column("row"), null, s.column("spans")], ROWS)
 
 
-def _emit(least: int):
+def _anchor_counts(least: int):
+    """Rows (anchor, n): contexts that differ, of the texts at hand."""
+
+    def run(batches):
+        for _, _, texts in _batches(batches):
+            _, _, _, _, h, c = anchors(texts, least)
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
+            found, n = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(rows: DataFrame, least: int) -> np.ndarray:
+    """Hashes of the anchors that have more than about HOT contexts. One in HOT / SAMPLE of the part's contexts at most."""
+    part = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
+    counts = part.mapInArrow(_anchor_counts(least), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.array([r["anchor"] for r in counts.where(F.col("n") > HOT // SAMPLE).select("anchor").collect()], np.int64).view(U)
+
+
+def _emit(least: int, hot: np.ndarray):
     """Anchors, one for each context of the texts at hand, and the ranges of the contexts that repeat there."""
 
     def run(batches):
         for ids, rows, texts in _batches(batches):
-            text, lo, more, a, h, c = anchors(texts, least)
+            text, lo, more, a, h, c = anchors(texts, least, hot)
             if not len(text):
                 continue
             doc, row = ids[text], rows[text]
@@ -330,9 +369,9 @@ def _factors(least: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
-    """row, spans: all ranges that go, of each text that loses something (binary pairs; several rows may come for a text). rows: (id, row, text), written."""
-    emitted = rows.mapInArrow(_emit(least), ROWS_SCHEMA)
+def compared(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges that go, found without text (row, spans); and the contexts that need a suffix array (anchor, doc, row, packed, piece)."""
+    emitted = rows.mapInArrow(_emit(least, hot_anchors(rows, least)), ROWS_SCHEMA)
     dealt = emitted.repartition(F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("row", "spans")))
     met = materialize(dealt.mapInArrow(_meet(least), ROWS_SCHEMA), "repeats")
     done = met.where("anchor IS NULL").select("row", "spans")
@@ -352,7 +391,12 @@ def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
 
     # The wanted places are few and small against the texts: a shuffled hash join needs no sort of the texts.
     fetched = rows.join(wanted.hint("shuffle_hash"), rows["row"] == wanted["w"]).select("id", "row", "text", "places")
-    pieces = fetched.mapInArrow(cut, "anchor long, doc long, row long, packed long, piece binary")
+    return done, fetched.mapInArrow(cut, "anchor long, doc long, row long, packed long, piece binary")
+
+
+def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
+    """row, spans: all ranges that go, of each text that loses something (binary pairs; several rows may come for a text). rows: (id, row, text), written."""
+    done, pieces = compared(rows, least)
     factors = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(least), "row long, spans binary")
     return done.union(factors)
 

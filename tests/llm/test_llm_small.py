@@ -105,6 +105,23 @@ def test_suffix_dedup_of_null_and_shared_ids(spark):
     assert sum(r["n_removed"] == r["n_bytes"] for r in got) == 3
 
 
+def test_suffix_dedup_of_a_line_between_many_neighbours(spark, monkeypatch):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, ends = text(70), [text(60) for _ in range(4)]
+    rows = [(k, text(120) + line + (ends[k % 4] if k % 3 == 0 else "") + text(120)) for k in range(300)]
+    rows += [(300 + k, rows[7 * k][1][60 + k : 260]) for k in range(20)]
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == removed(rows)
+    numbered = spark.createDataFrame([(k, k, t) for k, t in rows], "id long, row long, text string")
+    assert len(suffix_dedup.hot_anchors(numbered, 100)) > 0
+    # No anchor brings more contexts to one suffix array.
+    assert suffix_dedup.compared(numbered, 100)[1].groupBy("anchor").count().agg(F.max("count")).first()[0] <= 20
+
+
 def components_of(rows, words, num, den):
     h = ngram_join.WordHashes()
     sets = [(i, frozenset(ngram_join.shingle_set(t, h, words).tolist())) for i, t in rows]
