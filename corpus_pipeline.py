@@ -8,11 +8,10 @@ empty. Rows that share an id: see each stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import WORD, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REST = tuple(COLUMNS[1:])
@@ -27,15 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id. Of rows equal in id and text one stays."""
-    last = F.lit(suffix_dedup.LAST)
-    rows = docs.select(*COLUMNS).withColumn("key", F.coalesce("doc_id", last))
-    groups = ngram_join.jaccard_components(rows, WORDS, NUM, DEN, id_col="key")
-    first = groups.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("first")).distinct()
-    kept = rows.join(first, rows["key"] == first["first"], "left_semi")
-    once = F.row_number().over(W.partitionBy("key").orderBy("text", "lang", "source"))
-    same = F.lag("text").over(W.partitionBy("key").orderBy("text", "lang", "source"))
-    return kept.withColumn("again", (once > 1) & same.eqNullSafe(F.col("text"))).where("NOT again").select(*COLUMNS)
+    """Of each group of near-duplicates the row of the least id, of equal ids the first; a null id comes last. Of rows without words that are equal in id and text one stays."""
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join.jaccard_components(rows, WORDS, NUM, DEN, row_col="row").where("component IS NOT NULL")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).groupBy("doc_id", "text").agg(F.min("row").alias("kept"))
+    kept = first.union(wordless.select("kept"))
+    return rows.join(kept, rows["row"] == kept["kept"], "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ reach the similarity. What arrives at the end of a set is an exact overlap.
 N-grams and sets are told apart by 64-bit hashes. Null and empty texts, and texts without
 words, have an empty set and link with nothing, not even one another. A text with fewer
 words than an n-gram has the whole sequence as its one n-gram. Repeated rows are documents of
-their own with equal sets. A null id is never the least of its component unless all are. An
-empty table gives an empty result.
+their own with equal sets. A null id is never the least of its component unless all are. Rows are
+numbered in a written table, so that ids may be null or shared. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -181,8 +181,15 @@ def frequent_buckets(rows: DataFrame, n: int) -> bytes:
     return b"".join(bytes(found.get(k, b"\0" * (BUCKETS // SLICES // 8))) for k in range(SLICES))
 
 
+FOUND, FOUND_SCHEMA = ["key", "a", "b", "row"], "key long, a long, b long, row long"
+
+
+def _found(key: np.ndarray, a: np.ndarray, b: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(np.full(len(key), b, np.int64)), pa.nulls(len(key), pa.int64())], FOUND)
+
+
 def _candidates(num: int, den: int, n: int, bits: bytes):
-    """Rows (key, a, b): b = -1: a part's hash and a class; b = -2: classes key and a are candidates; else class, document id and set size."""
+    """Rows (key, a, b, row): b = -1: a part's hash and a class; b = -2: classes key and a are candidates; else class, document id, set size and row."""
 
     def run(batches):
         words, ranges = WordHashes(), Ranges(num, den)
@@ -202,19 +209,18 @@ def _candidates(num: int, den: int, n: int, bits: bytes):
                         k = candidate_hashes(h, frequent, ranges)
                         keys.append(k)
                         owners.append(np.full(len(k), node, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), ids, pa.array(sizes, pa.int64())], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), ids, pa.array(sizes, pa.int64()), batch.column("row")], FOUND)
                 if keys:
                     k, o = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                     order = np.lexsort((o, k))
                     k, o = k[order], o[order]
                     new = np.concatenate([[True], k[1:] != k[:-1]])
                     head = o[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-                    rows = pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(o[new]), pa.array(np.full(new.sum(), -1, np.int64))], ["key", "a", "b"])
-                    yield rows
+                    yield _found(k[new], o[new], -1)
                     if not new.all():
                         pairs = np.unique(np.stack([head[~new], o[~new]], 1), axis=0)
                         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), -2, np.int64))], ["key", "a", "b"])
+                        yield _found(pairs[:, 0].copy(), pairs[:, 1].copy(), -2)
 
     return run
 
@@ -245,7 +251,7 @@ def _stars(batches):
                 new = np.concatenate([[True], k[1:] != k[:-1]])
                 head = o[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
                 pairs = np.unique(np.stack([head, o], 1)[head != o], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), -2, np.int64))], ["key", "a", "b"])
+                yield _found(pairs[:, 0].copy(), pairs[:, 1].copy(), -2)
 
 
 class PrefixTree:
@@ -392,24 +398,26 @@ def _units(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """id, n_shingles, class_id, n_links, component_id for each row.
 
     class_id is the same for texts with equal sets (null for empty ones), n_links the number of documents that a
-    document links with, component_id the least id that its links reach.
+    document links with, component_id the least id that its links reach. row_col: a number of the
+    rows of docs, a written table; then row and component come too, a class of the component that no other has (null for empty texts).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    emitted = rows.mapInArrow(_candidates(num, den, words, frequent_buckets(rows, words)), "key long, a long, b long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+    rows = rows if row_col else materialize(rows, "rows")
+    emitted = rows.mapInArrow(_candidates(num, den, words, frequent_buckets(rows, words)), FOUND_SCHEMA)
     # Part hashes are dealt by hash, all else evenly.
-    dealt = emitted.repartition(F.when(F.col("b") == -1, F.col("key")).otherwise(F.xxhash64("a", "b", "key")))
-    found = materialize(dealt.mapInArrow(_stars, "key long, a long, b long"), "candidates")
-    members = found.where("b >= 0").select(F.col("key").alias("node"), F.col("a").alias("id"), F.col("b").alias("n"))
-    classes = materialize(members.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    dealt = emitted.repartition(F.when(F.col("b") == -1, F.col("key")).otherwise(F.xxhash64("a", "b", "key", "row")))
+    found = materialize(dealt.mapInArrow(_stars, FOUND_SCHEMA), "candidates")
+    members = found.where("b >= 0").select(F.col("key").alias("node"), F.col("a").alias("id"), F.col("b").alias("n"), "row")
+    classes = materialize(members.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("first_row"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     groups = connected_components(found.where("b = -2"), "key", "a")
-    grouped = groups.join(classes.where("least_id IS NOT NULL"), "node")
+    grouped = groups.join(classes, "node")
     sizes = grouped.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     wanted = materialize(
-        grouped.join(sizes, "component").select("node", "least_id", "component", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "wanted"
+        grouped.join(sizes, "component").select("node", "first_row", "component", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "wanted"
     )
 
     def sets(batches):
@@ -421,7 +429,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
                 out.append(h.tobytes() if len(h) and set_id(h) == node else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "copies", "blocks", "block")), pa.array(out, pa.binary())], ["node", "component", "copies", "blocks", "block", "tokens"])
 
-    texts = rows.join(broadcast_if(wanted, wanted.count(), 64), rows["id"] == wanted["least_id"]).select("text", "node", "component", "copies", "blocks", "block")
+    # One row for each node.
+    texts = rows.join(broadcast_if(wanted, wanted.count(), 64), rows["row"] == wanted["first_row"]).select("text", "node", "component", "copies", "blocks", "block")
     stored = texts.mapInArrow(sets, "node long, component long, copies long, blocks int, block int, tokens binary").where("tokens IS NOT NULL")
     units = stored.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "tokens")
@@ -431,10 +440,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(joined, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    table_of_nodes = known.join(heads, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = members.where("n > 0").join(table_of_nodes, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "n_links", "component_id")
-    empty = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return full.union(empty)
+    table_of_nodes = known.join(heads, "component").select("node", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = members.where("n > 0").join(table_of_nodes, "node").select("row", "component", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "n_links", "component_id")
+    none = F.lit(None).cast("long")
+    empty = members.where("n = 0").select("row", none.alias("component"), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = full.union(empty)
+    return out if row_col else out.drop("row", "component")
 
 
 def op4_ngram_join(spark, sf_dir):

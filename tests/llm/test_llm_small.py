@@ -161,6 +161,22 @@ def test_ngram_join_edges(empty, odd):
     assert out == [(-1, 5), (-1, None), (5, 5), (5, 5), (6, 6), (6, 6)]
 
 
+def test_ngram_join_of_null_and_shared_ids(spark):
+    a = ["w%d" % i for i in range(60)]
+    near = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(a))
+    other = lambda k: " ".join(f"{k}v{i}" for i in range(60))
+    # Near copies of one another: of a null id, of id 5 twice, of id 6. Texts of id 5 and null ids that are near to none or to one another only.
+    texts = [(None, near(1)), (5, near()), (5, near()), (6, near(58)), (5, other(1)), (None, other(2)), (None, other(2) + " tail"), (6, other(3))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(((t, r["n_links"], r["component_id"]) for r, t in ((r, r["doc_id"]) for r in ngram_join.jaccard_components(docs, 1, 80, 100).collect())), key=str)
+    want = components_of(list(enumerate(t for _, t in texts)), 1, 80, 100)
+    least = collections.defaultdict(list)
+    for k, (_, root, _) in want.items():
+        least[root].append(texts[k][0])
+    head = {root: min((i for i in ids if i is not None), default=None) for root, ids in least.items()}
+    assert got == sorted(((texts[k][0], links, head[root]) for k, (_, root, links) in want.items()), key=str)
+
+
 def test_tree_join_equals_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]

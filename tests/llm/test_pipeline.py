@@ -49,6 +49,15 @@ def test_stages(spark, folder):
     assert len({(r["sequence_id"], r["offset"]) for r in kept["pack"]}) == len(kept["pack"]) >= copies
 
 
+def test_near_copies_of_null_and_shared_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    rows = [(None, text(0)), (3, text(0) + " tail"), (None, text(1)), (None, text(1) + " tail"), (4, text(2)), (4, text(3)), (5, text(3) + " tail"), (4, text(2)), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, text(0) + " tail"), (None, text(1)), (4, text(2)), (4, text(3)), (None, None), (9, "")], key=str)
+
+
 def test_empty(spark, folder, tmp_path):
     path, _, _ = folder
     for name in ("documents", "labels"):
