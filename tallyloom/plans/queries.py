@@ -482,6 +482,14 @@ def chunk_labels(spark, d):
     return chunks.chunks(rows, "key", "heading", "labels", "labels")
 
 
+@query(None)
+def chunk_labels_all(spark, d):
+    """All customers, in several chunks a key; a key has labels of 100000 customer ids at most."""
+    c = read(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey", F.expr("c_custkey div 100000").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("labels"))
+    rows = c.select(F.concat_ws(" ", "c_mktsegment", "c_nationkey", "block").alias("key"), F.col("c_mktsegment").alias("heading"), "labels")
+    return chunks.chunks(rows, "key", "heading", "labels", "labels")
+
+
 @query("SELECT user_id::VARCHAR AS job_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status, count(*) AS n_events FROM events GROUP BY 1")
 def latest_progress(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.lit("").alias("stage"), F.lit(0).alias("progress"), F.lit("").alias("message"), F.col("ts").alias("created_at"))
