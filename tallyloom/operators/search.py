@@ -35,6 +35,13 @@ def nearest(rows: DataFrame, query: Column, k: int, vector: str = "embedding", t
     return near.orderBy(F.col("distance").asc_nulls_last(), *ties).limit(k)
 
 
+def nearest_each(rows: DataFrame, queries: DataFrame, item: str, k: int, vector: str = "embedding") -> DataFrame:
+    """query_id, item, distance: for each of queries (query_id, q) the k rows of least cosine distance, exactly: a top-k of each query in every task, then of these."""
+    pairs = rows.where(F.col(vector).isNotNull()).crossJoin(queries).select("query_id", item, (F.round(cosine_distance(F.col(vector), F.col("q")), 6) + F.lit(0.0)).alias("distance"))
+    order = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), item)
+    return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
 def _times(tokens: Column, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == word))
 

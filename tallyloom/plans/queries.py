@@ -213,6 +213,14 @@ def vector_topk(spark, d):
     return e.orderBy("distance", "vec_id").limit(search.pool_size(5)).select("vec_id", "distance")
 
 
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 25""")
+def vector_topk_all(spark, d):
+    """The whole query set, each vector whose id is divisible by 20, against all vectors."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest_each(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id", search.pool_size(5))
+
+
 @query("""WITH p AS (SELECT a.vec_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * 0.85 + z[2] * 0.15) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(s[1] / sqrt(list_dot_product(s, s)), 6) + 0.0 AS first_value, round(s[64] / sqrt(list_dot_product(s, s)), 6) + 0.0 AS last_value FROM p""")
 def weighted_vector(spark, d):
@@ -234,6 +242,12 @@ def lexical_topk(spark, d):
     return search.by_words(docs, "text", WORDS, 25, ("doc_id",)).select("doc_id", "score")
 
 
+@query(LEXICAL.replace(" WHERE lang = 'en'", "") + "SELECT doc_id, score FROM lexical")
+def lexical_topk_all(spark, d):
+    """Documents of every language."""
+    return search.by_words(read(spark, d, "documents"), "text", WORDS, 25, ("doc_id",)).select("doc_id", "score")
+
+
 @query(LEXICAL + """, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 v AS (SELECT vec_id AS doc_id, round(1 - list_dot_product(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 25),
 g AS (SELECT doc_id, 3.0 / (10 + row_number() OVER (ORDER BY score DESC, doc_id)) AS gain FROM lexical UNION ALL SELECT doc_id, 1.8 / (10 + row_number() OVER (ORDER BY distance, doc_id)) FROM v)
