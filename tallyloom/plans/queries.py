@@ -7,6 +7,7 @@ kind of publication, the order a statistic, its lines physical tables, its custo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers, text, vectors
@@ -261,6 +262,21 @@ def rrf_fusion(spark, d):
     return search.fuse(parts, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(LEXICAL.replace(" WHERE lang = 'en'", "") + """, v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 25),
+g AS (SELECT q.vec_id AS query_id, doc_id, 3.0 / (10 + row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, doc_id)) AS gain FROM lexical, embeddings q WHERE q.vec_id % 20 = 0
+UNION ALL SELECT query_id, doc_id, 1.8 / (10 + row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)) FROM v)
+SELECT query_id, doc_id, round(sum(gain)::DOUBLE, 6) AS score FROM g GROUP BY 1, 2""")
+def rrf_fusion_all(spark, d):
+    """The words' list with that of each vector of the query set."""
+    ids = read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    words = search.contributions(lexical_topk_all(spark, d), "table_lexical", [F.col("score").desc(), F.col("doc_id")], "doc_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    near = vector_topk_all(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), (search.WEIGHTS["table_vector"] / (search.RRF_K + rank)).alias("gain"))
+    gains = ids.crossJoin(words.select("doc_id", "gain")).unionByName(near)
+    return gains.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("score"))
+
+
 @query("""WITH a AS (SELECT c_custkey AS k, c_acctbal AS s, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position, 0 AS list_no FROM customer QUALIFY position <= 10),
 b AS (SELECT s_suppkey AS k, s_acctbal AS s, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS position, 1 AS list_no FROM supplier QUALIFY position <= 10)
 SELECT k, s, position::INT AS position, list_no FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
