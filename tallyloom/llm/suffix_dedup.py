@@ -16,7 +16,9 @@ longest previous factor; where that reaches `least`, the string is a repeat.
 An anchor that very many contexts have (a line between ever new neighbours) would bring them all to one task. Such anchors
 are counted first, on a part of the rows, and their contexts are cut into single strings that
 meet by their own hash: a string has one anchor, so equal ones still meet, and no two that differ need a
-suffix array. Which anchors are taken for such has no effect on the result.
+suffix array. Which anchors are taken for such has no effect on the result: the part of the rows chooses a plan only.
+
+A text longer than CHUNK is worked on in stretches that overlap by a string less a byte; a context ends where its stretch does.
 
 Null and empty texts lose nothing. Rows are numbered once, in a written table, and come in the order of
 (id, row); so rows that share an id, or have none, are texts of their own, of which the
@@ -40,9 +42,13 @@ GRAM = 32
 LAST = (1 << 63) - 1
 U = np.uint64
 #: Bytes of text that a map task works on at a time, and of contexts under one suffix array.
-CHUNK, SUFFIXES = 4 << 20, 4 << 20
+CHUNK, SUFFIXES = 1 << 20, 1 << 20
 #: An anchor of more contexts than HOT, counted on one of SAMPLE rows, has its contexts cut into strings. So many take less room than SUFFIXES.
-HOT, SAMPLE = 16_000, 16
+HOT, SAMPLE = 4_000, 16
+#: Of so many anchors at most, those of most contexts, the hashes go to all tasks (1 MB).
+MOST_HOT = 1 << 17
+#: Rows of a record batch that are worked on at a time.
+ROWS_AT_ONCE = 256
 #: Place, string starts before the anchor and strings, packed: 47, 8 and 8 bits.
 _C = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -151,22 +157,27 @@ def spans(row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["row", "spans"])
 
 
-def _batches(batches):
-    """(ids, rows, texts as bytes) of bounded size."""
-    ids, rows, texts, held = [], [], [], 0
+def _batches(batches, least: int, chunk: int):
+    """(ids, rows, places of the stretches in their texts, stretches as bytes) of bounded size."""
+    held, size = ([], [], [], []), 0
+
+    def ready():
+        return (*(np.array(x, np.int64) for x in held[:3]), held[3])
+
     for batch in batches:
         for i, row, t in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
             t = t.as_py()
             data = t.encode("utf-8", "surrogatepass") if t else b""
-            ids.append(i)
-            rows.append(row)
-            texts.append(data)
-            held += len(data)
-            if held >= CHUNK:
-                yield np.array(ids, np.int64), np.array(rows, np.int64), texts
-                ids, rows, texts, held = [], [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.int64), texts
+            for at in range(0, max(1, len(data) - least + 1), chunk):
+                stretch = data if len(data) < chunk + least else data[at : at + chunk + least - 1]
+                for values, x in zip(held, (i, row, at, stretch), strict=True):
+                    values.append(x)
+                size += len(stretch)
+                if size >= chunk:
+                    yield ready()
+                    held, size = ([], [], [], []), 0
+    if held[0]:
+        yield ready()
 
 
 ROWS = ["anchor", "context", "doc", "row", "packed", "spans"]
@@ -182,11 +193,11 @@ def _found(s: pa.RecordBatch):
     return pa.RecordBatch.from_arrays([null, null, null, s.column("row"), null, s.column("spans")], ROWS)
 
 
-def _anchor_counts(least: int):
+def _anchor_counts(least: int, chunk: int):
     """Rows (anchor, n): contexts that differ, of the texts at hand."""
 
     def run(batches):
-        for _, _, texts in _batches(batches):
+        for *_, texts in _batches(batches, least, chunk):
             _, _, _, _, h, c = anchors(texts, least)
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
@@ -197,22 +208,24 @@ def _anchor_counts(least: int):
     return run
 
 
-def hot_anchors(rows: DataFrame, least: int) -> np.ndarray:
-    """Hashes of the anchors that have more than about HOT contexts. One in HOT / SAMPLE of the part's contexts at most."""
+def hot_anchors(rows: DataFrame, least: int, chunk: int = CHUNK) -> np.ndarray:
+    """Hashes of the anchors that have more than about HOT contexts, MOST_HOT at most."""
     part = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
-    counts = part.mapInArrow(_anchor_counts(least), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return np.array([r["anchor"] for r in counts.where(F.col("n") > HOT // SAMPLE).select("anchor").collect()], np.int64).view(U)
+    counts = part.mapInArrow(_anchor_counts(least, chunk), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hot = counts.where(F.col("n") > HOT // SAMPLE).orderBy(F.col("n").desc(), "anchor").limit(MOST_HOT).select("anchor")
+    return np.array([r["anchor"] for r in hot.collect()], np.int64).view(U)
 
 
-def _emit(least: int, hot: np.ndarray):
+def _emit(least: int, hot: np.ndarray, chunk: int):
     """Anchors, one for each context of the texts at hand, and the ranges of the contexts that repeat there."""
 
     def run(batches):
-        for ids, rows, texts in _batches(batches):
+        for ids, rows, bases, texts in _batches(batches, least, chunk):
             text, lo, more, a, h, c = anchors(texts, least, hot)
             if not len(text):
                 continue
-            doc, row = ids[text], rows[text]
+            doc, row, base = ids[text], rows[text], bases[text]
+            lo, a = lo + base, a + base
             packed = pack(a, a - lo, more)
             order = np.lexsort((packed, row, doc, c))
             h, c, doc, row, packed, lo, more = (x[order] for x in (h, c, doc, row, packed, lo, more))
@@ -275,22 +288,24 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = words_at(padded)[:n].byteswap()
     # Up to four bytes the bytes themselves do for a rank.
-    levels, span = [(k, key >> U(64 - 8 * k)) for k in (1, 2, 4)], 8
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+    levels, span = [(k, (key >> U(64 - 8 * k)).astype(np.uint32)) for k in (1, 2, 4)], 8
+
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        k = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]), dtype=np.int32)
+        return order, rank
+
+    order, rank = ranked(key)
     levels.append((8, rank))
     while span < depth:
         step = min(span, depth - span)
-        second = np.zeros(n, np.int64)
+        key = rank * np.int64(n + 1)
         if step < n:
-            second[: n - step] = rank[step:] + 1
-        key = rank * np.int64(n + 1) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+            key[: n - step] += rank[step:]
+            key[: n - step] += 1
+        order, rank = ranked(key)
         span += step
         levels.append((span, rank))
     return order, levels
@@ -300,7 +315,7 @@ def neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place in suffix order, the nearest place before and after it whose suffix starts earlier; -1 if none."""
 
     def smaller(o: np.ndarray) -> np.ndarray:
-        at = np.arange(-1, len(o) - 1)
+        at = np.arange(-1, len(o) - 1, dtype=np.int32)
         while True:
             go = np.flatnonzero((at >= 0) & (o[np.maximum(at, 0)] > o))
             if not len(go):
@@ -332,7 +347,7 @@ def previous_factor(text: np.ndarray, depth: int, starts: np.ndarray | None = No
     return out
 
 
-def _factors(least: int):
+def _factors(least: int, size_of_array: int):
     """Rows (anchor, doc, row, packed, piece), sorted by anchor: the repeats among them."""
 
     def found(rows):
@@ -357,7 +372,7 @@ def _factors(least: int):
         held, size, last = [], 0, None
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "row", "packed", "piece")), strict=True):
-                if size >= SUFFIXES and r[0] != last:
+                if size >= size_of_array and r[0] != last:
                     yield found(held)
                     held, size = [], 0
                 held.append(r)
@@ -369,9 +384,9 @@ def _factors(least: int):
     return run
 
 
-def compared(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def compared(rows: DataFrame, least: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Ranges that go, found without text (row, spans); and the contexts that need a suffix array (anchor, doc, row, packed, piece)."""
-    emitted = rows.mapInArrow(_emit(least, hot_anchors(rows, least)), ROWS_SCHEMA)
+    emitted = rows.mapInArrow(_emit(least, hot_anchors(rows, least, chunk), chunk), ROWS_SCHEMA)
     dealt = emitted.repartition(F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("row", "spans")))
     met = materialize(dealt.mapInArrow(_meet(least), ROWS_SCHEMA), "repeats")
     done = met.where("anchor IS NULL").select("row", "spans")
@@ -379,41 +394,45 @@ def compared(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     wanted = met.where("anchor IS NOT NULL").groupBy(F.col("row").alias("w")).agg(F.collect_list(F.struct("anchor", "packed")).alias("places"))
 
     def cut(batches):
-        for batch in batches:
-            for i, row, t, places in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text", "places")), strict=True):
-                data, n = t.encode("utf-8", "surrogatepass"), len(places)
-                place, back, more = unpack(np.array([p["packed"] for p in places], np.int64))
-                pieces = [data[s:e] for s, e in zip((place - back).tolist(), (place - back + more + least).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["anchor"] for p in places], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array([p["packed"] for p in places], pa.int64()), pa.array(pieces, pa.binary())],
-                    ["anchor", "doc", "row", "packed", "piece"],
-                )
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                places = batch.column("places")
+                n = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+                anchor, packed = (places.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                of = np.repeat(np.arange(len(n)), n)
+                place, back, more = unpack(packed)
+                starts, ends = (place - back).tolist(), (place - back + more + least).tolist()
+                texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")]
+                pieces = [texts[k][s:e] for k, s, e in zip(of.tolist(), starts, ends, strict=True)]
+                doc, row = (batch.column(c).to_numpy(zero_copy_only=False)[of] for c in ("id", "row"))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, doc, row, packed)), pa.array(pieces, pa.binary())], ["anchor", "doc", "row", "packed", "piece"])
 
     # The wanted places are few and small against the texts: a shuffled hash join needs no sort of the texts.
     fetched = rows.join(wanted.hint("shuffle_hash"), rows["row"] == wanted["w"]).select("id", "row", "text", "places")
     return done, fetched.mapInArrow(cut, "anchor long, doc long, row long, packed long, piece binary")
 
 
-def repeated_spans(rows: DataFrame, least: int = 100) -> DataFrame:
+def repeated_spans(rows: DataFrame, least: int = 100, chunk: int = CHUNK, suffixes: int = SUFFIXES) -> DataFrame:
     """row, spans: all ranges that go, of each text that loses something (binary pairs; several rows may come for a text). rows: (id, row, text), written."""
-    done, pieces = compared(rows, least)
-    factors = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(least), "row long, spans binary")
+    done, pieces = compared(rows, least, chunk)
+    factors = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(least, suffixes), "row long, spans binary")
     return done.union(factors)
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), chunk: int = CHUNK, suffixes: int = SUFFIXES) -> DataFrame:
     """id, kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text for each row.
 
     kept_text is the remaining text; characters that are cut in two stay whole in it.
     """
     numbered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"), *[F.col(k).alias(f"k_{k}") for k in keep])
     rows = materialize(numbered.withColumn("row", F.monotonically_increasing_id()), "rows")
-    gone = materialize(repeated_spans(rows.select("id", "row", "text"), least), "spans").groupBy(F.col("row").alias("g")).agg(F.collect_list("spans").alias("gone"))
+    gone = materialize(repeated_spans(rows.select("id", "row", "text"), least, chunk, suffixes), "spans").groupBy(F.col("row").alias("g")).agg(F.collect_list("spans").alias("gone"))
     joined = rows.withColumnRenamed("text", "t_in").join(gone.hint("shuffle_hash"), F.col("row") == F.col("g"), "left").drop("g", "row")
     kept = [f"k_{k}" for k in keep]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             out = ([], [], [], [], [])
             for t, gone in zip(batch.column("t_in").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 data = t.encode("utf-8", "surrogatepass") if t else b""
@@ -444,7 +463,6 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                 ["id", "no_id", *kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in ("id", "no_id", *kept))
     order = ["id", "no_id", *kept]
     types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     fields = ", ".join(f"`{c}` {types[c]}" for c in order)

@@ -90,6 +90,12 @@ def test_suffix_dedup(spark, docs, rows, empty, odd):
     assert len(out) == 6 and sorted((r["doc_id"] or -1, r["n_removed"]) for r in out)[:2] == [(-1, 0), (-1, 320)]
 
 
+def test_suffix_dedup_in_stretches(docs, rows):
+    """Stretches far shorter than the texts, and many suffix arrays."""
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, chunk=150, suffixes=2000).collect()}
+    assert got == removed(rows)
+
+
 def test_suffix_dedup_of_null_and_shared_ids(spark):
     rnd = random.Random(4)
     text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
