@@ -181,6 +181,25 @@ def frequent_buckets(rows: DataFrame, n: int) -> bytes:
     return b"".join(bytes(found.get(k, b"\0" * (BUCKETS // SLICES // 8))) for k in range(SLICES))
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (least of the group, member) that connect the same values as the given pairs, one for each member but the least."""
+    values, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    least = np.arange(len(values))
+    while True:
+        low = np.minimum(least[a], least[b])
+        after = least.copy()
+        # Labels are members too, so their own labels sink with those of the ends.
+        for end in (a, b, least[a], least[b]):
+            np.minimum.at(after, end, low)
+        after = after[after]
+        if np.array_equal(after, least):
+            break
+        least = after
+    member = np.flatnonzero(least != np.arange(len(values)))
+    return np.stack([values[least[member]], values[member]], 1)
+
+
 FOUND, FOUND_SCHEMA = ["key", "a", "b", "row"], "key long, a long, b long, row long"
 
 
@@ -218,8 +237,7 @@ def _candidates(num: int, den: int, n: int, bits: bytes):
                     head = o[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
                     yield _found(k[new], o[new], -1)
                     if not new.all():
-                        pairs = np.unique(np.stack([head[~new], o[~new]], 1), axis=0)
-                        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                        pairs = forest(np.stack([head[~new], o[~new]], 1))
                         yield _found(pairs[:, 0].copy(), pairs[:, 1].copy(), -2)
 
     return run
@@ -250,7 +268,7 @@ def _stars(batches):
             if len(k):
                 new = np.concatenate([[True], k[1:] != k[:-1]])
                 head = o[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-                pairs = np.unique(np.stack([head, o], 1)[head != o], axis=0)
+                pairs = forest(np.stack([head, o], 1))
                 yield _found(pairs[:, 0].copy(), pairs[:, 1].copy(), -2)
 
 
