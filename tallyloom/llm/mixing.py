@@ -3,102 +3,183 @@
 Every source is dealt into blocks by a hash of its documents, so that a block is a
 random part of its source. A source whose target exceeds its size is passed over
 several times; the last pass draws blocks in a permuted order until the target is
-met, and the block that straddles the target gives a part. The drawn blocks then go
-down a splitting tree: at each node exactly half of the node's blocks go to either
-side, in the order of a hash, so the number that each source sends left is a draw from
-the multivariate hypergeometric distribution; the leaves are the output shards. Inside
-its shard every block is shuffled by a hash.
-
-The table of blocks has at most MAX_BLOCKS rows and one for each source, whatever the
-data's size, so its windows and its broadcast are bounded. No draw depends on the
-order of rows or on partitions: reruns agree.
-
-Null texts and texts without words have size 0 and are taken as 0 words. A null source
-is a source of its own, the last. Repeated rows are documents of their own that share a
-permutation key. An empty table gives an empty result.
+met, and of the block that straddles the target a part is taken: whole sub-blocks by another
+hash, then documents in the order of a third.
+
+How many blocks of each source and pass go to each output shard is drawn by a splitting tree.
+Each drawn block is a ticket without a name; the tickets are put in a random order, and every node of the
+tree passes the first half of its tickets left and the rest right. So the numbers that the sources
+send left are a draw from the multivariate hypergeometric distribution, and the leaves hold exact quotas.
+The blocks of a source, in their permuted order, are then handed to the shards by these quotas, each block to one shard,
+and inside its shard a document has a position by a hash.
+
+Tables of sources, tickets and blocks are ranked in ranges of RANGE rows, and are broadcast only where their counted rows are few; shards hold about
+SHARD_WORDS words each and blocks are at least BLOCKS_A_SHARD times as many, so no group grows with the data. No draw
+depends on the order of rows or on partitions: reruns agree.
+
+Null texts and texts without words have size 0 and are taken as 0 words; they go with their block. A block without words is drawn
+in the first pass. A null source is a source of its own, the last. Rows that share an id, or have none, are told apart by their text; rows that repeat
+altogether are documents of their own that share a permutation key. Very long texts are documents like others. Other columns of the input, whatever their names,
+have no effect. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, broadcast_if, materialize, table
 
-MAX_BLOCKS = 8192
 MAX_PASSES = 3
-SHARD_LEVELS = 4
+LEAST_LEVELS, LEAST_BLOCKS, BLOCKS_A_SHARD = 4, 8192, 16
+SHARD_WORDS = 16_000_000
+#: Parts by hash of a block that is taken in part.
+SUB_BLOCKS = 1024
+#: Rows of a table of sources, tickets or blocks that one task ranks.
+RANGE = 1_000_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, cap: float = MAX_PASSES) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], sums: list[str] = (), label: str = "ranked") -> DataFrame:
+    """df with place, from 0, in the given total order, and before_<c> for each of sums: range by range, never all in one task."""
+    parts = df.count() // RANGE + 1
+    placed = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), label)
+    totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    bases = totals.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_base") for c in ("_n", *(f"_{c}" for c in sums))])
+    own = W.partitionBy("_part").orderBy(*order)
+    until = own.rowsBetween(W.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(bases), "_part").withColumn("place", F.col("_n_base") + F.row_number().over(own) - 1)
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.col(f"_{c}_base") + F.coalesce(F.sum(c).over(until), F.lit(0)))
+    return out.select(*df.columns, "place", *[f"before_{c}" for c in sums])
+
+
+def source_targets(sizes: DataFrame, cap: int = MAX_PASSES) -> DataFrame:
     """From (source, source_size): target, the share by weight 1, 2, 3 and again, stopped at cap times the size, the excess shared anew.
 
     Sources in ascending order of cap / weight are stopped one after another; once one
     isn't, no later one is. So prefix sums in that order replace the repeated sharing.
     """
-    everything = W.partitionBy()
-    ranked = sizes.withColumn("weight", (F.pmod(F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)) + 1).cast("double"))
-    ranked = ranked.withColumn("most", cap * F.col("source_size"))
-    order = W.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    stopped = ranked.withColumn("level", level).withColumn("stopped", F.col("most") <= F.col("level") * F.col("weight"))
+    by_name = F.col("source").asc_nulls_last()
+    weighed = ranked(sizes, [by_name], label="sources").withColumn("weight", F.pmod("place", F.lit(3)) + 1).withColumn("most", F.lit(cap) * F.col("source_size")).drop("place")
+    total, weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    stops = ranked(weighed.withColumn("ratio", F.col("most") / F.col("weight")), [F.col("ratio").asc(), by_name], ["most", "weight"], "stops")
+    level = (F.lit(total or 0) - F.col("before_most")) / (F.lit(weights or 0) - F.col("before_weight"))
+    free = stops.withColumn("level", level).where(F.col("most") > F.col("level") * F.col("weight")).agg(F.min_by("level", "place")).first()[0]
     # The level of the first source that isn't stopped holds for all after it.
-    free = stopped.withColumn("free", F.min(F.when(~F.col("stopped"), F.struct(F.col("most") / F.col("weight"), "source", "level"))).over(everything)["level"])
-    return free.select("source", "source_size", F.when(F.col("free").isNull(), F.col("most")).otherwise(F.least("most", F.col("free") * F.col("weight"))).alias("target"))
+    target = F.col("most").cast("double") if free is None else F.least(F.col("most").cast("double"), F.lit(free) * F.col("weight"))
+    return stops.select("source", "source_size", target.alias("target"))
 
 
 def _draw(seed: int, salt: str, *cols) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(salt), *cols)
 
 
+def split(place: Column, total: int, levels: int) -> Column:
+    """The leaf of the splitting tree to which the ticket at a place goes: at each node the first half, rounded up, goes left."""
+    shard, first, n = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(total).cast("long")
+    for _ in range(levels):
+        half = F.shiftright(n + 1, 1)
+        right = place >= first + half
+        shard = shard * 2 + right.cast("long")
+        first, n = F.when(right, first + half).otherwise(first), F.when(right, n - half).otherwise(half)
+    return shard
+
+
+def shard_quotas(drawn: DataFrame, levels: int, seed: int) -> DataFrame:
+    """From (source, pass, n) drawn blocks of each source and pass: source, pass, shard, quota."""
+    tickets = drawn.withColumn("ticket", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    order = [F.col("draw"), F.col("source").asc_nulls_last(), F.col("pass"), F.col("ticket")]
+    placed = materialize(ranked(tickets.withColumn("draw", _draw(seed, "ticket", "source", "pass", "ticket")), order, label="tickets").select("source", "pass", "place"), "places")
+    return placed.withColumn("shard", split(F.col("place"), placed.count(), levels)).groupBy("source", "pass", "shard").agg(F.count(F.lit(1)).alias("quota"))
+
+
+def draw_blocks(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(source, blocks, source_size, target) and (source, block, block_size, draws, part_pass, part_words); docs: (source, size, key).
+
+    draws: (pass, shard) of each pass that takes the block; part_words: of pass part_pass, where that takes a part of it only.
+    """
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(materialize(sizes, "sizes")), "targets")
+    n_sources, total = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    levels = max(LEAST_LEVELS, math.ceil(math.log2(max(1, total / SHARD_WORDS))))
+    n_blocks = max(LEAST_BLOCKS, BLOCKS_A_SHARD << levels)
+    shares = targets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") * n_blocks / max(1, total))).cast("long"))
+    dealt = docs.join(broadcast_if(shares, n_sources, 128), docs["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    blocks = dealt.groupBy("source", F.pmod("key", F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)))).withColumn("draw", _draw(seed, "pass", "pass", "source", "block"))
+    # The permuted order of a source's blocks in a pass, and the words before each block in it.
+    own = [F.col("source").asc_nulls_last(), F.col("pass")]
+    permuted = materialize(ranked(passes, [*own, F.col("draw"), F.col("block")], ["block_size"], "passes"), "permuted")
+    starts = permuted.groupBy("source", "pass").agg(F.min("before_block_size").alias("start")).withColumnsRenamed({"source": "s", "pass": "p"})
+    begun = permuted.drop("place").join(broadcast_if(starts, MAX_PASSES * n_sources, 96), permuted["source"].eqNullSafe(starts["s"]) & (permuted["pass"] == starts["p"]))
+    left = F.round("target").cast("long") - F.col("pass") * F.col("source_size") - (F.col("before_block_size") - F.col("start"))
+    taken = begun.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least("block_size", left))).where("words > 0 OR block_size = 0 AND pass = 0")
+    taken = materialize(ranked(taken.select("source", "pass", "draw", "block", "block_size", "words"), [*own, F.col("draw"), F.col("block")], label="taken"), "drawn")
+    # As many places of each source and pass as it has blocks drawn, shard by shard: the blocks take them in their permuted order.
+    quotas = shard_quotas(taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")), levels, seed)
+    places = ranked(quotas.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("quota")))), [*own, F.col("shard"), F.col("k")], label="quotas").select("place", "shard")
+    part = F.col("words") < F.col("block_size")
+    handed = taken.join(places, "place").groupBy("source", "block").agg(
+        F.first("block_size").alias("block_size"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max(F.when(part, F.col("pass"))).alias("part_pass"), F.max(F.when(part, F.col("words"))).alias("part_words")
+    )
+    return shares, materialize(handed, "shards")
+
+
 def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple = ()) -> DataFrame:
-    """One row for each document and pass: row, id, source, size, source_size, target, pass, shard, position, words.
+    """id, source, size, source_size, target, draws for each row; draws: (pass, shard, position, words) of each pass that takes the document.
 
-    pass is null for a document that isn't drawn. words: what this pass takes of it,
-    its whole size but for the one document of a source that straddles the target.
+    words: what a pass takes of it, its whole size but for the one document of a source that straddles the target.
     keep: further columns of docs to carry along, under the names kept_<name>.
     """
+    text = F.col(text_col)
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(k).alias(f"kept_{k}") for k in keep]
-    ).withColumn("row", F.monotonically_increasing_id())
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
-    total = F.sum("source_size").over(W.partitionBy())
-    per_source = targets.withColumn("blocks", F.ceil(F.col("source_size") * MAX_BLOCKS / F.greatest(total, F.lit(1))).cast("long")).withColumn("blocks", F.greatest("blocks", F.lit(1)))
-    per_source = per_source.withColumn("quota", F.round("target").cast("long"))
-    key = F.shiftrightunsigned(_draw(seed, "block", F.col("id")), 1)
-    dealt = base.join(F.broadcast(per_source), base["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
-    dealt = dealt.withColumn("block", F.pmod(key, F.col("blocks")))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
-    drawn = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))))
-    order = W.partitionBy("source", "pass").orderBy(_draw(seed, "pass", F.col("pass"), F.col("source"), F.col("block")), "block")
-    earlier = F.coalesce(F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.col("quota") - F.col("pass") * F.col("source_size") - earlier
-    drawn = drawn.withColumn("block_words", F.greatest(F.lit(0).cast("long"), F.least("block_size", left))).where("block_words > 0")
-    # The splitting tree: level by level, the first half of each node's blocks in hash order goes left.
-    drawn = drawn.withColumn("shard", F.lit(0).cast("long"))
-    for level in range(SHARD_LEVELS):
-        node = W.partitionBy("shard")
-        place = F.row_number().over(node.orderBy(_draw(seed, f"split{level}", F.col("source"), F.col("block"), F.col("pass")), "source", "block", "pass"))
-        drawn = drawn.withColumn("right", (2 * (place - 1) >= F.count(F.lit(1)).over(node)).cast("long")).withColumn("shard", F.col("shard") * 2 + F.col("right")).drop("right")
-    drawn = drawn.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "shard", "block_words", "block_size")
-    # Bounded: MAX_PASSES rows for each of at most MAX_BLOCKS blocks and one for each source.
-    taken = dealt.join(F.broadcast(drawn), dealt["source"].eqNullSafe(drawn["s"]) & (dealt["block"] == drawn["b"]), "left").drop("s", "b")
-    local = W.partitionBy("source", "block", "pass").orderBy(_draw(seed, "local", F.col("pass"), F.col("id")), "id", "row")
-    before = F.coalesce(F.sum("size").over(local.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("block_words") - before))
-    words = F.when(F.col("pass").isNull(), F.lit(0)).when(F.col("block_words") >= F.col("block_size"), F.col("size")).otherwise(part)
-    return taken.withColumn("words", words.cast("long")).select(
-        "row", "id", "source", "size", "source_size", "target", "pass", "shard", _draw(seed, "place", F.col("shard"), F.col("id"), F.col("pass")).alias("position"), "words", *[f"kept_{k}" for k in keep]
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.shiftrightunsigned(_draw(seed, "block", F.col(id_col), text), 1).alias("key"), *[F.col(k).alias(f"kept_{k}") for k in keep]
+    )
+    rows = materialize(base, "rows")
+    slim = rows.select("source", "size", "key")
+    shares, blocks = draw_blocks(slim, seed)
+    n_sources, n_blocks = shares.count(), blocks.count()
+    blocks = blocks.withColumnsRenamed({"source": "s", "block": "b"})
+    held = [f"kept_{k}" for k in keep]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        out = df.join(broadcast_if(shares, n_sources, 128), df["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+        out = out.withColumn("block", F.pmod("key", F.col("blocks"))).drop("blocks")
+        return out.join(broadcast_if(blocks, n_blocks, 256), out["source"].eqNullSafe(blocks["s"]) & (out["block"] == blocks["b"]), "left").drop("s", "b", "block_size")
+
+    # Of the blocks that are taken in part, the words before each sub-block in its block.
+    sub = F.pmod(_draw(seed, "sub", "part_pass", "key"), F.lit(SUB_BLOCKS))
+    parts = dealt(slim).where("part_pass IS NOT NULL").groupBy("source", "block", sub.alias("sub")).agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source", "block").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    subs = parts.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("sub").alias("x"), before.alias("before_sub"))
+    everything = dealt(rows)
+    whole = everything.where("part_pass IS NULL").withColumn("part", F.lit(None).cast("long"))
+    some = everything.where("part_pass IS NOT NULL").withColumn("sub", sub)
+    some = some.join(subs, some["source"].eqNullSafe(subs["s"]) & (some["block"] == subs["b"]) & (some["sub"] == subs["x"]))
+    local = W.partitionBy("source", "block", "sub").orderBy(_draw(seed, "local", "part_pass", "key"), "key", "id", "size")
+    inside = F.coalesce(F.sum("size").over(local.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("part_words") - F.col("before_sub") - inside)))
+    columns = ["id", "source", "size", "source_size", "target", "key", "draws", "part_pass", "part", *held]
+    out = whole.select(*columns).union(some.select(*columns))
+    draws = F.transform(
+        F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:bigint>>")),
+        lambda d: F.struct(
+            d["pass"].alias("pass"), d["shard"].alias("shard"), _draw(seed, "place", d["shard"], F.col("key"), d["pass"]).alias("position"),
+            F.when(d["pass"].eqNullSafe(F.col("part_pass")), F.col("part")).otherwise(F.col("size")).alias("words"),
+        ),
     )
+    return out.select("id", "source", "size", "source_size", "target", draws.alias("draws"), *held)
 
 
 def op10_mixing(spark, sf_dir):
     m = mix(table(spark, sf_dir, "documents"))
-    return m.groupBy("row", F.col("id").alias("doc_id"), "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("row")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), "draws")

@@ -380,7 +380,8 @@ def test_fingerprints(spark, docs, rows, empty):
 
 
 def test_mixing(spark, docs, rows, empty, odd):
-    out = mixing.mix(docs).groupBy("row", "id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken")).collect()
+    taken_words = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken")
+    out = mixing.mix(docs).select("*", taken_words).collect()
     assert len(out) == len(rows)
     size = {i: len([w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]) for i, t in rows}
     total = collections.Counter()
@@ -403,6 +404,44 @@ def test_mixing(spark, docs, rows, empty, odd):
         assert r["size"] == size[r["id"]] and r["source_size"] == total[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in total)
-    again = mixing.mix(docs.repartition(3)).groupBy("id").agg(F.sum("words").alias("taken")).collect()
-    assert {r["id"]: r["taken"] for r in again} == {r["id"]: r["taken"] for r in out}
-    assert mixing.mix(empty).count() == 0 and mixing.mix(odd).select("row").distinct().count() == 6
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert {r["id"]: r["draws"] for r in again} == {r["id"]: r["draws"] for r in out}
+    assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() == 6
+    # A pass takes all of a document, but for one of each source; where a document is taken at all, null and empty texts of its source are too.
+    parts = collections.Counter(r["source"] for r in out for d in r["draws"] if 0 < d["words"] < r["size"])
+    assert all(n == 1 for n in parts.values())
+    assert len({(d["shard"]) for r in out for d in r["draws"]}) > 8
+
+
+def test_mixing_tree(spark):
+    """Quotas are exact at every level, and near their hypergeometric means; the blocks' shards follow them."""
+    total, levels = 1003, 4
+    shards = [r[0] for r in spark.range(total).select(mixing.split(F.col("id"), total, levels)).collect()]
+    size = {0: (0, total)}
+    for _ in range(levels):
+        size = {2 * k + side: (n + 1) // 2 if not side else n // 2 for k, (_, n) in size.items() for side in (0, 1)}
+        size = {k: (0, n) for k, n in size.items()}
+    assert collections.Counter(shards) == {k: n for k, (_, n) in size.items()} and shards == sorted(shards)
+    drawn = [("a", 0, 600), ("b", 0, 300), (None, 0, 60), ("b", 1, 43)]
+    quotas = mixing.shard_quotas(spark.createDataFrame(drawn, "source string, pass int, n long"), levels, 7).collect()
+    by_source, by_shard = collections.Counter(), collections.Counter()
+    for r in quotas:
+        by_source[r["source"], r["pass"]] += r["quota"]
+        by_shard[r["shard"]] += r["quota"]
+        mean = dict(((s, p), n) for s, p, n in drawn)[r["source"], r["pass"]] / 16
+        assert abs(r["quota"] - mean) <= 5 * mean**0.5 + 1
+    assert by_source == {(s, p): n for s, p, n in drawn} and by_shard == {k: n for k, (_, n) in size.items()}
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.when(F.col("id") % 7 < 4, "a").otherwise("b").alias("source"))
+    base = docs.select("source", mixing.word_count(F.col("text")).alias("size"), F.col("doc_id").alias("key"))
+    blocks = mixing.draw_blocks(base, 7)[1].select("source", F.explode("draws").alias("d")).groupBy("source", "d.pass", "d.shard").count().collect()
+    n = collections.Counter()
+    for r in blocks:
+        n[r["source"], r["pass"]] += r["count"]
+    want = mixing.shard_quotas(spark.createDataFrame([(s, p, k) for (s, p), k in n.items()], "source string, pass int, n long"), mixing.LEAST_LEVELS, 7).collect()
+    assert {(r["source"], r["pass"], r["shard"]): r["count"] for r in blocks} == {(r["source"], r["pass"], r["shard"]): r["quota"] for r in want}
+
+
+def test_mixing_of_sources_without_words(spark):
+    docs = spark.createDataFrame([(1, "", "x"), (2, None, "x"), (None, None, None), (4, "a b c", "y")], "doc_id long, text string, source string")
+    out = {r["id"]: [d["words"] for d in r["draws"]] for r in mixing.mix(docs).collect()}
+    assert out[1] == [0] and out[2] == [0] and out[None] == [0] and sum(out[4]) == 3
