@@ -45,8 +45,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one that is taken in part comes whole if half of it is taken."""
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
-    taken = mixed.where("pass IS NOT NULL AND 2 * words >= size")
-    return taken.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), F.col("kept_lang").alias("lang"), "source", F.col("kept_n_chars").alias("n_chars"))
+    taken = mixed.withColumn("d", F.explode("draws")).where("2 * d.words >= size")
+    # The shards of the mix, each in its own order.
+    shuffled = taken.repartition("d.shard").sortWithinPartitions("d.shard", "d.position", "id")
+    return shuffled.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), F.col("kept_lang").alias("lang"), "source", F.col("kept_n_chars").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
