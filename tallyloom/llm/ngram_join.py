@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, materialize, table
 from .components import connected_components
 
-CACHE = 600_000
+CACHE = 400_000
 #: N-grams in all that one task of the tree join holds of a block.
 BLOCK = 3_000_000
 U = np.uint64
@@ -381,23 +381,17 @@ def _unit(rows: list[tuple], cross: bool, num: int, den: int) -> pa.RecordBatch:
     if cross and len({r[2] for r in rows}) < 2:
         rows = []
     nodes, copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-    up = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    root = np.arange(len(rows))
     links = np.zeros(len(rows), np.int64)
     for i, js in tree_join([r[3] for r in rows], [r[2] for r in rows] if cross else None, num, den) if rows else []:
         if len(js):
             links[i] += copies[js].sum()
-            a = root(i)
-            for j in js.tolist():
-                up[root(j)] = a
+            others = root[js]
+            if (others != root[i]).any():
+                kinds = np.unique(np.append(others, root[i]))
+                root[np.isin(root, kinds)] = kinds[0]
     use = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in use], pa.int64()), pa.array([nodes[root(i)] for i in use], pa.int64()), pa.array(links[use])], ["node", "root", "links"])
+    return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in use], pa.int64()), pa.array([nodes[i] for i in root[use]], pa.int64()), pa.array(links[use])], ["node", "root", "links"])
 
 
 def _units(num: int, den: int):
