@@ -10,8 +10,9 @@ such entry, a run of n * times ranks of that length. The runs are then joined ba
 the pieces by length and rank. A rank is counted in chunks of a length, so that a length that
 many documents share is spread over tasks.
 
-Null text is empty and has the end id alone. Repeated rows are packed each. An empty table
-gives an empty result. Very long texts are tokenised word by word with a bounded cache.
+Null text is empty and has the end id alone. Repeated rows, and rows that share an id or have none, are packed each. An empty table
+gives an empty result. Very long texts are tokenised word by word, whole, and cut into sequences; the cache holds short words only.
+Other columns of the input, whatever their names, have no effect.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ from .token_counts import byte_symbols
 MAX_LEN = 2048
 END_ID = 1
 #: So many words are kept in a worker; past that, it starts anew.
-CACHE = 800_000
+CACHE = 400_000
+#: Longer words and pieces, in characters, are not kept.
 LONGEST_KEPT = 64
-#: So many texts are tokenised at a time.
-TEXTS = 512
+#: So many texts, of so many characters or one, are tokenised at a time.
+TEXTS, TEXT_CHARS = 512, 4 << 20
 #: The vocabulary's own pattern of pieces, for ASCII in lower case.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk int"
@@ -91,31 +93,42 @@ class WordIds:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-            self.bases = {}
-        known, word = self.known, self.word
-        for w in words.difference(known):
-            known[w] = word(w)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self.known) + len(self.bases) > CACHE:
+            self.known, self.bases = {"": b""}, {}
+        known, long, word = self.known, {}, self.word
+        for w in set().union(*split).difference(known):
+            (known if len(w) <= LONGEST_KEPT else long)[w] = word(w)
+        return [b"".join([known[w] if w in known else long[w] for w in words]) if long else b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def portions(texts: list[str | None]):
+    """Slices of texts, of TEXTS texts and TEXT_CHARS characters at most, or of one text."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > first and (k - first >= TEXTS or size + n > TEXT_CHARS):
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
 
 
 _tokenizers: dict[str, WordIds] = {}
 
 
-def cut_pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, chunks: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, chunks: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece (PIECES_SCHEMA). One pass without shuffle."""
 
     def run(batches):
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
         ids_of, end = _tokenizers[path].ids, np.array([END_ID], "<u4").tobytes()
-        for whole in batches:
-            for first in range(0, max(whole.num_rows, 1), TEXTS):
-                batch = whole.slice(first, TEXTS)
+        for batch in batches:
+            numbers, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            for first, last in portions(texts):
                 out = []
-                for i, ids in zip(batch.column("id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
+                for i, ids in zip(numbers[first:last], ids_of(texts[first:last]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, max_len):
@@ -193,7 +206,6 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, id_col: str = "doc_
     counts = pieces.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     runs = runs_of(shortest_pack_first(histogram, max_len))
-    # So many runs at most for each length, so that the join by length and range stays bounded: the run's place is found by bisection.
     by_length: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
     for length, *run in runs:
         for values, x in zip(by_length.setdefault(length, ([], [], [], [])), run, strict=True):
@@ -203,10 +215,10 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, id_col: str = "doc_
     bases = counts.select("length", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     place = F.row_number().over(W.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
     ranked = pieces.withColumn("place", place).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("place") - 1)
-    # The runs of a length as sorted arrays: bounded by the number of patterns, so they are sent to all.
+    # The runs of a length as sorted arrays, bounded by the number of patterns; the last run that begins at the rank or before is found by bisection.
     joined = ranked.join(broadcast_if(found, len(runs), 32), F.col("length") == F.col("l"))
-
-    index = F.size(F.filter("firsts", lambda f: f <= F.col("rank"))) - 1
+    steps = [1 << k for k in reversed(range(max([len(v[0]) for v in by_length.values()], default=1).bit_length()))]
+    index = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get("firsts", at + step) <= F.col("rank"), at + step).otherwise(at))
     at = joined.withColumn("at", index)
     at = at.withColumns({"within": F.col("rank") - F.get("firsts", F.col("at")), "width": F.get("widths", F.col("at"))})
     slot = F.expr("within div width")
