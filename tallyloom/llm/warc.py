@@ -11,9 +11,12 @@ Archives are written by Spark's text sink, gzipped: the record separator of the
 any store that Spark can write will do. The size of an archive is that of a shuffle
 partition.
 
+Pages are numbered in a written table first, so that a row keeps its record ids whatever plan it comes from.
+
 Null html is an empty payload, a null url an empty target. Repeated page ids give
 captures of their own. Where rows that share the largest page_id share the payload too,
-all of them are responses. A null page_id counts as the smallest. An empty table gives an empty result.
+all of them are responses. A null page_id counts as the smallest. Very long html is one
+record, the only thing beside the compressed archive that a reading task holds. Other columns of the input, whatever their names, have no effect. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -41,7 +44,8 @@ def dedup_plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """row, page_id, url, html, n, digest, original, first: original is the page_id that a revisit refers to, else null; first marks the response that it is."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     firsts = rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("page_id", -F.col("row"))).alias("top"))
     joined = rows.join(firsts, rows["digest"] == firsts["d"], "left").withColumn("newest", F.col("top.page_id"))
     original = F.when((F.col("n") >= least) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))), F.col("newest"))
@@ -84,27 +88,56 @@ def write_archives(pages: DataFrame, path: str) -> None:
     plan.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def inflated(data: bytes, step: int = 1 << 18):
+    """Pieces of an archive, gzipped (any number of members) or not."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    z = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        left = data[at : at + step]
+        while left:
+            yield z.decompress(left, step)
+            left = z.unconsumed_tail
+            if z.eof:
+                left, z = z.unused_data, zlib.decompressobj(31)
+    yield z.flush()
+
+
 def parse_records(data: bytes):
-    """(headers, content) of each record of one archive, gzipped (any number of members) or not."""
-    if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data:
-            z = zlib.decompressobj(31)
-            whole.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(whole)
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+    """(headers, content) of each record of one archive. Only the compressed archive and one record are held."""
+    pieces, held, at = inflated(data), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (head := held.find(b"\r\n\r\n", at)) < 0 and more():
+            pass
+        if head < 0:
+            if held[at:].strip():
+                raise ValueError("an archive ends within a record")
+            return
+        if not held.startswith(b"WARC/", at):
+            raise ValueError(f"no record begins with {bytes(held[at : at + 20])!r}")
         fields = {}
-        for line in data[at:head].split(b"\r\n")[1:]:
+        for line in bytes(held[at:head]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             fields[name.strip().decode().lower()] = value.strip().decode()
-        size = int(fields["content-length"])
-        yield fields, data[head + 4 : head + 4 + size]
-        at = head + 4 + size + 4
+        begin, end = head + 4, head + 4 + int(fields["content-length"])
+        while len(held) < end and more():
+            pass
+        if len(held) < end:
+            raise ValueError("an archive ends within a record")
+        yield fields, bytes(held[begin:end])
+        at = end + 4
+        if at > 1 << 20:
+            while len(held) < at and more():
+                pass
+            del held[:at]
+            at = 0
 
 
 def _rows(with_payload: bool):
@@ -138,7 +171,7 @@ def _rows(with_payload: bool):
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """One row for each record (RECORDS_SCHEMA). An archive is held by one task at a time."""
+    """One row for each record (RECORDS_SCHEMA). A task holds one archive at a time, compressed."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_rows(with_payload), RECORDS_SCHEMA)
 
@@ -161,7 +194,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def op2_warc(spark, sf_dir):
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path, with_payload=False).drop("headers", "payload")
+    # The archives are read and parsed once; the joins take this table.
+    records = materialize(read_archives(spark, path, with_payload=False).drop("headers", "payload"), "records")
     whole = assemble(records)
     originals = whole.where(F.col("capture.type") == "response").select(F.col("rid").alias("o"), F.col("metadata.page_id").alias("original_page"), F.col("capture.payload_bytes").alias("original_bytes"), F.col("capture.payload_digest").alias("original_digest"))
     revisit = F.col("capture.type") == "revisit"
