@@ -5,13 +5,14 @@ url's path starts with the rule's path. Every url yields the keys that a rule co
 have (suffixes of its host, as many labels as the longest listed host has; prefixes of
 its path, of the lengths that listed paths have). The keys probe a blocked Bloom
 filter of the listed (host, path) pairs: one block of eight 32-bit words for each key,
-one bit in each word. What passes goes to an exact hash join with the rules, which
-removes false positives, and the longest rule that fits wins.
+one bit in each word; hosts alone go through a filter of the listed hosts first. What passes goes to an exact hash join with the rules, which
+removes false positives, and the longest rule that fits wins. Urls are numbered in a written table.
 
 Null urls, and urls without "://", have empty host and path; they fit no rule unless
 one with an empty host is listed. Repeated rows are judged each on its own. Rules that
 repeat are taken once; of two rules of the same length, that with the greater
-"rule" string wins, then "block" before "allow".
+"rule" string wins, then "block" before "allow". Very long urls are judged whole. Other columns of the input, whatever their names, have no
+effect. An empty table gives an empty result, and without rules every url has the default.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, broadcast_if, table
+from .common import ascii_lower, broadcast_if, materialize, table
 
 RULES_SCHEMA = "rule_host string, rule_path string, action string"
-#: The filter has at most so many blocks of 32 bytes: 2 MB, whatever the number of rules.
-MAX_BLOCKS = 1 << 16
+#: The filters have a block of 32 bytes for so many rules. They are broadcast where they are counted to be small, else joined by block.
 KEYS_PER_BLOCK = 8
 WORDS = 8
 
@@ -70,9 +70,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"),
         F.max(F.length(F.concat("rule_host", "rule_path"))).alias("widest"),
     ).first()
-    blocks = max(1, min(MAX_BLOCKS, -(-facts["n"] // KEYS_PER_BLOCK)))
+    blocks = max(1, -(-facts["n"] // KEYS_PER_BLOCK))
     host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id()), "urls")
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(facts["labels"] or 1))),
@@ -80,28 +80,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     fitting = [n for n in facts["lengths"] or []]
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in fitting]) if fitting else F.array().cast("array<string>"), lambda p: p.isNotNull())
-    probes = (
-        rows.withColumn("key_host", F.explode_outer(suffixes))
-        .withColumn("key_path", F.explode_outer(prefixes))
-        .withColumn("h", _key_hash(F.col("key_host"), F.col("key_path")))
-        .withColumn("block", _block(F.col("h"), blocks))
-    )
-    bloom = bloom_blocks(rules, blocks)
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(F.col("h"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    # At most MAX_BLOCKS rows, so the broadcast has a bound.
-    passed = probes.join(F.broadcast(bloom), "block", "left").withColumn("key", F.when(F.col("key_host").isNotNull() & F.col("key_path").isNotNull() & F.coalesce(hit, F.lit(False)), F.struct("key_host", "key_path")))
+
+    def passing(probes: DataFrame, filter_rows: DataFrame) -> DataFrame:
+        """Probes (with h, their hash) that the filter lets pass."""
+        hit = F.lit(True)
+        for i, m in enumerate(_masks(F.col("h"))):
+            hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
+        found = probes.withColumn("block", _block(F.col("h"), blocks)).join(broadcast_if(filter_rows, blocks, 80), "block")
+        return found.where(hit).drop("block", "h", *[f"w{i}" for i in range(WORDS)])
+
+    # Hosts are probed first, so that only urls of listed hosts have their paths' prefixes made.
+    of_host = passing(rows.withColumn("key_host", F.explode(suffixes)).withColumn("h", _key_hash(F.col("key_host"), F.lit(""))), bloom_blocks(rules.withColumn("rule_path", F.lit("")), blocks))
+    of_both = passing(of_host.withColumn("key_path", F.explode(prefixes)).withColumn("h", _key_hash(F.col("key_host"), F.col("key_path"))), bloom_blocks(rules, blocks))
     listed = rules.select(
-        F.struct(F.col("rule_host").alias("key_host"), F.col("rule_path").alias("key_path")).alias("key"),
+        F.col("rule_host").alias("key_host"), F.col("rule_path").alias("key_path"),
         F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), F.col("action").alias("action")).alias("found"),
     )
-    # The exact join; the probes of one row are in one task, so the aggregation combines them before its shuffle.
-    exact = passed.join(broadcast_if(listed, facts["n"], 64 + 8 * (facts["widest"] or 0)), "key", "left")
-    best = exact.groupBy("row", "id", "host", "path").agg(F.max("found").alias("found"))
-    return best.select(
-        F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.action"), F.lit(default)).alias("verdict")
-    )
+    exact = of_both.select("row", "key_host", "key_path").join(broadcast_if(listed, facts["n"], 64 + 8 * (facts["widest"] or 0)), ["key_host", "key_path"])
+    best = exact.groupBy("row").agg(F.max("found").alias("found"))
+    # Only urls that a rule fits are shuffled for it.
+    out = rows.join(best, "row", "left")
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.action"), F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query's contract.
