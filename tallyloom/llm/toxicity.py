@@ -12,6 +12,8 @@ table, so that a word costs one gather.
 Thresholds by language are calibrated on the part of the sample that training leaves
 out; they are used for `flag`, never for the score.
 
+The sample has one text for each id, and whole texts only: those past MAX_WORDS words in all, in the order of their hashes, are left out.
+
 Null and empty texts have the score of a text without words. Labels that repeat count as
 toxic if one of them does. Without labels of both kinds, every score is the rate of toxic
 labels, or 0. An empty table gives an empty result.
@@ -24,12 +26,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bound of the training sample, in rows.
-MAX_TRAIN = 8000
+#: Bounds of the training sample, in documents and in words.
+MAX_TRAIN, MAX_WORDS = 8000, 8_000_000
 MIN_DOCS, MAX_ROWS = 4, 60_000
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 EPOCHS, BATCH = 8, 64
@@ -222,7 +225,7 @@ def _ids(text: str | None, words: Cached, kind) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
-    """Fit on at most MAX_TRAIN labelled rows of docs whose crc32(doc_id) mod 5 isn't 0."""
+    """Fit on at most MAX_TRAIN labelled documents, of MAX_WORDS words in all, whose crc32(doc_id) mod 5 isn't 0."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 0)).groupBy(F.col("doc_id").alias("i")).agg(F.max("toxic").cast("int").alias("y"))
     # Bounded by MAX_TRAIN rows.
@@ -235,7 +238,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
             ids = [_ids(t, words, "<u8").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), pa.array(ids, pa.binary())], ["doc_id", "y", "lang", "ids"])
 
-    got = texts.mapInArrow(run, "doc_id long, y int, lang string, ids binary").toArrow().to_pylist()
+    hashed = texts.mapInArrow(run, "doc_id long, y int, lang string, ids binary")
+    one = hashed.groupBy("doc_id").agg(F.min(F.struct("ids", "lang", "y")).alias("r")).select("doc_id", "r.*")
+    # A window over MAX_TRAIN rows at most.
+    words = F.sum(F.octet_length("ids") / 8).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = one.withColumn("words", words).where(F.col("words") <= MAX_WORDS).drop("words").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["ids"]))
     return fit([(np.frombuffer(r["ids"], "<u8"), int(r["y"] > 0), r["lang"]) for r in got])
 

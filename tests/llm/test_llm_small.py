@@ -286,6 +286,33 @@ def test_packing_of_very_short_texts(spark):
     assert placed == collections.Counter({k: v for k, v in histogram.items() if v}) and len(patterns) < 8192
 
 
+def test_packing_of_words_without_end(spark):
+    """Words of a megabyte, ASCII and not, are cut, and are not kept in the cache; the cache is bounded in what it holds."""
+    path = P.path("word_bpe_49k.json")
+    own = packing.WordIds(path)
+    texts = ["abcdefghij" * 100_000, "日本語" * 50_000, "short words", None, "x" * 65]
+    ids = own.ids(texts)
+    assert all(len(w) <= packing.LONGEST_KEPT for w in own.known) and all(len(w) <= packing.LONGEST_KEPT for w in own.bases)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(packing.portions(["a" * (5 << 20), "b", "c" * (3 << 20), "d" * (2 << 20)])) == [(0, 1), (1, 3), (3, 4)]
+
+
+def test_packing_fills_sequences():
+    rnd = random.Random(3)
+    for histogram in ({10: 100_000}, {5: 50_000, 12: 30_000, 20: 10_000}, {n: rnd.randint(1, 9000) for n in range(1, 31)}, {n: rnd.randint(1, 50) for n in range(1, 2049)}):
+        patterns = packing.shortest_pack_first(histogram, packing.MAX_LEN)
+        used = collections.Counter()
+        for n, slots in patterns:
+            assert sum(length * times for length, times in slots) <= packing.MAX_LEN
+            for length, times in slots:
+                used[length] += n * times
+        assert used == histogram
+        assert sum(k * n for k, n in histogram.items()) / (packing.MAX_LEN * sum(n for n, _ in patterns)) >= 0.99
+
+
 def test_word_ids_like_library():
     from tokenizers import Tokenizer
 
@@ -332,6 +359,32 @@ def test_tiff_pages_and_texts(spark, docs, rows, empty):
         b = (t or "").encode()
         assert got[i] == b + b"\xff" * (-len(b) % 576 if b else 576)
     assert tiff.read_pages(tiff.text_media(empty)).count() == 0
+    assert len({(r["compression"]) for r in tiff.read_pages(tiff.text_media(docs)).select("compression").distinct().collect()}) == 3
+
+
+def test_tiff_damaged(spark):
+    whole = tiff.encode_tiff([np.arange(192, dtype=np.uint8).reshape(8, 8, 3), np.zeros((4, 4, 1), np.uint8)], tiff.DEFLATE)
+    odd = [whole[:n] for n in (5, 9, 60, len(whole) - 3)] + [b"II*\x00\x08", whole.replace(tiff.struct.pack("<HHI", tiff.COMPRESSION, 3, 1) + b"\x08", tiff.struct.pack("<HHI", tiff.COMPRESSION, 3, 1) + b"\x07"), whole[:8] + b"\xff" * 40 + whole[48:]]
+    media = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate([whole, *odd])], "id long, media binary")
+    got = collections.defaultdict(list)
+    for r in tiff.read_pages(media).collect():
+        got[r["id"]].append((r["page"], r["error"]))
+    assert sorted(got.pop(0)) == [(0, None), (1, None)]
+    assert all(sum(e is not None for _, e in pages) <= 1 for pages in got.values()) and sum(e is not None for pages in got.values() for _, e in pages) >= 5
+
+
+def test_media_query(spark, tmp_path, rows):
+    """Every column of op7 against the stored form, made here once more; repeated rows, null and shared ids."""
+    more = [*rows, (3, rows[3][1]), (None, "no id"), (3, "another text")]
+    spark.createDataFrame(more, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("media", F.lit("clash")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r) for r in tiff.op7_media_columns(spark, str(tmp_path)).drop("feature").collect())
+    want = collections.Counter()
+    for i, t in more:
+        b = (t or "").encode()
+        full = b + b"\xff" * (-len(b) % 576 if b else 576)
+        media = tiff.encode_tiff([np.frombuffer(full, np.uint8).reshape(-1, 64, 3)], **tiff.FORMS[zlib.crc32(full) % len(tiff.FORMS)])
+        want[i, len(b), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    assert got == want
 
 
 def test_url_filter(spark):
