@@ -17,6 +17,11 @@ TOTAL_WORDS = ("계", "합계", "소계", "총계", "total", "subtotal")
 SPACES = r"(?U)\s+"
 
 
+def once(c: Column, fn) -> Column:
+    """fn(c), where c is evaluated once however often fn uses it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def nullif_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -62,32 +67,55 @@ def label_key(c: Column) -> Column:
 
 
 def compact_hangul(c: Column) -> Column:
-    """Drop the spaces inside Hangul words, and between a digit and Hangul."""
-    return F.regexp_replace(clean_label(c), r"(?<=[가-힣0-9])\s+(?=[가-힣])", "")
+    """Words joined by blanks, but for those of Hangul that follow Hangul or a digit, which are joined as they are."""
+
+    def put(line: Column, word: Column) -> Column:
+        close = F.right(line, F.lit(1)).rlike("[가-힣0-9]") & F.left(word, F.lit(1)).rlike("[가-힣]")
+        return F.when(line == "", word).otherwise(F.concat(line, F.when(close, "").otherwise(" "), word))
+
+    return F.aggregate(F.split(clean_label(c), " "), F.lit(""), put)
 
 
 def hangul_head(c: Column) -> Column:
-    """The part before an English gloss."""
-    text = clean_label(c)
-    head = F.trim(F.regexp_extract(text, r"^(.+?)\s+(?=[A-Za-z]+(?:\s|$)|\d+s\b)", 1))
-    return F.when(text.rlike("[가-힣]") & (head != ""), head).otherwise(text)
+    """The words before an English gloss, which begins with a word of Latin letters only, or one like 20s."""
+
+    def of(text: Column) -> Column:
+        words = F.split(text, " ")
+        gloss = F.transform(words, lambda w, i: F.when((i > 0) & (w.rlike("^[A-Za-z]+$") | w.rlike("^[0-9]+s\\b")), i))
+        head = once(F.array_min(gloss), lambda n: F.array_join(F.slice(words, 1, n), " "))
+        return F.when(text.rlike("[가-힣]"), F.coalesce(head, text)).otherwise(text)
+
+    return once(clean_label(c), of)
 
 
 def display_label(c: Column) -> Column:
-    text = compact_hangul(hangul_head(c))
-    korean = F.trim(F.regexp_extract(text, r"^([가-힣･·ㆍ\s]+)", 1))
-    return F.when(F.length(F.regexp_replace(korean, "[^가-힣]", "")) >= 2, korean).otherwise(text)
+    """A label without its gloss; only its Hangul, if it begins with two or more of it."""
+
+    def of(text: Column) -> Column:
+        stop = F.array_position(F.transform(F.split(text, ""), lambda x: x.rlike("[가-힣･·ㆍ ]")), F.lit(False))
+        begin = F.when(stop > 0, F.substring(text, F.lit(1), (stop - 1).cast("int"))).otherwise(text)
+        return once(F.trim(begin), lambda k: F.when(F.regexp_count(k, F.lit("[가-힣]")) >= 2, k).otherwise(text))
+
+    return once(compact_hangul(hangul_head(c)), of)
+
+
+def short_label(c: Column) -> Column:
+    return compact_hangul(hangul_head(c))
 
 
 def label_keys(c: Column) -> Column:
-    """All keys under which a label may be asked for."""
-    parts = F.transform(F.split(clean_label(c), "_"), lambda p: label_key(compact_hangul(hangul_head(p))))
-    keys = F.array(label_key(clean_label(c)), label_key(compact_hangul(hangul_head(c))), F.array_join(parts, "_"))
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+    """All keys under which a label may be asked for: its own, that without gloss, and that of its parts without theirs."""
+
+    def of(text: Column) -> Column:
+        parts = F.array_join(F.transform(F.split(text, "_"), short_label), "_")
+        return F.array_distinct(F.filter(F.transform(F.array(text, short_label(text), parts), label_key), lambda k: k != ""))
+
+    return once(clean_label(c), of)
 
 
 def leaf(c: Column) -> Column:
-    return F.element_at(F.split(clean_label(c), "_"), -1)
+    """The last part of a label in several parts; empty if it has one."""
+    return once(F.split(clean_label(c), "_"), lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(""))
 
 
 def is_total(c: Column) -> Column:

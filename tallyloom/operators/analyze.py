@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,14 @@ class Answer:
     limitations: list[str] = field(default_factory=list)
     source_tables: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
-    total: int | None = None
     relaxed: bool = False
+    #: All rows of a list, of which rows is a page.
+    every: DataFrame | None = None
+
+    @cached_property
+    def total(self) -> int | None:
+        """Rows of a list before limit and offset; counted when it is asked for."""
+        return None if self.every is None else self.every.count()
 
 
 @dataclass(frozen=True)
@@ -182,13 +188,13 @@ def analyze(
     empty = (lambda df: not df.first()["value"]) if operation == "count" else (lambda df: df.isEmpty())
     if defaulted and offset == 0 and empty(rows):
         rows, relaxed = plan(None), True
-    total = None
+    every = None
     if operation == "list":
-        total = rows.count()
+        every = rows
         order = [F.col(x).desc_nulls_last() if x == "publication_year" else F.col(x).asc_nulls_last() for x in rows.columns]
         rows = rows.orderBy(*order).offset(offset).limit(limit)
     elif operation == "breakdown":
         keys = GROUPS[group_by][1]
         rows = rows.orderBy(*[F.col(k).desc_nulls_last() if k == "publication_year" else F.col(k).asc_nulls_last() for k in keys]).limit(limit)
     m = METRICS[subject]
-    return Answer(rows, m.definition, f"distinct {', '.join(m.columns)}", list(m.limitations), sorted({"publications", "statistics", *({m.child} - {None})}), ["the year was widened"] if relaxed else [], total, relaxed)
+    return Answer(rows, m.definition, f"distinct {', '.join(m.columns)}", list(m.limitations), sorted({"publications", "statistics", *({m.child} - {None})}), ["the year was widened"] if relaxed else [], relaxed, every)

@@ -44,8 +44,8 @@ def sort_by_value(records: DataFrame, descending: bool = True) -> DataFrame:
     """order_no: categories by their sum, then by where they come first."""
     sums = records.groupBy("x").agg(F.sum("value").alias("total"), F.min("pos").alias("first_pos"))
     order = F.col("total").desc() if descending else F.col("total").asc()
-    joined = records.join(sums, "x")
-    return joined.withColumn("order_no", F.dense_rank().over(W.orderBy(order, "first_pos", "x")))
+    # A window over the categories, not over their records.
+    return records.join(sums.withColumn("order_no", F.row_number().over(W.orderBy(order, "first_pos", "x"))), "x")
 
 
 def time_order() -> list[Column]:

@@ -21,10 +21,16 @@ def is_ratio(name: str) -> bool:
 
 
 def series_points(rows: DataFrame, label: str, value: str, years: bool = False) -> DataFrame:
-    """key, value: ratios of a key are averaged, all else is summed; keys of the whole are left out."""
-    keyed = rows.select(canonical_key(F.col(label), years).alias("key"), F.col(value).alias("value"), F.col("pos") if "pos" in rows.columns else F.lit(0).alias("pos")).where("value IS NOT NULL")
-    agg = F.avg("value") if is_ratio(value) else F.sum("value")
-    return keyed.where(~is_whole(F.col("key"))).groupBy("key").agg(agg.alias("value"), F.min("pos").alias("pos"))
+    """key, value: ratios of a key are averaged, all else is summed; keys of the whole are left out.
+
+    Rows are combined by their labels as they stand first, so that keys are made of the few distinct labels only.
+    """
+    pos = F.col("pos") if "pos" in rows.columns else F.lit(0)
+    raw = rows.select(F.col(label).alias("label"), F.col(value).alias("v"), pos.alias("pos")).where("v IS NOT NULL")
+    labels = raw.groupBy("label").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    total = F.try_divide(F.sum("v"), F.sum("n")) if is_ratio(value) else F.sum("v")
+    keyed = labels.groupBy(canonical_key(F.col("label"), years).alias("key")).agg(total.alias("value"), F.min("pos").alias("pos"))
+    return keyed.where(~is_whole(F.col("key")))
 
 
 def align(series: dict[str, DataFrame], how: str = "outer") -> DataFrame:
@@ -79,6 +85,8 @@ def pairs(rows: DataFrame, label: str, x: str, y: str) -> DataFrame:
     return rows.select(F.col(label).alias("label"), F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
 
 
-def joined_rows(records: DataFrame, key: str, series: list[str]) -> DataFrame:
-    """Long records to one column for each of the named series."""
-    return records.groupBy(key).pivot("series", series).agg(F.first("value"))
+def joined_rows(records: DataFrame, key: str, series: list[str], limit: int | None = None) -> DataFrame:
+    """Long records to one column for each of the named series; of records that share key and series the first by pos. limit: so many rows, by key."""
+    first = F.min_by("value", "pos") if "pos" in records.columns else F.min("value")
+    wide = records.groupBy(key).pivot("series", series).agg(first)
+    return wide if limit is None else wide.orderBy(F.col(key).asc_nulls_last()).limit(limit)

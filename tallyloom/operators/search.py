@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import edition_rank
-from ..functions.text import match_key, text_tokens
+from ..functions.text import match_key, once, text_tokens
 from ..functions.vectors import cosine_distance
 
 # The constant of reciprocal ranks, weights of the ways to find something, and additions for labels.
@@ -48,19 +50,19 @@ def _times(tokens: Column, word: str) -> Column:
 
 def word_score(text: Column, words: list[str]) -> Column:
     """How often the words occur, if all of them do; a stand-in for cover density that other engines can compute."""
-    tokens = text_tokens(text)
-    counts = [_times(tokens, w.lower()) for w in words]
-    every = F.lit(True)
-    for c in counts:
-        every = every & (c > 0)
-    return F.when(every, sum(counts[1:], counts[0]))
+    if not words:
+        return F.lit(None).cast("int")
+
+    def of(counts: Column) -> Column:
+        return F.when(F.forall(counts, lambda n: n > 0), F.aggregate(counts, F.lit(0), lambda a, n: a + n))
+
+    return once(once(text_tokens(text), lambda t: F.array(*[_times(t, w.lower()) for w in words])), of)
 
 
 def cover_density(text: Column, words: list[str]) -> Column:
     """Sum over the shortest stretches that hold all words of 0.1 over their length in words."""
     want = [w.lower() for w in words]
-    tokens = text_tokens(text)
-    place = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    place = F.transform(text_tokens(text), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
     hits = F.filter(place, lambda p: p["t"].isin(*want))
     start = F.struct(F.array(*[F.lit(-1)] * len(want)).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
 
@@ -75,10 +77,39 @@ def cover_density(text: Column, words: list[str]) -> Column:
 
 
 def by_words(rows: DataFrame, text: str, words: list[str], k: int, ties: tuple = (), score=word_score) -> DataFrame:
-    found = rows.withColumn("score", score(F.col(text), words)).where("score > 0")
+    # The score is made and tested in one step, so that texts are split once.
+    kept = F.filter(F.array(score(F.col(text), words)), lambda s: s > 0)
+    found = rows.select("*", F.explode(kept).alias("score"))
     return found.orderBy(F.col("score").desc(), *ties).limit(k)
 
 
+def compact(c: Column) -> Column:
+    """Lower case without blanks and joining marks, to look for words in labels."""
+    return F.regexp_replace(F.lower(c), r"(?U)[\s·･_/-]+", "")
+
+
+def best_label(labels: Column, words: list[str]) -> Column:
+    """(label, exact, coverage): the first label that holds the words as they stand, else that which holds most of them, of equal ones the longest, then the first."""
+    if not words:
+        first = F.try_element_at(labels, F.lit(1))
+        return F.when(F.size(labels) > 0, F.struct(first.alias("label"), F.lit(False).alias("exact"), F.lit(0.0).alias("coverage")))
+    phrase = " ".join(words).lower()
+    small = [re.sub(r"[\s·･_/-]+", "", w.lower()) for w in words]
+
+    def held(label: Column) -> Column:
+        return once(compact(label), lambda x: sum((x.contains(w).cast("int") for w in small[1:]), x.contains(small[0]).cast("int")))
+
+    def ranked(label: Column, i: Column) -> Column:
+        whole = F.lower(label).contains(phrase)
+        n = F.when(whole, len(small)).otherwise(held(label))
+        return F.struct(whole.alias("whole"), F.when(whole, -i).otherwise(n).alias("first"), F.length(label).alias("length"), (-i).alias("at"), n.alias("n"), label.alias("label"))
+
+    def given(best: Column) -> Column:
+        return F.when(best.isNotNull(), F.struct(best["label"].alias("label"), (best["n"] == len(small)).alias("exact"), (best["n"] / float(len(small))).alias("coverage")))
+
+    return once(F.array_max(F.transform(labels, ranked)), given)
+
+
 def coverage(label: Column, words: list[str]) -> Column:
     """The share of the words that a label contains."""
     n = sum((F.lower(label).contains(w.lower()).cast("int") for w in words), F.lit(0))
@@ -110,7 +141,7 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], limit:
 
 def best_source(rows: DataFrame, item: str = "stat_id") -> DataFrame:
     """Of each item the row of highest priority; of equal ones the first by way and rank."""
-    order = W.partitionBy(item).orderBy(F.col("priority").desc(), F.col("path"), F.col("rank"))
+    order = W.partitionBy(item).orderBy(F.col("priority").desc(), F.col("way" if "way" in rows.columns else "path"), F.col("rank"))
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

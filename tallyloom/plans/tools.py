@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,27 +47,44 @@ def search_tables(c: Catalog, stat_id: int, seq: int | None = None, row_label: s
     return long if row_label is None else cells.rows_by_label(long, ["stat_id", "table_seq"], row_label)
 
 
-def _gain(path: str, rank: Column, label: Column | None, words: list[str]) -> Column:
-    """The weight of a chunk's way over its rank; labels other than notes get more if they hold the words."""
-    note = F.col("chunk_kind") == "notes"
-    base = F.when(note, search.WEIGHTS[f"note_{path}"]).otherwise(search.WEIGHTS[f"table_{path}"]) / (search.RRF_K + rank)
-    if label is None or not words:
-        return base
-    share = search.coverage(label, words)
-    exact = F.coalesce(F.exists("search_labels", lambda x: F.lower(F.trim(x)) == " ".join(words).lower()), F.lit(False))
-    return base + F.when(~note & exact, search.EXACT_BONUS).otherwise(0.0) + share * search.TOKEN_BONUS
-
-
-def search_statistics(c: Catalog, query: str, vector: list[float] | None = None, kind: str = "all", year: int | None = None, period: str | None = None, limit: int = 5) -> Found:
+# What a chunk of each kind says of a statistic; all other kinds are labels of rows.
+CHUNK_SOURCES = {"headers": "column", "notes": "footnote"}
+
+
+def _evidence(hits: DataFrame, way: str, words: list[str]) -> DataFrame:
+    """hits (with rank) of one way to look through chunks: stat_id, path, way, rank, gain, priority, matched_source, matched_text, table_seq."""
+    source = F.coalesce(F.create_map(*[F.lit(x) for kv in CHUNK_SOURCES.items() for x in kv])[F.col("chunk_kind")], F.lit("row_label"))
+    rows = hits.withColumns({"source": source, "best": search.best_label(F.coalesce("search_labels", F.array().cast("array<string>")), words)})
+    note, exact = F.col("source") == "footnote", F.coalesce(F.col("best.exact"), F.lit(False))
+    weight = F.when(note, search.WEIGHTS[f"note_{way}"]).otherwise(search.WEIGHTS[f"table_{way}"])
+    gain = weight / (search.RRF_K + F.col("rank")) + F.coalesce(F.col("best.coverage"), F.lit(0.0)) * search.TOKEN_BONUS
+    if way == "lexical":
+        gain = gain + F.when(exact & ~note, search.EXACT_BONUS).otherwise(0.0)
+        priority = F.when(note, search.PRIORITIES["note"]).when(exact & (F.col("source") == "column"), search.PRIORITIES["lexical_exact_column"]).otherwise(search.PRIORITIES["lexical"])
+    else:
+        priority = F.when(~note & (F.col("source") == "column"), search.PRIORITIES["vector_column"]).otherwise(search.PRIORITIES["vector_row"])
+    path = F.concat(F.when(note, "note_").otherwise("table_"), F.lit(way))
+    return rows.select(
+        "stat_id", path.alias("path"), F.lit(1 if way == "lexical" else 2).alias("way"), "rank", gain.alias("gain"), priority.alias("priority"),
+        F.col("source").alias("matched_source"), F.col("best.label").alias("matched_text"), "table_seq",
+    )
+
+
+def search_statistics(
+    c: Catalog, query: str, vector: list[float] | None = None, kind: str = "all", year: int | None = None, period: str | None = None, limit: int = 5, profile: str | None = None, score=search.word_score
+) -> Found:
     """Statistics by title vector, chunk words and chunk vector, fused; kinds of publications take turns.
 
     Of each title only the newest edition is looked at, which is chosen before year and period are. If a year finds nothing, all years are looked
-    through once.
+    through once. profile: only vectors made that way. Each statistic comes with the place and text by which it was found best, the words of the query it holds,
+    and whether it has tables. score: how words are ranked.
     """
     if not 1 <= limit <= MOST_FOUND:
         raise ValueError(f"limit is 1 to {MOST_FOUND}")
     words, k = query_tokens(query), search.pool_size(limit)
     lists, relaxed = [], False
+    made = (lambda df: df) if profile is None else (lambda df: df.where(F.col("embedding_profile_key") == profile))
+    with_tables = c.stat_tables.select(F.col("stat_id").alias("_s")).distinct()
     for one in kinds_of(kind):
         newest = search.latest_editions(base_rows(c).where((F.col("publication_kind") == one) & F.col("stat_id").isNotNull()).withColumn("period", F.col("publication_period")))
 
@@ -75,22 +93,31 @@ def search_statistics(c: Catalog, query: str, vector: list[float] | None = None,
             ties = (F.col("publication_year").desc(), F.col("stat_id"))
             parts = []
             if vector is not None:
-                near = search.nearest(base.select("stat_id", "publication_year", "embedding"), F.lit(vector), k, ties=ties)
-                parts.append(search.contributions(near, "title", [F.col("distance"), *ties]).select("stat_id", "path", "gain"))
+                near = search.nearest(made(base), F.lit(vector), k, ties=ties).withColumn("rank", F.row_number().over(W.orderBy(F.col("distance"), *ties)))
+                gain = search.WEIGHTS["title"] / (search.RRF_K + F.col("rank"))
+                none = F.lit(None).cast("int")
+                parts.append(near.select("stat_id", F.lit("title").alias("path"), F.lit(0).alias("way"), "rank", gain.alias("gain"), F.lit(1).alias("priority"), F.lit("title").alias("matched_source"), F.col("title_ko").alias("matched_text"), none.alias("table_seq")))
             if c.chunks is not None:
-                chunks = c.chunks.join(base.select("stat_id", "publication_year"), "stat_id")
+                seqs = c.stat_tables.select("table_id", F.col("seq").alias("table_seq"))
+                chunks = c.chunks.join(base.select("stat_id", "publication_year"), "stat_id").join(seqs, "table_id", "left")
                 more = (*ties, F.col("chunk_no"), F.col("chunk_id"))
                 if words:
-                    hits = search.by_words(chunks, "search_text", words, k, more).withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), *more)))
-                    parts.append(hits.select("stat_id", F.concat(F.lit("words_"), F.when(F.col("chunk_kind") == "notes", "note").otherwise("table")).alias("path"), _gain("lexical", F.col("rank"), F.col("search_text"), words).alias("gain")))
+                    hits = search.by_words(chunks, "search_text", words, k, more, score).withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), *more)))
+                    parts.append(_evidence(hits, "lexical", words))
                 if vector is not None:
-                    hits = search.nearest(chunks, F.lit(vector), k, ties=more).withColumn("rank", F.row_number().over(W.orderBy(F.col("distance"), *more)))
-                    parts.append(hits.select("stat_id", F.concat(F.lit("vector_"), F.when(F.col("chunk_kind") == "notes", "note").otherwise("table")).alias("path"), _gain("vector", F.col("rank"), F.col("search_text"), words).alias("gain")))
+                    hits = search.nearest(made(chunks), F.lit(vector), k, ties=more).withColumn("rank", F.row_number().over(W.orderBy(F.col("distance"), *more)))
+                    parts.append(_evidence(hits, "vector", words))
             if not parts:
                 raise ValueError("nothing to look for")
-            scores = search.fuse(parts)
-            shown = base.select("stat_id", "ref_id", "title_ko", "publication_kind", "publication_year", "publication_period").join(scores, "stat_id")
-            shown = shown.withColumns({"score": F.bround("score", 6), "edition": edition_label(F.col("publication_year"), F.col("publication_period"), F.col("publication_kind"))})
+            found = reduce(DataFrame.unionByName, parts)
+            scores = search.fuse([found.select("stat_id", "path", "gain")])
+            best = search.best_source(found).select("stat_id", "matched_source", "matched_text", "table_seq")
+            shown = base.select("stat_id", "ref_id", "title_ko", "chapter", "section", "unit", "publication_kind", "publication_year", "publication_period").join(scores, "stat_id").join(best, "stat_id")
+            shown = shown.join(with_tables, F.col("stat_id") == F.col("_s"), "left").withColumn("has_tables", F.col("_s").isNotNull()).drop("_s")
+            text = F.lower(F.concat_ws(" ", "title_ko", "chapter", "section", "unit", "matched_text"))
+            tokens = F.filter(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), lambda w: text.contains(F.lower(w)))
+            edition = edition_label(F.col("publication_year"), F.col("publication_period"), F.col("publication_kind"))
+            shown = shown.withColumns({"score": F.bround("score", 6), "edition": edition, "matched_tokens": tokens})
             return search.first_of_each(shown, ["ref_id", "title_ko"], [F.col("score").desc(), F.col("publication_year").desc(), F.col("stat_id")], limit)
 
         rows = fused(year)

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import text_tokens
 
 KINDS = ("yearbook", "major_statistics")
 PERIODS = ("", "H1", "H2")
+#: The partition of editions without a period: it can't be named by an empty text.
+ANNUAL = "annual"
 # Other spellings of the halves of a year.
 PERIOD_ALIASES = {"": "", "none": "", "annual": "", "h1": "H1", "1h": "H1", "first_half": "H1", "상반기": "H1", "h2": "H2", "2h": "H2", "second_half": "H2", "하반기": "H2"}
 
@@ -56,10 +67,7 @@ class Catalog:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Catalog:
-        def get(name: str) -> DataFrame:
-            return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
-
-        return cls(*(get(n) for n in ("publications", "statistics", "stat_tables", "footnotes", "contacts", "table_search_chunks")))
+        return cls(*(read_table(spark, path, n) for n in ("publications", "statistics", "stat_tables", "footnotes", "contacts", "table_search_chunks")))
 
 
 def duplicates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -78,8 +86,9 @@ def assign_ids(new: DataFrame, order: list[str], id_col: str, start: int = 0) ->
 
 
 def check_edition(statistics: DataFrame, year: int) -> list[str]:
-    """What is wrong with the statistics of one edition before it is loaded; one aggregation."""
-    faults = statistics.agg(
+    """What is wrong with the statistics of one edition before it is loaded; one aggregation. Columns that aren't given aren't checked."""
+    missing = [c for c in ("ref_id", "title_ko") if c not in statistics.columns]
+    faults = statistics.withColumns({c: F.monotonically_increasing_id().cast("string") for c in missing}).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.trim("ref_id"), F.lit("")) == "").alias("no_ref"), F.count_if(F.coalesce(F.trim("title_ko"), F.lit("")) == "").alias("no_title"),
         (F.count("ref_id") - F.count_distinct("ref_id")).alias("repeated"),
     ).first()
@@ -89,18 +98,147 @@ def check_edition(statistics: DataFrame, year: int) -> list[str]:
     return out
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a table of the catalogue in their order and types; those that are missing are null."""
+    fields = T.StructType.fromDDL(SCHEMAS[name])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the catalogue under path, without rows if no edition is loaded. The only place that knows how editions are written."""
+    fields = {f.name: f for f in T.StructType.fromDDL(SCHEMAS[name])}
+    edition = [T.StructField("publication_kind", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("period", T.StringType())]
+    schema = T.StructType([*fields.values(), *(f for f in edition if f.name not in fields)])
+    try:
+        df = spark.read.schema(schema).parquet(f"{path}/{name}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], SCHEMAS[name])
+    return df.withColumn("period", F.when(F.col("period") != ANNUAL, F.col("period")).otherwise("")).select(*fields)
+
+
+def editions_of(publications: DataFrame) -> list[tuple[str, int, str]]:
+    """Kind, year and period of the publications: a row for each edition."""
+    p = publications.select("publication_kind", F.col("year").cast("int").alias("year"), F.coalesce("period", F.lit("")).alias("period")).distinct()
+    return [tuple(r) for r in p.collect()]
+
+
 def load_edition(publications: DataFrame, new: dict[str, DataFrame], path: str, mode: str = "reject") -> None:
-    """Add one edition's tables under partitions of kind, year and period. reject: an edition that is there stays, and this fails; replace: it gives way."""
+    """Check one edition's tables and write them under its partition of kind, year and period. publications: those that are loaded.
+
+    reject: an edition that is there stays, and this fails; replace: it gives way with all its children, also where
+    the new one has none. Each table's partition is overwritten as a whole and publications come last, so that a load which broke off
+    isn't taken for one, and can be repeated.
+    """
     if mode not in ("reject", "replace"):
         raise ValueError(f"unknown mode: {mode}")
-    edition = ["publication_kind", "year", "period"]
-    here = new["publications"].select(*edition).join(publications.select(*edition), edition, "left_semi")
-    if mode == "reject" and here.limit(1).count():
+    spark = publications.sparkSession
+    editions = editions_of(new["publications"].limit(2))
+    if len(editions) != 1 or new["publications"].count() != 1:
+        raise ValueError("one publication is loaded at a time")
+    kind, year, period = editions[0]
+    if not re.fullmatch(r"\w+", kind) or period not in PERIODS:
+        raise ValueError(f"no such edition: {kind} {year} {period}")
+    faults = check_edition(new["statistics"], year)
+    if faults:
+        raise ValueError("; ".join(faults))
+    loaded = conform(publications, "publications").unionByName(read_table(spark, path, "publications"))
+    if mode == "reject" and editions[0] in editions_of(loaded):
         raise ValueError("the edition is loaded already")
-    keys = new["publications"].select(*edition).first()
-    for name, df in new.items():
-        rows = df.drop(*(c for c in edition if c in df.columns)).withColumns({"publication_kind": F.lit(keys[0]), "year": F.lit(keys[1]), "period": F.lit(keys[2] or "annual")})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*edition).parquet(f"{path}/{name}")
+    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}"
+    for name in (*CHILDREN, "statistics", "publications"):
+        rows = conform(new[name], name) if name in new else spark.createDataFrame([], SCHEMAS[name])
+        rows.drop("publication_kind", "year", "period").write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+
+
+def remove_edition(spark: SparkSession, path: str, kind: str, year: int, period: str = "") -> None:
+    """Empty an edition's partition of every table, publications first."""
+    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}"
+    for name in ("publications", "statistics", *CHILDREN):
+        spark.createDataFrame([], SCHEMAS[name]).drop("publication_kind", "year", "period").write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+
+
+def children_of(units: DataFrame) -> dict[str, DataFrame]:
+    """From statistics with arrays tables, chunks, footnotes and contacts (of structs): the four child tables, each with stat_id."""
+    arrays = {"stat_tables": "tables", "table_search_chunks": "chunks", "footnotes": "footnotes", "contacts": "contacts"}
+    return {name: units.select("stat_id", F.inline(array)) for name, array in arrays.items() if array in units.columns}
+
+
+SEARCHED = ("title_ko", "title_en", "chapter", "section", "level3_title", "level4_title", "unit")
+
+
+def search_doc(*columns: str) -> Column:
+    """Distinct lower-case words of the given columns, in order; nulls are empty."""
+    return F.array_sort(F.array_distinct(text_tokens(F.concat_ws(" ", *(columns or SEARCHED)))))
+
+
+def profile_key(provider: str, model: str, revision: str, dimension: int, max_length: int, content_version: str, normalized: bool = True) -> str:
+    """SHA-256 of what tells one way to make vectors from another, as JSON with sorted keys and without blanks."""
+    identity = dict(provider=provider, model=model, revision=revision, dimension=dimension, max_length=max_length, content_version=content_version, normalized=normalized)
+    return hashlib.sha256(json.dumps(identity, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def add_profiles(profiles: DataFrame, new: DataFrame) -> DataFrame:
+    """profiles and those of new whose key isn't there yet, each once; what is there stays as it is."""
+    first = new.dropDuplicates(["profile_key"]).join(profiles.select("profile_key"), "profile_key", "left_anti")
+    return profiles.unionByName(first.select(*profiles.columns))
+
+
+def in_editions(rows: DataFrame, publications: DataFrame, kinds: tuple[str, ...] = KINDS, year: int | None = None, period: str | None = None) -> DataFrame:
+    """Rows (with pub_id) of the chosen editions."""
+    chosen = publications.where(F.col("publication_kind").isin(*kinds))
+    for name, value in (("year", year), ("period", None if period is None else period_of(period))):
+        chosen = chosen if value is None else chosen.where(F.col(name) == value)
+    return rows.join(chosen.select("pub_id"), "pub_id", "left_semi")
+
+
+def newest_first(rows: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
+    out = rows.orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return out if limit is None else out.limit(limit)
+
+
+def page_after(rows: DataFrame, id_col: str, after: int, last: int, n: int) -> DataFrame:
+    """The n rows that follow an id, up to a last one that was fixed before the first page."""
+    return rows.where((F.col(id_col) > after) & (F.col(id_col) <= last)).orderBy(id_col).limit(n)
+
+
+def embed_missing(rows: DataFrame, id_col: str, text_col: str, profile: str, embed, batch: int = 16) -> DataFrame:
+    """id, embedding, embedding_profile_key for rows whose vector is missing or of another profile; embed gives vectors of a list of texts.
+
+    One pass over the rows instead of page after page; vectors that aren't finite fail the job.
+    """
+
+    def run(frames):
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch]
+                vectors = [[float(x) for x in v] for v in embed(part["text"].tolist())]
+                if len(vectors) != len(part) or not all(math.isfinite(x) for v in vectors for x in v):
+                    raise ValueError("the model gave no finite vector for each text")
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": vectors, "embedding_profile_key": profile})
+
+    todo = stale_vectors(rows, profile).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return todo.mapInPandas(run, "id long, embedding array<float>, embedding_profile_key string").withColumnRenamed("id", id_col)
+
+
+# Fixed value: what stands for a title that isn't there.
+UNTITLED = "(제목 없음)"
+
+
+def _joined(*parts: Column) -> Column:
+    text = F.array_join(F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != ""))), " ")
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(UNTITLED))
+
+
+def title_text() -> Column:
+    """What the title's vector is made of."""
+    return _joined(F.col("title_ko"), F.col("title_en"))
+
+
+def hierarchy_text() -> Column:
+    """What the vector of the place in the book is made of: chapter, section and third level, without the title itself."""
+    return _joined(*[F.when(~F.col(c).eqNullSafe(F.col("title_ko")), F.col(c)) for c in ("chapter", "section", "level3_title")])
 
 
 def without_publications(catalog: Catalog, pub_ids: list[int]) -> tuple[Catalog, DataFrame]:

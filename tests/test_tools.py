@@ -32,7 +32,7 @@ def test_search(catalog):
     ids = [r["stat_id"] for r in rows]
     assert ids[0] in (20, 30) and set(ids) == {20, 21, 30} and 10 not in ids
     first = next(r for r in rows if r["stat_id"] == 20)
-    assert first["score"] == pytest.approx(1 / 11 + (3.0 / 11 + 0.05 + 0.04) + (1.8 / 11 + 0.05 + 0.04), abs=1e-6)
+    assert first["score"] == pytest.approx(1 / 11 + (3.0 / 11 + 0.05 + 0.04) + (1.8 / 11 + 0.04), abs=1e-6)  # labels that hold all words count more for words only
     assert first["edition"] == "2025년 통계연보"
     old = tools.search_statistics(catalog, "인구", [1.0, 0.0], kind="yearbook", year=2024)
     assert old.relaxed and {r["stat_id"] for r in old.rows.collect()} == {20, 21}
