@@ -31,9 +31,17 @@ def latest_editions(rows: DataFrame, kind: str = "publication_kind", title: str
     return ranked.where("_rank = _newest").drop("_rank", "_newest")
 
 
-def nearest(rows: DataFrame, query: Column, k: int, vector: str = "embedding", ties: tuple = ()) -> DataFrame:
-    """The k rows of least cosine distance, exactly: a top-k in every task, then of these."""
-    near = rows.where(F.col(vector).isNotNull()).withColumn("distance", cosine_distance(F.col(vector), query))
+def with_flag(rows: DataFrame, others: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with whether others have a row of their key."""
+    there = others.select(F.col(key).alias("_k")).distinct()
+    return rows.join(there, F.col(key) == F.col("_k"), "left").withColumn(flag, F.col("_k").isNotNull()).drop("_k")
+
+
+def nearest(rows: DataFrame, query: Column, k: int, vector: str = "embedding", ties: tuple = (), decimals: int | None = None) -> DataFrame:
+    """The k rows of least cosine distance, exactly: a top-k in every task, then of these. decimals: distances that are equal when rounded are ties."""
+    distance = cosine_distance(F.col(vector), query)
+    distance = distance if decimals is None else F.round(distance, decimals) + F.lit(0.0)
+    near = rows.where(F.col(vector).isNotNull()).withColumn("distance", distance)
     return near.orderBy(F.col("distance").asc_nulls_last(), *ties).limit(k)
 
 

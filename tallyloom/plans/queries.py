@@ -98,10 +98,13 @@ def catalog_value_filter(spark, d):
     return rows.select("p_partkey", "p_name", text.match_key(F.col("p_name")).alias("name_key"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n_rows FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_mktsegment END AS c_mktsegment FROM customer) WHERE nullif(trim(c_mktsegment), '') IS NOT NULL GROUP BY 1")
+@query("SELECT c_mktsegment AS department, count(*) AS n_rows FROM orders JOIN customer ON c_custkey = o_custkey WHERE NOT regexp_matches(c_name, '[0369]$') GROUP BY 1")
 def catalog_required_fields(spark, d):
-    c = read(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_mktsegment")))
-    return c.where(an.present(c, "c_mktsegment")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_rows"))
+    c = fixture(spark, d)
+    blank = F.when(F.col("officer").rlike("[0369]$"), "  ").otherwise(F.col("dept"))
+    c = cat.Catalog(c.publications, c.statistics, c.stat_tables, c.footnotes, c.contacts.withColumn("dept", blank))
+    rows = an.analyze(c, "list", "contacts", fields=["department", "contact_id"], required=["department"], kind="all", all_years=True, limit=500).every
+    return rows.groupBy("department").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year FROM (SELECT *, max(year(o_orderdate)) OVER (PARTITION BY o_orderstatus, o_custkey) AS newest FROM orders) WHERE year(o_orderdate) = newest")
@@ -174,8 +177,8 @@ def lateral_first_contact(spark, d):
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) AS has_tables FROM orders")
 def exists_flag(spark, d):
-    big = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("k")).distinct()
-    return read(spark, d, "orders").join(big, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", F.col("k").isNotNull().alias("has_tables"))
+    big = read(spark, d, "lineitem").where("l_quantity > 49").withColumnRenamed("l_orderkey", "o_orderkey")
+    return search.with_flag(read(spark, d, "orders"), big, "o_orderkey", "has_tables").select("o_orderkey", "has_tables")
 
 
 @query("""SELECT id FROM (SELECT vec_id AS id FROM embeddings UNION SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) u
@@ -210,8 +213,7 @@ SELECT vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_d
 def vector_topk(spark, d):
     e = read(spark, d, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()[0]  # the request's vector
-    e = e.withColumn("distance", F.round(vectors.cosine_distance(F.col("embedding"), F.lit([float(x) for x in q])), 6) + F.lit(0.0))
-    return e.orderBy("distance", "vec_id").limit(search.pool_size(5)).select("vec_id", "distance")
+    return search.nearest(e, F.lit([float(x) for x in q]), search.pool_size(5), ties=("vec_id",), decimals=6).select("vec_id", "distance")
 
 
 @query("""SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
@@ -232,18 +234,18 @@ def weighted_vector(spark, d):
 
 
 WORDS = ["the", "and", "that"]
-LEXICAL = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents WHERE lang = 'en'),
+LEXICAL = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents),
 n AS (SELECT doc_id, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b, len(list_filter(t, lambda x: x = 'that')) AS c FROM w),
 lexical AS (SELECT doc_id, (a + b + c)::INT AS score FROM n WHERE a > 0 AND b > 0 AND c > 0 ORDER BY score DESC, doc_id LIMIT 25) """
 
 
 @query(LEXICAL + "SELECT doc_id, score FROM lexical")
 def lexical_topk(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'")
+    docs = read(spark, d, "documents")
     return search.by_words(docs, "text", WORDS, 25, ("doc_id",)).select("doc_id", "score")
 
 
-@query(LEXICAL.replace(" WHERE lang = 'en'", "") + "SELECT doc_id, score FROM lexical")
+@query(LEXICAL + "SELECT doc_id, score FROM lexical")
 def lexical_topk_all(spark, d):
     """Documents of every language."""
     return search.by_words(read(spark, d, "documents"), "text", WORDS, 25, ("doc_id",)).select("doc_id", "score")
@@ -257,12 +259,12 @@ def rrf_fusion(spark, d):
     lexical = lexical_topk(spark, d)
     e = read(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 0").select("embedding").first()[0]]
-    near = e.select(F.col("vec_id").alias("doc_id"), F.round(1 - vectors.dot(F.col("embedding"), F.lit(q)), 6).alias("distance")).orderBy("distance", "doc_id").limit(25)
+    near = search.nearest(e.withColumnRenamed("vec_id", "doc_id"), F.lit(q), 25, ties=("doc_id",), decimals=6).select("doc_id", "distance")
     parts = [search.contributions(lexical, "table_lexical", [F.col("score").desc(), F.col("doc_id")], "doc_id"), search.contributions(near, "table_vector", [F.col("distance"), F.col("doc_id")], "doc_id")]
     return search.fuse(parts, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(LEXICAL.replace(" WHERE lang = 'en'", "") + """, v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
+@query(LEXICAL + """, v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
 FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 25),
 g AS (SELECT q.vec_id AS query_id, doc_id, 3.0 / (10 + row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, doc_id)) AS gain FROM lexical, embeddings q WHERE q.vec_id % 20 = 0
 UNION ALL SELECT query_id, doc_id, 1.8 / (10 + row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)) FROM v)
@@ -310,19 +312,18 @@ def column_profile(spark, d):
     return cells.profile(long, []).select("column", "n_filled", "numeric_ratio", "year_ratio")
 
 
-YEARS = "WITH y AS (SELECT o_orderpriority AS series, year(o_orderdate)::INT AS x, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2) "
+YEARS = "WITH y AS (SELECT o_orderpriority AS series, year(o_orderdate)::INT AS x, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders GROUP BY 1, 2) "
 
 
 def by_year(spark, d):
-    o = read(spark, d, "orders").where(F.year("o_orderdate").between(1995, 2000))
-    r = o.groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("x")).agg(money(F.col("o_totalprice")).alias("value"))
+    r = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("x")).agg(money(F.col("o_totalprice")).alias("value"))
     return r.withColumn("pos", F.concat("series", F.col("x").cast("string")))
 
 
 @query(YEARS + "SELECT series, x, value FROM y")
 def wide_year_unpivot(spark, d):
     o = read(spark, d, "orders")
-    years = {str(y): y for y in range(1995, 2001)}
+    years = {str(r[0]): r[0] for r in o.select(F.year("o_orderdate")).distinct().orderBy(F.year("o_orderdate")).collect()}  # a row for each year
     wide = o.withColumn("y_col", F.year("o_orderdate").cast("string")).groupBy(F.col("o_orderpriority").alias("label")).pivot("y_col", list(years)).agg(money(F.col("o_totalprice")))
     return charts.wide_years(wide.withColumn("p", F.col("label")), "label", years, "p").select("series", "x", "value")
 
@@ -354,7 +355,7 @@ def waterfall_steps(spark, d):
     return w.select("series", "x", F.round("end_value", 2).alias("end_value"), F.round("start_value", 2).alias("start_value"))
 
 
-@query(YEARS + "SELECT series, x, (dense_rank() OVER (ORDER BY series DESC) - 1)::INT AS stack_no, value >= max(value) OVER (PARTITION BY x) AS is_top, x IN (1995, 2000) AS is_edge FROM y")
+@query(YEARS + "SELECT series, x, (dense_rank() OVER (ORDER BY series DESC) - 1)::INT AS stack_no, value >= max(value) OVER (PARTITION BY x) AS is_top, x IN ((SELECT min(x) FROM y), (SELECT max(x) FROM y)) AS is_edge FROM y")
 def stack_order_edges(spark, d):
     return charts.stack_order(charts.marks(by_year(spark, d))).select("series", "x", "stack_no", "is_top", "is_edge")
 
@@ -485,30 +486,40 @@ def carry_forward_sections(spark, d):
     return cells.carry_forward(c, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")))
 
 
-@query("SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS expected FROM conversations WHERE (conv_id + turn) % 5 <> 0) WHERE expected IS NOT NULL AND turn <> expected")
+@query("SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS expected FROM (SELECT conv_id, turn + turn // 3 AS turn FROM conversations)) WHERE expected IS NOT NULL AND turn <> expected")
 def sequence_check(spark, d):
-    c = read(spark, d, "conversations").where("(conv_id + turn) % 5 <> 0").select("conv_id", "turn")
+    c = read(spark, d, "conversations").select("conv_id", F.expr("turn + turn div 3").alias("turn"))  # a number is left out after every third
     return cells.sequence_gaps(c, "conv_id", "turn")
 
 
 @query("""SELECT 'both' AS part, count(*) AS n_keys FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL
-SELECT 'either', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'one', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)""")
+SELECT 'either', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'one', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 1000)""")
 def set_ops(spark, d):
     c, s, n = read(spark, d, "customer").select("c_nationkey"), read(spark, d, "supplier"), read(spark, d, "nation").select("n_nationkey")
+    one = lambda df: df.toDF("match_key").distinct().withColumn("record_count", F.lit(1))
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_keys"))
-    keys = s.select("s_nationkey")
-    return count(c.intersect(keys), "both").union(count(c.union(keys).distinct(), "either")).union(count(n.exceptAll(s.where("s_suppkey < 20").select("s_nationkey").distinct()), "one"))
+    both = cmp.compare(one(c), one(s.select("s_nationkey")), "in_both", [])
+    either = c.union(s.select("s_nationkey")).distinct()
+    poor = s.where("s_acctbal < 1000").select("s_nationkey")
+    return count(both, "both").union(count(either, "either")).union(count(cmp.compare(one(n), one(poor), "only_in_base", []), "one"))
 
 
-@query(None)
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g') AS h FROM pages),
+p AS (SELECT page_id, string_split_regex(h, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|title|head|body|html|section|article|nav|footer|header)\b[^>]*>') AS pieces FROM b),
+u AS (SELECT page_id, unnest(range(0, len(pieces)))::INT AS block_no, trim(regexp_replace(regexp_replace(unnest(pieces), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM p) SELECT * FROM u WHERE text <> ''""")
 def html_block_source(spark, d):
     return archive.html_blocks(read(spark, d, "pages"))
 
 
-@query("SELECT c_mktsegment || ' ' || c_nationkey AS key, 'labels' AS chunk_kind, 0 AS chunk_no, c_mktsegment || ' ' || string_agg(c_name, ' | ' ORDER BY c_custkey) AS search_text FROM customer WHERE c_custkey < 1000 GROUP BY c_mktsegment, c_nationkey HAVING length(c_mktsegment || ' ' || string_agg(c_name, ' | ')) <= 800")
+@query("""WITH g AS (SELECT c_mktsegment AS h, c_custkey // 1000 AS block, list(c_name ORDER BY c_custkey) AS names FROM customer GROUP BY 1, 2),
+p AS (SELECT h, block, list_reduce(names, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 3 + length(x) <= 800 - length(h) - 1 THEN a || ' | ' || x ELSE a || chr(1) || x END) AS packed FROM g),
+u AS (SELECT h, block, unnest(string_split(packed, chr(1))) AS t, unnest(range(0, len(string_split(packed, chr(1))))) AS chunk_no FROM p)
+SELECT h || ' ' || block AS key, 'labels' AS chunk_kind, chunk_no::INT AS chunk_no, h || ' ' || t AS search_text FROM u""")
 def chunk_labels(spark, d):
-    c = read(spark, d, "customer").where("c_custkey < 1000").groupBy("c_mktsegment", "c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("labels"))
-    rows = c.select(F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("key"), F.col("c_mktsegment").alias("heading"), "labels")
+    """All customers; a key has the labels of 1000 customer ids at most, in several chunks."""
+    block = F.expr("c_custkey div 1000").alias("block")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
+    rows = read(spark, d, "customer").groupBy("c_mktsegment", block).agg(names.alias("labels")).select(F.concat_ws(" ", "c_mktsegment", "block").alias("key"), F.col("c_mktsegment").alias("heading"), "labels")
     return chunks.chunks(rows, "key", "heading", "labels", "labels")
 
 

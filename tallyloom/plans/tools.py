@@ -84,7 +84,6 @@ def search_statistics(
     words, k = query_tokens(query), search.pool_size(limit)
     lists, relaxed = [], False
     made = (lambda df: df) if profile is None else (lambda df: df.where(F.col("embedding_profile_key") == profile))
-    with_tables = c.stat_tables.select(F.col("stat_id").alias("_s")).distinct()
     for one in kinds_of(kind):
         newest = search.latest_editions(base_rows(c).where((F.col("publication_kind") == one) & F.col("stat_id").isNotNull()).withColumn("period", F.col("publication_period")))
 
@@ -113,7 +112,7 @@ def search_statistics(
             scores = search.fuse([found.select("stat_id", "path", "gain")])
             best = search.best_source(found).select("stat_id", "matched_source", "matched_text", "table_seq")
             shown = base.select("stat_id", "ref_id", "title_ko", "chapter", "section", "unit", "publication_kind", "publication_year", "publication_period").join(scores, "stat_id").join(best, "stat_id")
-            shown = shown.join(with_tables, F.col("stat_id") == F.col("_s"), "left").withColumn("has_tables", F.col("_s").isNotNull()).drop("_s")
+            shown = search.with_flag(shown, c.stat_tables, "stat_id", "has_tables")
             text = F.lower(F.concat_ws(" ", "title_ko", "chapter", "section", "unit", "matched_text"))
             tokens = F.filter(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), lambda w: text.contains(F.lower(w)))
             edition = edition_label(F.col("publication_year"), F.col("publication_period"), F.col("publication_kind"))

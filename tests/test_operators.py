@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import analyze, cells, charts, chunks, compare, derive, search
+from tallyloom.plans import table_queries  # noqa: F401
 from tallyloom.plans.queries import ORACLES, QUERIES
 from tallyloom.sources import archive, catalog
 from tallyloom.streaming import progress
