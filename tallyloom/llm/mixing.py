@@ -13,7 +13,7 @@ send left are a draw from the multivariate hypergeometric distribution, and the
 The blocks of a source, in their permuted order, are then handed to the shards by these quotas, each block to one shard,
 and inside its shard a document has a position by a hash.
 
-Tables of sources, tickets and blocks are ranked in ranges of RANGE rows, and are broadcast only where their counted rows are few; shards hold about
+Tables of sources, tickets and blocks are ranked in ranges where they have more than RANGE rows, and are broadcast only where their counted rows are few; shards hold about
 SHARD_WORDS words each and blocks are at least BLOCKS_A_SHARD times as many, so no group grows with the data. No draw
 depends on the order of rows or on partitions: reruns agree.
 
@@ -46,9 +46,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, order: list[Column], sums: list[str] = (), label: str = "ranked") -> DataFrame:
-    """df with place, from 0, in the given total order, and before_<c> for each of sums: range by range, never all in one task."""
-    parts = df.count() // RANGE + 1
+def ranked(df: DataFrame, rows: int, order: list[Column], sums: list[str] = (), label: str = "ranked") -> DataFrame:
+    """df, of so many rows at most, with place, from 0, in the given total order, and before_<c> for each of sums. More than RANGE rows are ranked range by range."""
+    if rows <= RANGE:
+        whole = W.orderBy(*order)
+        until = whole.rowsBetween(W.unboundedPreceding, -1)
+        return df.select("*", (F.row_number().over(whole) - 1).cast("long").alias("place"), *[F.coalesce(F.sum(c).over(until), F.lit(0)).alias(f"before_{c}") for c in sums])
+    parts = rows // RANGE + 1
     placed = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), label)
     totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
@@ -61,16 +65,16 @@ def ranked(df: DataFrame, order: list[Column], sums: list[str] = (), label: str
     return out.select(*df.columns, "place", *[f"before_{c}" for c in sums])
 
 
-def source_targets(sizes: DataFrame, cap: int = MAX_PASSES) -> DataFrame:
+def source_targets(sizes: DataFrame, rows: int, cap: int = MAX_PASSES) -> DataFrame:
     """From (source, source_size): target, the share by weight 1, 2, 3 and again, stopped at cap times the size, the excess shared anew.
 
     Sources in ascending order of cap / weight are stopped one after another; once one
     isn't, no later one is. So prefix sums in that order replace the repeated sharing.
     """
     by_name = F.col("source").asc_nulls_last()
-    weighed = ranked(sizes, [by_name], label="sources").withColumn("weight", F.pmod("place", F.lit(3)) + 1).withColumn("most", F.lit(cap) * F.col("source_size")).drop("place")
+    weighed = ranked(sizes, rows, [by_name], label="sources").withColumn("weight", F.pmod("place", F.lit(3)) + 1).withColumn("most", F.lit(cap) * F.col("source_size")).drop("place")
     total, weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
-    stops = ranked(weighed.withColumn("ratio", F.col("most") / F.col("weight")), [F.col("ratio").asc(), by_name], ["most", "weight"], "stops")
+    stops = ranked(weighed.withColumn("ratio", F.col("most") / F.col("weight")), rows, [F.col("ratio").asc(), by_name], ["most", "weight"], "stops")
     level = (F.lit(total or 0) - F.col("before_most")) / (F.lit(weights or 0) - F.col("before_weight"))
     free = stops.withColumn("level", level).where(F.col("most") > F.col("level") * F.col("weight")).agg(F.min_by("level", "place")).first()[0]
     # The level of the first source that isn't stopped holds for all after it.
@@ -93,12 +97,12 @@ def split(place: Column, total: int, levels: int) -> Column:
     return shard
 
 
-def shard_quotas(drawn: DataFrame, levels: int, seed: int) -> DataFrame:
-    """From (source, pass, n) drawn blocks of each source and pass: source, pass, shard, quota."""
+def shard_quotas(drawn: DataFrame, total: int, levels: int, seed: int) -> DataFrame:
+    """From (source, pass, n) drawn blocks of each source and pass, so many in all: source, pass, shard, quota."""
     tickets = drawn.withColumn("ticket", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
     order = [F.col("draw"), F.col("source").asc_nulls_last(), F.col("pass"), F.col("ticket")]
-    placed = materialize(ranked(tickets.withColumn("draw", _draw(seed, "ticket", "source", "pass", "ticket")), order, label="tickets").select("source", "pass", "place"), "places")
-    return placed.withColumn("shard", split(F.col("place"), placed.count(), levels)).groupBy("source", "pass", "shard").agg(F.count(F.lit(1)).alias("quota"))
+    placed = ranked(tickets.withColumn("draw", _draw(seed, "ticket", "source", "pass", "ticket")), total, order, label="tickets")
+    return placed.withColumn("shard", split(F.col("place"), total, levels)).groupBy("source", "pass", "shard").agg(F.count(F.lit(1)).alias("quota"))
 
 
 def draw_blocks(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -107,25 +111,28 @@ def draw_blocks(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     draws: (pass, shard) of each pass that takes the block; part_words: of pass part_pass, where that takes a part of it only.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(materialize(sizes, "sizes")), "targets")
-    n_sources, total = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    sizes = materialize(sizes, "sizes")
+    n_sources, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    targets = materialize(source_targets(sizes, n_sources), "targets")
     levels = max(LEAST_LEVELS, math.ceil(math.log2(max(1, total / SHARD_WORDS))))
     n_blocks = max(LEAST_BLOCKS, BLOCKS_A_SHARD << levels)
     shares = targets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") * n_blocks / max(1, total))).cast("long"))
     dealt = docs.join(broadcast_if(shares, n_sources, 128), docs["source"].eqNullSafe(shares["source"])).drop(shares["source"])
     blocks = dealt.groupBy("source", F.pmod("key", F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    blocks = materialize(blocks, "blocks")
+    most = MAX_PASSES * (n_blocks + 2 * n_sources)
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)))).withColumn("draw", _draw(seed, "pass", "pass", "source", "block"))
     # The permuted order of a source's blocks in a pass, and the words before each block in it.
     own = [F.col("source").asc_nulls_last(), F.col("pass")]
-    permuted = materialize(ranked(passes, [*own, F.col("draw"), F.col("block")], ["block_size"], "passes"), "permuted")
+    permuted = ranked(passes, most, [*own, F.col("draw"), F.col("block")], ["block_size"], "passes")
     starts = permuted.groupBy("source", "pass").agg(F.min("before_block_size").alias("start")).withColumnsRenamed({"source": "s", "pass": "p"})
     begun = permuted.drop("place").join(broadcast_if(starts, MAX_PASSES * n_sources, 96), permuted["source"].eqNullSafe(starts["s"]) & (permuted["pass"] == starts["p"]))
     left = F.round("target").cast("long") - F.col("pass") * F.col("source_size") - (F.col("before_block_size") - F.col("start"))
     taken = begun.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least("block_size", left))).where("words > 0 OR block_size = 0 AND pass = 0")
-    taken = materialize(ranked(taken.select("source", "pass", "draw", "block", "block_size", "words"), [*own, F.col("draw"), F.col("block")], label="taken"), "drawn")
+    taken = materialize(ranked(taken.select("source", "pass", "draw", "block", "block_size", "words"), most, [*own, F.col("draw"), F.col("block")], label="taken"), "drawn")
     # As many places of each source and pass as it has blocks drawn, shard by shard: the blocks take them in their permuted order.
-    quotas = shard_quotas(taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")), levels, seed)
-    places = ranked(quotas.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("quota")))), [*own, F.col("shard"), F.col("k")], label="quotas").select("place", "shard")
+    quotas = shard_quotas(taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")), taken.count(), levels, seed)
+    places = ranked(quotas.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("quota")))), most, [*own, F.col("shard"), F.col("k")], label="quotas").select("place", "shard")
     part = F.col("words") < F.col("block_size")
     handed = taken.join(places, "place").groupBy("source", "block").agg(
         F.first("block_size").alias("block_size"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max(F.when(part, F.col("pass"))).alias("part_pass"), F.max(F.when(part, F.col("words"))).alias("part_words")

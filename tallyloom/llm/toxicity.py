@@ -26,10 +26,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Bounds of the training sample, in documents and in words.
 MAX_TRAIN, MAX_WORDS = 8000, 8_000_000
@@ -92,7 +91,7 @@ class Network:
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of word hashes."""
         known = self.row(hashes & LOW)
-        return np.where(known > 0, known, self.row(hashes >> np.uint64(32)))
+        return np.where(known > 0, known, self.row(hashes >> np.uint64(32))).astype(np.int32)
 
     def train(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
@@ -109,7 +108,7 @@ class Network:
                 s[rows] += grad * grad
                 p[rows] -= rate * grad / np.sqrt(s[rows])
 
-        pad = np.zeros(PAD, np.int64)
+        pad = np.zeros(PAD, np.int32)
         for _ in range(EPOCHS):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
@@ -240,11 +239,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
 
     hashed = texts.mapInArrow(run, "doc_id long, y int, lang string, ids binary")
     one = hashed.groupBy("doc_id").agg(F.min(F.struct("ids", "lang", "y")).alias("r")).select("doc_id", "r.*")
-    # A window over MAX_TRAIN rows at most.
-    words = F.sum(F.octet_length("ids") / 8).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    got = one.withColumn("words", words).where(F.col("words") <= MAX_WORDS).drop("words").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    return fit([(np.frombuffer(r["ids"], "<u8"), int(r["y"] > 0), r["lang"]) for r in got])
+    kept = materialize(one.withColumn("h", F.xxhash64("doc_id")), "sample")
+    # MAX_TRAIN rows of three numbers at most.
+    sizes = sorted(map(tuple, kept.select("h", "doc_id", (F.octet_length("ids") / 8).cast("long")).collect()))
+    within = np.cumsum([n for _, _, n in sizes]) <= MAX_WORDS
+    last = sizes[int(within.sum()) - 1][0] if within.any() else None
+    got = kept.where(F.col("h") <= F.lit(last).cast("long")).select("doc_id", "y", "lang", "ids").toArrow().combine_chunks()
+    ids, y, lang = got.column("doc_id").to_numpy(), got.column("y").to_numpy(), got.column("lang").to_pylist()
+    hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in got.column("ids")]
+    return fit([(hashes[k], int(y[k] > 0), lang[k]) for k in np.argsort(ids, kind="stable").tolist()])
 
 
 def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:

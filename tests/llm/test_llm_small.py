@@ -476,7 +476,7 @@ def test_mixing_tree(spark):
         size = {k: (0, n) for k, n in size.items()}
     assert collections.Counter(shards) == {k: n for k, (_, n) in size.items()} and shards == sorted(shards)
     drawn = [("a", 0, 600), ("b", 0, 300), (None, 0, 60), ("b", 1, 43)]
-    quotas = mixing.shard_quotas(spark.createDataFrame(drawn, "source string, pass int, n long"), levels, 7).collect()
+    quotas = mixing.shard_quotas(spark.createDataFrame(drawn, "source string, pass int, n long"), total, levels, 7).collect()
     by_source, by_shard = collections.Counter(), collections.Counter()
     for r in quotas:
         by_source[r["source"], r["pass"]] += r["quota"]
@@ -490,10 +490,17 @@ def test_mixing_tree(spark):
     n = collections.Counter()
     for r in blocks:
         n[r["source"], r["pass"]] += r["count"]
-    want = mixing.shard_quotas(spark.createDataFrame([(s, p, k) for (s, p), k in n.items()], "source string, pass int, n long"), mixing.LEAST_LEVELS, 7).collect()
+    want = mixing.shard_quotas(spark.createDataFrame([(s, p, k) for (s, p), k in n.items()], "source string, pass int, n long"), sum(n.values()), mixing.LEAST_LEVELS, 7).collect()
     assert {(r["source"], r["pass"], r["shard"]): r["count"] for r in blocks} == {(r["source"], r["pass"], r["shard"]): r["quota"] for r in want}
 
 
+def test_mixing_in_ranges(docs, monkeypatch):
+    """Tables ranked range by range give the same mix."""
+    want = {r["id"]: r["draws"] for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "RANGE", 100)
+    assert {r["id"]: r["draws"] for r in mixing.mix(docs).collect()} == want
+
+
 def test_mixing_of_sources_without_words(spark):
     docs = spark.createDataFrame([(1, "", "x"), (2, None, "x"), (None, None, None), (4, "a b c", "y")], "doc_id long, text string, source string")
     out = {r["id"]: [d["words"] for d in r["draws"]] for r in mixing.mix(docs).collect()}
