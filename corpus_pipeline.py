@@ -17,6 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REST = tuple(COLUMNS[1:])
 #: N-grams of so many words, and the similarity as a fraction, for near-duplicates.
 WORDS, NUM, DEN = 5, 80, 100
+#: Pieces in which a shard of the mix is written.
+SLICES = 16
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one that is taken in part comes whole if half of it is taken."""
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     taken = mixed.withColumn("d", F.explode("draws")).where("2 * d.words >= size")
-    # The shards of the mix, each in its own order.
-    shuffled = taken.repartition("d.shard").sortWithinPartitions("d.shard", "d.position", "id")
+    # The shards of the mix, each in its own order, a shard in SLICES pieces at random.
+    shuffled = taken.repartition("d.shard", F.pmod("d.position", F.lit(SLICES))).sortWithinPartitions("d.shard", "d.position", "id")
     return shuffled.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), F.col("kept_lang").alias("lang"), "source", F.col("kept_n_chars").alias("n_chars"))
 
 
