@@ -8,17 +8,20 @@ equal samples at a place with a probability that is their generalised Jaccard si
 the sum of the lesser weights over the sum of the greater ones; the share of equal places estimates it.
 
 Neighbours in order of ids are found without sorting everything in one place: ids are
-split into buckets at quantiles, and the first document of every bucket goes as a guest to the
+split into buckets at quantiles, an id that fills several by a hash of its texts too, and the first document of every bucket goes as a guest to the
 bucket before it. Terms are counted and samples drawn where the bucket's texts lie: the texts are
 shuffled once.
 
 Null text is empty. A text without words has the fingerprint of no terms, which equals
-only itself. Rows that share an id follow one another by text; a null id comes last. The last
+only itself. Rows that share an id follow one another by text, or by its hash where an id fills several buckets; a null id comes last.
+Rows that repeat altogether share a bucket. The last
 document's next one is the first, which may be itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLES = 32
-#: Documents in a bucket, and buckets at most (what comes to the driver is one id for each).
-BUCKET, MAX_BUCKETS = 256, 2048
+#: Documents in a bucket, as long as FANOUT * FANOUT buckets hold all; beyond that buckets grow. What comes to the driver is one id for each.
+BUCKET, FANOUT = 256, 256
 LOWEST = -(1 << 63)
 
 
@@ -53,35 +56,70 @@ def sample(h: Column, weights: list[Column], k: int) -> list[Column]:
     return out
 
 
+def _below(cuts: list[int], key: Column) -> Column:
+    """How many of the cuts, which ascend, are less than key, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    listed = _longs(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(listed, n + s - 1) < key, n + s).otherwise(n))
+
+
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def cut_points(keys: DataFrame, n: int) -> tuple[list[int], dict[int, int]]:
+    """Ascending keys that cut n rows into groups of about BUCKET, FANOUT * FANOUT at most; and into how many groups a key that fills several is to be cut.
+
+    Quantiles of all rows come first, then those of each part between them, so that no task ranks everything. They choose a plan, not the result.
+    """
+    size = max(BUCKET, -(-n // FANOUT**2))
+    wide = math.isqrt(max(0, n // size - 1)) + 1
+    if wide < 2:
+        return [], {}
+    quantiles = F.percentile_approx("key", [i / wide for i in range(1, wide)], 8 * wide).alias("q")
+    found = list(keys.agg(quantiles).first()["q"])
+    parts = keys.groupBy(_below(sorted(set(found)), F.col("key")).alias("part")).agg(quantiles).collect()  # FANOUT rows of FANOUT keys
+    times = Counter(found)
+    for r in parts:
+        times.update(r["q"])
+    often = [k for k, m in times.items() if m > 2]
+    counts = keys.where(F.array_contains(_longs(often), F.col("key"))).groupBy("key").count().collect() if often else []
+    return sorted(times), {r["key"]: r["count"] // size for r in counts if r["count"] >= 2 * size}
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, place, guest, id, text, next: the text that follows by descending id, within each bucket."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.coalesce("id", F.lit(LOWEST).cast("long")))
-    keys = rows.select("key")
-    n = keys.count()
-    buckets = max(1, min(MAX_BUCKETS, n // BUCKET))
-    cuts = keys.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 8 * buckets)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.lit(cuts), lambda x: x < F.col("key"))) if cuts else F.lit(0)
-    # At most MAX_BUCKETS rows.
-    tops = sorted((r["bucket"], r["top"]) for r in keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    # The first document of a bucket follows the last of the bucket above; the very first follows the very last.
-    hosts = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
-    guests = rows.sparkSession.createDataFrame(hosts, "top long, host int")
-    placed = rows.withColumn("bucket", bucket).join(F.broadcast(guests), rows["key"] == guests["top"], "left")
+    cuts, hot = cut_points(rows.select("key"), rows.count())
+    key, bucket, turn = F.col("key"), _below(cuts, F.col("key")).cast("long"), F.lit(0).cast("long")
+    if hot:
+        # A key of many rows is the greatest of its bucket; its rows are dealt behind the others in the order of a hash of their texts.
+        turn = F.xxhash64("text")
+        often = sorted(hot)
+        at = _below(often, key)
+        groups = F.when(F.get(_longs(often), at) == key, F.get(_longs([hot[k] for k in often]), at))
+        bucket = F.shiftleft(bucket, 32) + F.coalesce(1 + F.floor((turn.cast("double") * 2.0**-64 + 0.5) * groups), F.lit(0))
+    rows = rows.withColumn("turn", turn).withColumn("bucket", bucket)
+    # The first document of a bucket follows the last of the bucket above; the very first follows the very last. A row for each bucket, at most some FANOUT * FANOUT.
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("key", "turn")).alias("top"))
+    up = W.orderBy("bucket")
+    host = F.coalesce(F.lead("bucket").over(up), F.min("bucket").over(up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    guests = tops.select(F.col("top.key").alias("k"), F.col("top.turn").alias("t"), host.alias("host"))
+    placed = rows.join(F.broadcast(guests), (rows["key"] == guests["k"]) & (rows["turn"] == guests["t"]), "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
     placed = placed.withColumn("to", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))))
-    placed = placed.select("to.bucket", "to.guest", "id", "key", "text")
-    order = W.partitionBy("bucket").orderBy("guest", F.col("key").desc(), F.col("text").desc())
-    return placed.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order)).drop("key")
+    placed = placed.select("to.bucket", "to.guest", "id", "key", "turn", "text")
+    order = W.partitionBy("bucket").orderBy("guest", F.col("key").desc(), F.col("turn").desc(), F.col("text").desc())
+    return placed.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order)).drop("key", "turn")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
     rows = with_next(docs, id_col, text_col)
     n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(char_length(text) / 2) as int))")))
-    del half
     facts = rows.where("guest = 0").select("bucket", "place", F.col("id").alias(id_col), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     sides = rows.select("bucket", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.coalesce("edited", F.lit("")).alias("t")))).alias("s"))
     words = sides.select("bucket", "place", "s.side", F.explode(F.split(F.translate("s.t", "\n\t\r", "   "), " ")).alias("word"))

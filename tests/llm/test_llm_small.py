@@ -432,6 +432,26 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.fingerprint(docs.limit(1)).count() == 1
 
 
+def test_fingerprints_of_null_and_shared_ids(spark, monkeypatch):
+    """Null ids and an id that fill several buckets are cut by a hash of their texts, and every row has its next one."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(fingerprints, "BUCKET", 4)
+    monkeypatch.setattr(fingerprints, "FANOUT", 16)
+    ids = [None] * 90 + [7] * 60 + [3, 3, 9, 9] + list(range(100, 220))
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 30)))) for i in ids], "doc_id long, text string").repartition(5)
+    hashed = [tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
+    cuts, hot = fingerprints.cut_points(docs.select(F.coalesce("doc_id", F.lit(fingerprints.LOWEST).cast("long")).alias("key")), len(ids))
+    assert set(hot) == {7, fingerprints.LOWEST} and hot[7] == 15 and len(cuts) > 20
+    down = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]), reverse=True)
+    want = collections.Counter()
+    for (i, _, t), (_, _, after) in zip(down, down[1:] + down[:1], strict=True):
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    got = fingerprints.fingerprint(docs).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == want
+    sizes = fingerprints.with_next(docs, "doc_id", "text").where("guest = 0").groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert sizes <= 20
+
+
 def test_mixing(spark, docs, rows, empty, odd):
     taken_words = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken")
     out = mixing.mix(docs).select("*", taken_words).collect()
