@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import fingerprints, mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
+from . import conversation_trie, fingerprints, language_id, mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,5 +13,13 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
+}
+ORACLES = {
+    "op2_warc": warc.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
-ORACLES = {"op2_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE}
