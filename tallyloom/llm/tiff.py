@@ -7,7 +7,8 @@ pages, in strips or tiles, with any of these codings.
 
 A null media value, or bytes that aren't TIFF, give no row. A file that is damaged, or has what isn't read here, gives the pages
 before the damage and a row with no page and the error. Repeated rows give pages each. An empty table gives an empty result.
-Pages are decoded one at a time, of MOST_BYTES bytes at most, so a file of very long text is one page in memory. Other columns
+Pages are decoded one at a time; `most_bytes` bounds those of files from elsewhere, where a damaged size could ask for any memory. The query over
+texts sets no bound and fails on a file that it cannot read back, so no text loses its row; a text is one row of Spark, of 2 GB at most. Other columns
 of the input, whatever their names, have no effect.
 """
 
@@ -29,7 +30,7 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH_TAG, HEIGHT_TAG, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
-#: Bytes of a decoded page, above which a file is taken for damaged.
+#: Bytes of a decoded page, above which a file from elsewhere is taken for damaged.
 MOST_BYTES = 1 << 30
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
@@ -231,14 +232,14 @@ def directories(data: bytes):
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
 
 
-def decode_page(data: bytes, tags: dict) -> np.ndarray:
-    """rows x width x samples."""
+def decode_page(data: bytes, tags: dict, most_bytes: int | None = MOST_BYTES) -> np.ndarray:
+    """rows x width x samples. A page of over most_bytes is an error; None: any size."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, rows, samples = one(WIDTH_TAG, 0), one(HEIGHT_TAG, 0), one(SAMPLES, 1)
     if set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1:
         raise ValueError("only 8-bit samples in one plane are read")
     compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if rows * width * samples > MOST_BYTES:
+    if most_bytes is not None and rows * width * samples > most_bytes:
         raise ValueError(f"a page of {rows} x {width} x {samples} samples")
     page = np.zeros((rows, width, samples), np.uint8)
     if TILE_OFFSETS in tags:
@@ -268,7 +269,7 @@ def decode_page(data: bytes, tags: dict) -> np.ndarray:
 PAGES_SCHEMA = "id long, n_bytes long, media_bytes long, media_sha256 string, page int, width int, height int, samples int, compression int, pixels binary, error string"
 
 
-def read_pages(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+def read_pages(media: DataFrame, id_col: str = "id", media_col: str = "media", most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """One row for each page of each TIFF (PAGES_SCHEMA). n_bytes is passed on from media, where it has that column."""
 
     def run(batches):
@@ -279,7 +280,7 @@ def read_pages(media: DataFrame, id_col: str = "id", media_col: str = "media") -
                 own = {"id": i, "n_bytes": n, "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
                 try:
                     for k, tags in enumerate(directories(data)):
-                        a = decode_page(data, tags)
+                        a = decode_page(data, tags, most_bytes)
                         page = {"page": k, "width": a.shape[1], "height": a.shape[0], "samples": a.shape[2], "compression": tags.get(COMPRESSION, (1,))[0], "pixels": a.tobytes()}
                         yield pa.RecordBatch.from_pylist([own | page], PAGES_ARROW)
                 except (struct.error, zlib.error, ValueError, LookupError, TypeError, ArithmeticError, MemoryError) as e:
@@ -338,7 +339,14 @@ def _features(batches):
         )
 
 
+def text_pages(docs: DataFrame) -> DataFrame:
+    """The pages of texts, written and read back; the job fails if one of them isn't read."""
+    pages = read_pages(text_media(docs), most_bytes=None)
+    failed = F.raise_error(F.concat(F.lit("a page was not read back: "), F.col("error")))
+    return pages.withColumn("pixels", F.when(F.col("error").isNull(), F.col("pixels")).otherwise(failed.cast("binary")))
+
+
 def op7_media_columns(spark, sf_dir):
-    pages = read_pages(text_media(table(spark, sf_dir, "documents"))).where("error IS NULL")
+    pages = text_pages(table(spark, sf_dir, "documents"))
     out = pages.mapInArrow(_features, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
