@@ -5,11 +5,7 @@ Parts stand in for tables: twenty of them are one table, with a brand, a kind, t
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import requests
@@ -17,20 +13,13 @@ from ..functions.numbers import parse_number, parse_year
 from ..operators import cells, compare, interpret, search
 from ..sources import catalog as cat
 from ..sources import parsing
+from ..sources.staging import scratch
 from .queries import fixture, query, read
 
 K = ["k"]
 BRAND, KIND, THIS, NEXT, GOODS, PEOPLE = "구분 Brand", "종류 Type", "'23", "'24", "피해_재산 Property", "피해_인명 People"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a local one only where all tasks run in the driver's process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def tables(spark, d) -> tuple[DataFrame, DataFrame]:
     """Cells and column profiles."""
     price = F.col("p_retailprice").cast("decimal(12,2)")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import io
+import itertools
+import os
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -10,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCKS = "path string, block_no int, section int, page int, kind string, text string, cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string>>"
 
@@ -69,30 +73,90 @@ def walk(e, boxes: bool):
             yield from walk(child, boxes)
 
 
-def blocks_of(content: bytes, boxes: bool = True):
+def section_blocks(stream, boxes: bool):
+    """Paragraphs, tables and page breaks of one section file, read element by element below its root; what was read is let go."""
+    depth, root = 0, None
+    for event, e in ElementTree.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            root = e if root is None else root
+            depth += 1
+            continue
+        depth -= 1
+        if depth == 1:
+            whole = ElementTree.Element("root")
+            whole.append(e)
+            yield from walk(whole, boxes)
+            root.remove(e)
+
+
+def blocks_of(content, boxes: bool = True):
+    """section, page, kind, text, cells of each block. content: an archive's bytes, or a file of them."""
     page = 1
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         for s, name in enumerate(sections(z)):
-            for kind, e in walk(ElementTree.fromstring(z.read(name)), boxes):
-                if kind == "page":
-                    page += 1
-                elif kind == "paragraph":
-                    yield s, page, kind, own_text(e).strip(), None
-                else:
-                    yield s, page, kind, None, table_cells(e)
+            with z.open(name) as stream:
+                for kind, e in section_blocks(stream, boxes):
+                    if kind == "page":
+                        page += 1
+                    elif kind == "paragraph":
+                        yield s, page, kind, own_text(e).strip(), None
+                    else:
+                        yield s, page, kind, None, table_cells(e)
 
 
-def read_blocks(spark: SparkSession, path: str, boxes: bool = True) -> DataFrame:
-    """One row for each block of each archive under path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+#: Blocks that a task hands on at once.
+AT_ONCE = 2000
+
+
+def archive_blocks(files: DataFrame, path_col: str = "path", content_col: str = "content", boxes: bool = True) -> DataFrame:
+    """One row for each block of each archive, of archives in a column of bytes. An archive is read by one task, and leaves it in parts. Null content has no blocks."""
 
     def run(frames):
         for f in frames:
             for name, content in zip(f["path"], f["content"], strict=True):
-                rows = [(name, i, *b) for i, b in enumerate(blocks_of(bytes(content), boxes))]
-                yield pd.DataFrame(rows, columns=["path", "block_no", "section", "page", "kind", "text", "cells"]).astype({"block_no": "int32", "section": "int32", "page": "int32"})
+                numbered = enumerate(blocks_of(bytes(content), boxes)) if content is not None else iter(())
+                while rows := [(name, i, *b) for i, b in itertools.islice(numbered, AT_ONCE)]:
+                    yield pd.DataFrame(rows, columns=["path", "block_no", "section", "page", "kind", "text", "cells"]).astype({"block_no": "int32", "section": "int32", "page": "int32"})
+
+    return files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInPandas(run, BLOCKS)
+
+
+def read_blocks(spark: SparkSession, path: str, boxes: bool = True) -> DataFrame:
+    """One row for each block of each archive under path, in any store that Spark reads."""
+    return archive_blocks(spark.read.format("binaryFile").load(path).select("path", "content"), boxes=boxes)
+
+
+class OneArchive(InputPartition):
+    """A partition: the path of one archive."""
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.boxes = options.get("path", ""), options.get("boxes", "true").lower() == "true"
+
+    def partitions(self):
+        found = sorted(glob.glob(os.path.join(self.path, "**", "*.hwpx"), recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
+        return [OneArchive(p) for p in found]
+
+    def read(self, partition):
+        if partition is None:
+            return
+        for i, (section, page, kind, text, cells) in enumerate(blocks_of(partition.value, self.boxes)):
+            yield partition.value, i, section, page, kind, text, cells and [tuple(c.values()) for c in cells]
+
+
+class ArchiveSource(DataSource):
+    """spark.read.format("hwpx").load(folder): one partition for each archive of a folder that driver and executors share; blocks are streamed out of the file, which is never whole in memory."""
+
+    @classmethod
+    def name(cls):
+        return "hwpx"
+
+    def schema(self):
+        return BLOCKS
 
-    return files.mapInPandas(run, BLOCKS)
+    def reader(self, schema):
+        return ArchiveReader(self.options)
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

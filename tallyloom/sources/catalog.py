@@ -152,6 +152,32 @@ def load_edition(publications: DataFrame, new: dict[str, DataFrame], path: str,
         rows.drop("publication_kind", "year", "period").write.mode("overwrite").parquet(f"{path}/{name}/{place}")
 
 
+def load_editions(new: dict[str, DataFrame], path: str) -> None:
+    """Check and write any number of new editions at once. Rows carry publication_kind, year and period; an edition that is there already is refused.
+
+    Each table is one job that writes its own partitions only, publications last: what broke off is no edition, and is written over by the next try.
+    """
+    spark = new["publications"].sparkSession
+    edition = ["publication_kind", "year", "period"]
+    pubs = new["publications"].select(*edition)
+    faults = [f"{r['publication_kind']} {r['year']} {r['period']} comes more than once" for r in pubs.groupBy(*edition).count().where("count > 1").limit(5).collect()]
+    faults += [f"no such edition: {r['publication_kind']} {r['year']} {r['period']}" for r in pubs.where(~F.coalesce(F.col("publication_kind").rlike("^[0-9A-Za-z_]+$") & F.col("period").isin(*PERIODS) & F.col("year").between(1900, 2100), F.lit(False))).limit(5).collect()]
+    faults += [f"{tuple(r)} is loaded already" for r in pubs.join(read_table(spark, path, "publications").select(*edition), edition, "left_semi").limit(5).collect()]
+    named = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    each = new["statistics"].groupBy(*edition).agg(F.count_if(named("ref_id")).alias("no_ref"), F.count_if(named("title_ko")).alias("no_title"), (F.count("ref_id") - F.count_distinct("ref_id")).alias("repeated"))
+    checked = pubs.join(each, edition, "left").where("no_ref IS NULL OR no_ref > 0 OR no_title > 0 OR repeated > 0")
+    faults += [f"{tuple(r)[:3]}: no statistics, or references or titles that lack or repeat" for r in checked.limit(5).collect()]
+    if faults:
+        raise ValueError("; ".join(faults))
+    for name in (*CHILDREN, "statistics", "publications"):
+        if name in new:
+            fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]) if f.name not in edition]
+            own = [(F.col(f.name) if f.name in new[name].columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+            place = F.when(F.col("period") == "", ANNUAL).otherwise(F.col("period")).alias("period")
+            rows = new[name].select(*own, "publication_kind", F.col("year").cast("int").alias("year"), place)
+            rows.repartition(*edition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*edition).parquet(f"{path}/{name}")
+
+
 def remove_edition(spark: SparkSession, path: str, kind: str, year: int, period: str = "") -> None:
     """Empty an edition's partition of every table, publications first."""
     place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}"
