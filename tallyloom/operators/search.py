@@ -71,7 +71,11 @@ def cover_density(text: Column, words: list[str]) -> Column:
     """Sum over the shortest stretches that hold all words of 0.1 over their length in words."""
     want = [w.lower() for w in words]
     place = F.transform(text_tokens(text), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    hits = F.filter(place, lambda p: p["t"].isin(*want))
+    return density_of_hits(F.filter(place, lambda p: p["t"].isin(*want)), want)
+
+
+def density_of_hits(hits: Column, want: list[str]) -> Column:
+    """Cover density from the places (i, t) of the wanted words, in ascending order."""
     start = F.struct(F.array(*[F.lit(-1)] * len(want)).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
 
     def step(s, p):
