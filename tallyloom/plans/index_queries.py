@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inverted, vector_index
+from ..operators import chunks, inverted, vector_index
 from ..sources.staging import scratch
 from .queries import WORDS, query, read
 
@@ -33,3 +33,13 @@ def vector_index_topk(spark, d):
     vector_index.build(e, "vec_id", "embedding", path, CELLS)
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return vector_index.search(spark, path, queries, 25, PROBES).select("query_id", F.col("item").alias("vec_id"), "distance")
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS key, list(c_name ORDER BY c_custkey) AS names FROM customer GROUP BY 1),
+p AS (SELECT key, list_reduce(names, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 3 + length(x) <= 800 - length(key) - 1 THEN a || ' | ' || x ELSE a || chr(1) || x END) AS packed FROM g)
+SELECT key, unnest(range(0, len(string_split(packed, chr(1)))))::INT AS chunk_no, unnest(string_split(packed, chr(1))) AS text FROM p""")
+def chunk_rows(spark, d):
+    """All customers' names as labels of a few keys, packed by running lengths and doubling pointers."""
+    c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), "c_custkey", F.col("c_name").alias("label"))
+    labels = chunks.unique_rows(c, "key", "c_custkey", "label").withColumn("room", chunks.LENGTH - F.length("key") - 1)
+    return chunks.pack_rows(labels, "key", "c_custkey", "label", "room")
