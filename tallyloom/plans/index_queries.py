@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import text_tokens
 from ..operators import chunks, inverted, vector_index
 from ..sources.staging import scratch
+from ..sources.upsert import upsert
+from ..streaming import progress
 from .queries import WORDS, query, read
 
 #: Cells of the vector index, and how many of them a search looks into: two thirds, since the test tables' vectors point anywhere; vectors with a structure need a few.
@@ -43,3 +46,34 @@ def chunk_rows(spark, d):
     c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), "c_custkey", F.col("c_name").alias("label"))
     labels = chunks.unique_rows(c, "key", "c_custkey", "label").withColumn("room", chunks.LENGTH - F.length("key") - 1)
     return chunks.pack_rows(labels, "key", "c_custkey", "label", "room")
+
+
+@query("""WITH old AS (SELECT 'C' || c_custkey AS ref_id, c_custkey AS stat_id, c_name AS title_ko FROM customer),
+new AS (SELECT 'C' || c_custkey AS ref_id, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' x' ELSE c_name END AS title_ko, c_mktsegment AS unit FROM customer UNION ALL SELECT 'S' || s_suppkey, s_name, NULL FROM supplier)
+SELECT n.ref_id, coalesce(o.stat_id, (SELECT max(stat_id) FROM old) + row_number() OVER (PARTITION BY o.stat_id IS NULL ORDER BY n.ref_id)) AS stat_id, n.title_ko,
+CASE WHEN o.stat_id IS NULL THEN 'inserted' WHEN o.title_ko = n.title_ko THEN 'unchanged' ELSE 'changed' END AS change, o.title_ko = n.title_ko AND o.stat_id IS NOT NULL AS has_vector,
+array_to_string(list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', n.title_ko, CASE WHEN o.title_ko = n.title_ko THEN NULL ELSE n.unit END)), '[\\p{L}\\p{N}\\p{M}_]+'))), ' ') AS doc
+FROM new n LEFT JOIN old o USING (ref_id)""")
+def second_load(spark, d):
+    """A load over a load, with ids for new rows, and vectors and search words that go with changed text."""
+    c, s, none = read(spark, d, "customer"), read(spark, d, "supplier"), F.lit(None).cast("string")
+    rest = {k: none for k in ("title_en", "chapter", "section", "level3_title", "level4_title")}
+    old = c.select(F.concat(F.lit("C"), "c_custkey").alias("ref_id"), F.col("c_custkey").alias("stat_id"), F.col("c_name").alias("title_ko")).withColumns(rest)
+    old = old.withColumns({"unit": none, "embedding": F.array(F.lit(1.0).cast("float")), "embedding_profile_key": F.lit("p"), "search_doc": F.array_sort(F.array_distinct(text_tokens(F.col("title_ko"))))})
+    title = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" x"))).otherwise(F.col("c_name"))
+    new = c.select(F.concat(F.lit("C"), "c_custkey").alias("ref_id"), title.alias("title_ko"), F.col("c_mktsegment").alias("unit")).union(s.select(F.concat(F.lit("S"), "s_suppkey"), "s_name", none)).withColumns(rest)
+    out = upsert(old, new, ["ref_id"], "stat_id")
+    return out.select("ref_id", "stat_id", "title_ko", "change", F.col("embedding").isNotNull().alias("has_vector"), F.array_join("search_doc", " ").alias("doc"))
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS job_id, event_id, event_type AS status FROM events), f AS (SELECT *, ntile(3) OVER (ORDER BY event_id) AS part FROM e)
+SELECT job_id, max(event_id) AS event_id, arg_max(status, event_id) AS status, count(*) AS n_events, count(*) FILTER (WHERE part > 1) AS n_ignored FROM f GROUP BY 1""")
+def job_states(spark, d):
+    """The jobs' states after the events came in two batches, the later two thirds of them twice."""
+    e = read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.lit("").alias("stage"), F.lit(0).alias("progress"), F.lit("").alias("message"), F.col("ts").alias("created_at"))
+    edge = e.select(F.expr("count(*)").alias("n")).first()["n"]
+    first = -(-edge // 3)
+    cut = e.orderBy("event_id").limit(first).agg(F.max("event_id")).first()[0]
+    once = progress.merge_states(spark.createDataFrame([], progress.STATES), e.where(F.col("event_id") <= cut))
+    later = e.where(F.col("event_id") > cut)
+    return progress.merge_states(once, later.union(later)).select("job_id", "event_id", "status", "n_events", "n_ignored")
