@@ -525,3 +525,28 @@ def test_mixing_of_sources_without_words(spark):
     docs = spark.createDataFrame([(1, "", "x"), (2, None, "x"), (None, None, None), (4, "a b c", "y")], "doc_id long, text string, source string")
     out = {r["id"]: [d["words"] for d in r["draws"]] for r in mixing.mix(docs).collect()}
     assert out[1] == [0] and out[2] == [0] and out[None] == [0] and sum(out[4]) == 3
+
+
+def test_tiff_of_texts_has_no_cap(spark, docs, tmp_path, monkeypatch):
+    """Pages of texts are read back whatever their size, and one that isn't fails the job."""
+    monkeypatch.setattr(tiff, "MOST_BYTES", 10)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert tiff.op7_media_columns(spark, str(tmp_path)).count() == docs.count()
+    with pytest.raises(ValueError):
+        tiff.decode_page(*(lambda data: (data, next(tiff.directories(data)), 10))(tiff.encode_tiff([np.zeros((4, 4, 3), np.uint8)])))
+    broken = spark.createDataFrame([(1, 5, b"II*\x00\x08\x00\x00\x00\xff\xff")], "id long, n_bytes long, media binary")
+    monkeypatch.setattr(tiff, "text_media", lambda rows: broken)
+    with pytest.raises(Exception, match="was not read back"):
+        tiff.text_pages(docs).collect()
+
+
+def test_tiff_features(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["feature"] for r in tiff.op7_media_columns(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        n = collections.Counter(full)
+        size, mean = len(full) // 192, sum(b * k for b, k in n.items()) * 1000 // len(full)
+        coarse = bytes(sum(n[b] for b in range(16 * k, 16 * k + 16)) * 255 // len(full) for k in range(16))
+        assert got[i] == f"64x{size}x3;mean={mean};seen={len(n)};{coarse.hex()}"
