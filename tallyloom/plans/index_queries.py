@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_tokens
 from ..operators import chunks, inverted, vector_index
+from ..sources import embedding
+from ..sources.catalog import update_vectors
 from ..sources.staging import scratch
 from ..sources.upsert import upsert
 from ..streaming import progress
@@ -77,3 +79,20 @@ def job_states(spark, d):
     once = progress.merge_states(spark.createDataFrame([], progress.STATES), e.where(F.col("event_id") <= cut))
     later = e.where(F.col("event_id") > cut)
     return progress.merge_states(once, later.union(later)).select("job_id", "event_id", "status", "n_events", "n_ignored")
+
+
+@query("SELECT c_custkey AS id, length(c_name)::DOUBLE AS first_value, c_nationkey::DOUBLE AS last_value, 'completed' AS status, (SELECT count(*) FROM customer) AS target_count FROM customer")
+def embedding_job(spark, d):
+    """Vectors for all customers by a job in slices, put in by key; the job's row."""
+    path = scratch(spark, "embeddings")
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws("|", "c_name", "c_nationkey").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_profile_key"))
+    embedding.run_job(rows, _lengths, "p", path, 1)
+    made = update_vectors(rows, embedding.vectors(spark, path, 1), ["id"])
+    job = embedding.jobs(spark, path).first()
+    value = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    return made.select("id", value(0).alias("first_value"), value(1).alias("last_value"), F.lit(job["status"]).alias("status"), F.lit(job["target_count"]).alias("target_count"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: the length of a name and the number behind it."""
+    return [[float(len(t.split("|")[0])), float(t.split("|")[1])] for t in texts]
