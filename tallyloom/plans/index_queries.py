@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import text_tokens
+from ..operators import bodies as bodies_of
 from ..operators import chunks, inverted, vector_index
 from ..sources import embedding
 from ..sources.catalog import update_vectors
@@ -96,3 +98,28 @@ def embedding_job(spark, d):
 def _lengths(texts: list[str]) -> list[list[float]]:
     """A stand-in for a model: the length of a name and the number behind it."""
     return [[float(len(t.split("|")[0])), float(t.split("|")[1])] for t in texts]
+
+
+@query("""WITH p AS (SELECT p_partkey // 10 AS k, p_size AS v, p_name || ' ' || p_partkey AS label, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_partkey // 10) AS n FROM part),
+b AS (SELECT k, i, n, v, label, unnest([0, 1, 2]) AS block FROM p), r AS (SELECT k, i + block * (n + 1) AS row_no, block, i, CASE WHEN block = 2 AND k % 3 = 1 THEN '' ELSE label END AS label, v + 2 * block AS v FROM b),
+m AS (SELECT k, block * (n + 1) - 1 AS row_no, '구분' AS label, CASE WHEN block = 1 AND k % 3 = 0 THEN '01년' ELSE '0' || (2 * block + 1) || '년' END AS a, '0' || (2 * block + 2) || '년' AS c FROM (SELECT DISTINCT k, n, unnest([1, 2]) AS block FROM p)),
+raw AS (SELECT k, row_no, label, v::VARCHAR AS a, (v + 1)::VARCHAR AS c FROM r UNION ALL SELECT * FROM m),
+cell AS (SELECT k, row_no, 0 AS col_no, '구분' AS "column", label AS text FROM raw UNION ALL SELECT k, row_no, 1, '01년', a FROM raw UNION ALL SELECT k, row_no, 2, '02년', c FROM raw)
+SELECT k, row_no::INT AS row_no, col_no, "column", text, false AS folded FROM cell WHERE k % 3 = 0
+UNION ALL SELECT k, i::INT, 0, '구분', label, true FROM p WHERE k % 3 <> 0
+UNION ALL SELECT k, i::INT, j + 1, '0' || (j + 1) || '년', (v + j)::VARCHAR, true FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5])::INT AS j FROM p WHERE k % 3 <> 0)""")
+def wrapped_bodies(spark, d):
+    """Stored bodies with two wrapped blocks each, some without labels, and a third that must be left as they are since a column comes again."""
+    n = F.count(F.lit(1)).over(W.partitionBy("k"))
+    p = read(spark, d, "part").select(F.expr("p_partkey div 10").alias("k"), F.col("p_size").alias("v"), F.concat_ws(" ", "p_name", "p_partkey").alias("label"), "p_partkey")
+    p = p.withColumns({"i": F.row_number().over(W.partitionBy("k").orderBy("p_partkey")) - 1, "n": n})
+    each = p.withColumn("block", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    label = F.when((F.col("block") == 2) & (F.col("k") % 3 == 1), "").otherwise(F.col("label"))
+    rows = each.select("k", (F.col("i") + F.col("block") * (F.col("n") + 1)).alias("row_no"), label.alias("l"), (F.col("v") + 2 * F.col("block")).cast("string").alias("a"), (F.col("v") + 2 * F.col("block") + 1).cast("string").alias("c"))
+    again = (F.col("block") == 1) & (F.col("k") % 3 == 0)
+    name = lambda plus: F.format_string("0%d년", 2 * F.col("block") + plus)
+    marks = each.where("block > 0").select("k", "block", "n").distinct().select("k", (F.col("block") * (F.col("n") + 1) - 1).alias("row_no"), F.lit("구분"), F.when(again, "01년").otherwise(name(1)), name(2))
+    record = F.create_map(F.lit("구분"), F.col("l"), F.lit("01년"), F.col("a"), F.lit("02년"), F.col("c"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.to_json(record).alias("record")))), lambda x: x["record"])
+    bodies = rows.union(marks).groupBy("k").agg(F.concat(F.lit('{"columns":["구분","01년","02년"],"records":['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
+    return bodies_of.stored_rows(bodies, ["k"])
