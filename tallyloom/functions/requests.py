@@ -22,7 +22,7 @@ EXCLUDE_TOTAL = ("합계 제외", "계 제외", "소계 제외", "총계 제외"
 LARGE, SMALL = ("큰", "높은", "많은"), ("작은", "낮은", "적은")
 MOST, LEAST = ("최대", "최다"), ("최소", "최저")
 DOWN, UP = "내림차순", "오름차순"
-MEASURES, ORDERED = ("값", "수", "숫자", "규모", "것"), ("부터", "순", "로정렬")
+MEASURES, THING, ORDERED, SORTED, LIKE = ("값", "수", "숫자", "규모"), "것", ("부터", "순"), "로정렬", "대로"
 # Numbers of a "per" and the number that they stand for.
 PER_WORDS = ((("100만", "백만"), 1_000_000), (("10만", "십만"), 100_000), (("1만", "만"), 10_000), (("1천", "천"), 1_000))
 PER_LABELS = ((10**8, "억"), (10**4, "만"), (10**3, "천"))
@@ -63,14 +63,15 @@ def total_mode(mode: str, text: str | None) -> str:
 
 
 def _asks_order(bare: str, sizes: tuple[str, ...], extremes: tuple[str, ...]) -> bool:
-    """Whether one of the sizes or extremes is followed by a word of order, with a word of measure between them at most."""
+    """Whether a size, with a measure behind it or before it perhaps, or an extreme is followed by a word of order."""
     for word in (*sizes, *extremes):
         for hit in re.finditer(word, bare):
             rest = bare[hit.end() :]
-            measure = next((m for m in MEASURES if rest.startswith(m)), "")
-            before = bare[: hit.start()].removesuffix("이").removesuffix("가")
-            measured = before.endswith(MEASURES) and word in sizes
-            if rest[len(measure) :].startswith((*ORDERED, *(("대로",) if measured else ()))):
+            # What may stand between the word and that of order, and the words of order then.
+            ways = [(("", *MEASURES), (*ORDERED, SORTED))] if word in sizes else [(("", MEASURES[0]), ORDERED)]
+            if word in sizes and bare[: hit.start()].removesuffix("이").removesuffix("가").endswith(MEASURES):
+                ways.append((("", THING), (*ORDERED, SORTED, LIKE)))
+            if any(rest.startswith(m + end) for between, ends in ways for m in between for end in ends):
                 return True
     return False
 

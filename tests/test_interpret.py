@@ -103,7 +103,7 @@ def test_grids(spark):
 def test_requests():
     assert rq.query_year("2023년 인구") == 2023 and rq.query_year("2023, 2024") is None
     assert rq.total_mode("auto", "합계 포함해서") == "include" and rq.total_mode("exclude", "합계 포함") == "exclude" and rq.total_mode("auto", "소계 제외") == "exclude"
-    for text, want in (("인구 많은 순", "descending"), ("값이 작은 것부터", "ascending"), ("큰 값부터 작은 값순", None), ("내림차순", "descending"), ("최소값부터", "ascending"), ("높은 지역", None), ("규모가 큰 대로", "descending")):
+    for text, want in (("인구 많은 순", "descending"), ("값이 작은 것부터", "ascending"), ("큰 값부터 작은 값순", None), ("내림차순", "descending"), ("최소값부터", "ascending"), ("높은 지역", None), ("규모가 큰 대로", "descending"), ("큰 것부터", None), ("최대 수부터", None), ("최대로 정렬", None), ("큰 대로", None), ("높은 값순", "descending")):
         assert rq.sort_order("auto", text) == want, text
     for text, want in (("인구 10만 명당", 100_000), ("천 대당", 1000), ("1인당", 1), ("한 명당", 1), ("백만원 담당", None), ("100만 명당", 1_000_000)):
         assert rq.per_scale(text) == want, text
