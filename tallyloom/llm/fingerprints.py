@@ -15,7 +15,8 @@ shuffled once.
 Null text is empty. A text without words has the fingerprint of no terms, which equals
 only itself. Rows that share an id follow one another by text, or by its hash where an id fills several buckets; a null id comes last.
 Rows that repeat altogether share a bucket. The last
-document's next one is the first, which may be itself. An empty table gives an empty result.
+document's next one is the first, which may be itself. An empty table gives an empty result. Texts may be of any length. Other
+columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ N-grams and sets are told apart by 64-bit hashes. Null and empty texts, and text
 words, have an empty set and link with nothing, not even one another. A text with fewer
 words than an n-gram has the whole sequence as its one n-gram. Repeated rows are documents of
 their own with equal sets. A null id is never the least of its component unless all are. Rows are
-numbered in a written table, so that ids may be null or shared. An empty table gives an empty result.
+numbered in a written table, so that ids may be null or shared. An empty table gives an empty result. Texts may be of any
+length. Other columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ A text longer than CHUNK is worked on in stretches that overlap by a string less
 Null and empty texts lose nothing. Rows are numbered once, in a written table, and come in the order of
 (id, row); so rows that share an id, or have none, are texts of their own, of which the
 later ones lose what the earlier have. A null id comes last. An empty table gives an empty result. Anchors
-are compared by 64-bit hashes of their bytes and of their contexts.
+are compared by 64-bit hashes of their bytes and of their contexts. Only the id, the text and the columns to keep are read, under names of their own, so other
+columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ cached in each Python worker, up to a bounded number.
 
 Null text counts as empty and has 0 tokens. The special strings of the vocabulary inside a
 text count as one token each, as the library has it. Repeated rows count each. The
-vocabulary's path is a parameter.
+vocabulary's path is a parameter. Rows with a null or shared id count each. Texts may be of any length; a piece of it is merged as a whole. An empty table
+gives an empty result. Other columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ The sample has one text for each id, and whole texts only: those past MAX_WORDS
 
 Null and empty texts have the score of a text without words. Labels that repeat count as
 toxic if one of them does. Without labels of both kinds, every score is the rate of toxic
-labels, or 0. An empty table gives an empty result.
+labels, or 0. An empty table gives an empty result. Rows with a null id or an id that is shared, and repeated rows, are scored each. Texts may be of any length; all their
+words count. Other columns, whatever their names, have no effect.
 """
 
 from __future__ import annotations

@@ -550,3 +550,27 @@ def test_tiff_features(spark, docs, rows, tmp_path):
         size, mean = len(full) // 192, sum(b * k for b, k in n.items()) * 1000 // len(full)
         coarse = bytes(sum(n[b] for b in range(16 * k, 16 * k + 16)) * 255 // len(full) for k in range(16))
         assert got[i] == f"64x{size}x3;mean={mean};seen={len(n)};{coarse.hex()}"
+
+
+def test_token_counts_of_odd_rows(odd, empty):
+    path = P.path("byte_bpe_50k.json")
+    out = token_counts.count_tokens(odd, path).collect()
+    assert len(out) == 6 and sum(r["doc_id"] is None for r in out) == 2 and token_counts.count_tokens(empty, path).count() == 0
+    by = collections.defaultdict(set)
+    for r in out:
+        by[r["n_bytes"]].add(r["n_tokens"])
+    assert by[0] == {0} and all(len(v) == 1 for k, v in by.items() if k in (0, 320))
+
+
+def test_toxicity_query(spark, data):
+    out = toxicity.op3_toxicity(spark, data).collect()
+    assert len(out) == spark.read.parquet(f"{data}/documents.parquet").count()
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+
+
+def test_toxicity_of_odd_rows(odd, empty, spark):
+    labels = spark.createDataFrame([(5, 1, 1), (6, 1, 0), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(odd, labels)
+    out = toxicity.score(odd, model).collect()
+    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out) and toxicity.score(empty, model).count() == 0
