@@ -280,7 +280,7 @@ class PrefixTree:
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.tokens = np.concatenate([sets[i] for i in order])
         offset = np.concatenate([[0], np.cumsum([len(sets[i]) for i in order])])
-        parent, lo, hi, depth, own = [-1], [0], [0], [0], [-1]
+        parent, lo, hi, depth, own, start = [-1], [0], [0], [0], [-1], [0]
         stack, previous = [0], None
         for k, i in enumerate(order):
             s, shared = sets[i], 0
@@ -298,6 +298,7 @@ class PrefixTree:
                 hi.append(offset[k] + shared)
                 depth.append(shared)
                 own.append(-1)
+                start.append(start[last])
                 lo[last] += shared - depth[top]
                 parent[last] = top = len(parent) - 1
                 stack.append(top)
@@ -306,16 +307,20 @@ class PrefixTree:
             hi.append(offset[k] + len(s))
             depth.append(len(s))
             own.append(i)
+            start.append(k)
             stack.append(len(parent) - 1)
             previous = s
-        self.lo, self.hi, self.depth, self.own = (np.array(x, np.int64) for x in (lo, hi, depth, own))
+        self.order = np.array(order, np.int64)
+        self.lo, self.hi, self.depth, self.own, self.start = (np.array(x, np.int64) for x in (lo, hi, depth, own, start))
         parent = np.array(parent, np.int64)
         self.least = np.where(self.own >= 0, self.depth, 1 << 60)
-        self.most = self.depth.copy()
-        for node in np.argsort(-self.depth, kind="stable").tolist():
+        self.most, self.stop = self.depth.copy(), self.start + (self.own >= 0)
+        # From the leaves up; of equal depths the later node is the lower one.
+        for node in sorted(range(len(parent)), key=lambda k: (-depth[k], -k)):
             if (p := parent[node]) >= 0:
                 self.least[p] = min(self.least[p], self.least[node])
                 self.most[p] = max(self.most[p], self.most[node])
+                self.stop[p] = max(self.stop[p], self.stop[node])
         by_parent = np.argsort(parent, kind="stable")[1:]
         counts = np.bincount(parent[1:], minlength=len(parent))
         self.kids, self.first = by_parent, np.concatenate([[0], np.cumsum(counts)])
@@ -325,9 +330,12 @@ class PrefixTree:
         at = np.repeat(self.first[nodes] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return self.kids[at], n
 
-    def linked(self, query: np.ndarray, mark: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Indices of the sets whose overlap with query reaches num / den of the union."""
-        size, found = len(query), []
+    def linked(self, query: np.ndarray, mark: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges (starts, ends) of places in the order of the tree: the sets whose overlap with query reaches num / den of the union.
+
+        A subtree all of whose sets link with query, whatever follows, is one range and is not walked.
+        """
+        size, starts, ends_found = len(query), [], []
         mark[query] = True
         nodes, n = self.children(np.zeros(1, np.int64))
         overlap = np.zeros(len(nodes), np.int64)
@@ -338,20 +346,54 @@ class PrefixTree:
             hits = np.concatenate([[0], np.cumsum(mark[self.tokens[at]])])
             overlap = overlap + hits[ends] - hits[ends - length]
             depth, most, least = self.depth[nodes], self.most[nodes], self.least[nodes]
-            ending = (self.own[nodes] >= 0) & (den * overlap >= num * (size + depth - overlap))
-            found.append(self.own[nodes[ending]])
+            every = den * overlap >= num * (size + most - overlap)
+            ending = ~every & (self.own[nodes] >= 0) & (den * overlap >= num * (size + depth - overlap))
+            starts += [self.start[nodes[every]], self.start[nodes[ending]]]
+            ends_found += [self.stop[nodes[every]], self.start[nodes[ending]] + 1]
             # What the rest of the paths and of the query can add at most.
             passed = np.searchsorted(query, self.tokens[self.hi[nodes] - 1], side="right")
             best = overlap + np.minimum(most - depth, size - passed)
-            alive = (most > depth) & (den * best >= num * (size + np.maximum(least, best) - best))
+            alive = ~every & (most > depth) & (den * best >= num * (size + np.maximum(least, best) - best))
             nodes, n = self.children(nodes[alive])
             overlap = np.repeat(overlap[alive], n)
         mark[query] = False
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *starts]), np.concatenate([none, *ends_found])
+
+
+def _top(up: list[int], k: int) -> int:
+    while up[k] != k:
+        up[k] = up[up[k]]
+        k = up[k]
+    return k
+
+
+class Groups:
+    """Numbers 0 to n - 1 in groups. Those of a range are united by the gaps that are left in it, each of which closes once."""
+
+    def __init__(self, n: int):
+        self.up, self.gap = list(range(n)), list(range(n))
 
+    def unite(self, a: int, b: int) -> None:
+        a, b = _top(self.up, a), _top(self.up, b)
+        self.up[max(a, b)] = min(a, b)
 
-def tree_join(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: int) -> list[tuple[int, np.ndarray]]:
-    """For each set the indices of the sets that it links with; with two kinds of blocks, only across them."""
+    def unite_range(self, start: int, end: int) -> None:
+        k = _top(self.gap, start)
+        while k < end - 1:
+            self.unite(k, k + 1)
+            self.gap[k] = k + 1
+            k = _top(self.gap, k)
+
+    def root(self, k: int) -> int:
+        return _top(self.up, k)
+
+
+def tree_join(sets: list[np.ndarray], copies: np.ndarray, blocks: list[int] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set one of the sets that its links reach, the same for all of these, and the copies that it links with; with two kinds of blocks, only across them.
+
+    No pair is listed: links are counted and united by ranges of the tree, so memory grows with the n-grams and not with the links.
+    """
     flat = np.concatenate(sets)
     kinds, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(kinds), np.int64)
@@ -359,40 +401,39 @@ def tree_join(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: i
     bounds = np.cumsum([len(s) for s in sets])[:-1]
     ranked = [np.sort(x) for x in np.split(rank[inverse], bounds)]
     mark = np.zeros(len(kinds), bool)
-    if blocks is None or len(set(blocks)) < 2:
-        tree = PrefixTree(ranked)
-        out = []
-        for i, q in enumerate(ranked):
-            j = tree.linked(q, mark, num, den)
-            out.append((i, j[j != i]))
-        return out
-    first = min(blocks)
-    left, right = [i for i, b in enumerate(blocks) if b == first], [i for i, b in enumerate(blocks) if b != first]
-    tree, out, back = PrefixTree([ranked[i] for i in left]), [], {i: [] for i in left}
-    for i in right:
-        j = np.array(left)[tree.linked(ranked[i], mark, num, den)]
-        out.append((i, j))
-        for x in j.tolist():
-            back[x].append(i)
-    return out + [(i, np.array(x, np.int64)) for i, x in back.items()]
+    across = blocks is not None and len(set(blocks)) > 1
+    stored = [i for i, b in enumerate(blocks) if b == min(blocks)] if across else list(range(len(sets)))
+    asking = [i for i, b in enumerate(blocks) if b != min(blocks)] if across else stored
+    tree = PrefixTree([ranked[i] for i in stored])
+    # Sets are numbered by their place in the tree, those that only ask after them.
+    placed = np.concatenate([np.array(stored, np.int64)[tree.order], np.array(asking if across else [], np.int64)])
+    number = np.empty(len(sets), np.int64)
+    number[placed] = np.arange(len(sets))
+    before = np.concatenate([[0], np.cumsum(copies[placed[: len(stored)]])])
+    links, steps, groups = np.zeros(len(sets), np.int64), np.zeros(len(stored) + 1, np.int64), Groups(len(sets))
+    for i in asking:
+        starts, ends = tree.linked(ranked[i], mark, num, den)
+        links[i] = (before[ends] - before[starts]).sum() - (0 if across else copies[i])
+        if across:
+            np.add.at(steps, starts, copies[i])
+            np.add.at(steps, ends, -copies[i])
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            groups.unite_range(start, end)
+            groups.unite(int(number[i]), start)
+    links[placed[: len(stored)]] += np.cumsum(steps[:-1])
+    return placed[[groups.root(k) for k in number.tolist()]], links
 
 
 def _unit(rows: list[tuple], cross: bool, num: int, den: int) -> pa.RecordBatch:
     """rows: (node, copies, block, tokens) of one unit; cross: only links across its two blocks. Gives node, root and links for the linked ones."""
     if cross and len({r[2] for r in rows}) < 2:
         rows = []
-    nodes, copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-    root = np.arange(len(rows))
-    links = np.zeros(len(rows), np.int64)
-    for i, js in tree_join([r[3] for r in rows], [r[2] for r in rows] if cross else None, num, den) if rows else []:
-        if len(js):
-            links[i] += copies[js].sum()
-            others = root[js]
-            if (others != root[i]).any():
-                kinds = np.unique(np.append(others, root[i]))
-                root[np.isin(root, kinds)] = kinds[0]
+    nodes, copies = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    root = links = np.zeros(0, np.int64)
+    if rows:
+        root, links = tree_join([r[3] for r in rows], copies, [r[2] for r in rows] if cross else None, num, den)
     use = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in use], pa.int64()), pa.array([nodes[i] for i in root[use]], pa.int64()), pa.array(links[use])], ["node", "root", "links"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[use]), pa.array(nodes[root[use]]), pa.array(links[use])], ["node", "root", "links"])
 
 
 def _units(num: int, den: int):

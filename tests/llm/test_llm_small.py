@@ -184,14 +184,37 @@ def test_ngram_join_of_null_and_shared_ids(spark):
 
 
 def test_tree_join_equals_pairs():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
-    sets = [np.frombuffer(x, np.uint64) for x in {s.tobytes() for s in sets}]
-    for num, den in ((3, 10), (6, 10), (9, 10)):
-        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))}
-        assert {(i, int(j)) for i, js in ngram_join.tree_join(sets, None, num, den) for j in js} == want
-        blocks = [i % 2 for i in range(len(sets))]
-        assert {(i, int(j)) for i, js in ngram_join.tree_join(sets, blocks, num, den) for j in js} == {(i, j) for i, j in want if (i - j) % 2}
+    """Roots and counts of links against all pairs, and memory that grows with the sets where all link with all."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    for trial in range(60):
+        seeds = [rnd.sample(range(60), rnd.randint(1, 25)) for _ in range(3)]
+        sets = sorted({tuple(sorted(set(rnd.choice(seeds)) ^ {rnd.randrange(70) for _ in range(rnd.randint(0, 3))})) for _ in range(rnd.randint(2, 40))} - {()})
+        if len(sets) < 2:
+            continue
+        copies = np.array([rnd.randint(1, 4) for _ in sets])
+        blocks = [0, 1, *(rnd.randint(0, 1) for _ in sets[2:])] if trial % 2 else None
+        num, den = rnd.choice([(90, 100), (80, 100), (1, 2)])
+        root, links = ngram_join.tree_join([np.array(s, np.uint64) for s in sets], copies, blocks, num, den)
+        want, group = [0] * len(sets), list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                same = len(set(a) & set(b))
+                if i != j and (blocks is None or blocks[i] != blocks[j]) and den * same >= num * (len(a) + len(b) - same):
+                    want[i] += copies[j]
+                    group = [group[i] if g == group[j] else g for g in group]
+        assert links.tolist() == want
+        assert len(set(zip(root.tolist(), group, strict=True))) == len(set(root.tolist())) == len(set(group))
+    peaks = []
+    for n in (1000, 4000):
+        alike = [np.append(np.arange(22, dtype=np.uint64), np.uint64(100 + k)) for k in range(n)]
+        tracemalloc.start()
+        root, links = ngram_join.tree_join(alike, np.ones(n, np.int64), None, 90, 100)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert set(links.tolist()) == {n - 1} and len(set(root.tolist())) == 1
+    assert peaks[1] < 8 * peaks[0]
 
 
 def test_components(spark):
