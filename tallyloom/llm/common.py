@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -43,3 +44,17 @@ def ascii_lower(c: Column) -> Column:
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only where the counted rows prove that df is small."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+#: Bytes of text for one task of a shuffle whose rows grow with the texts.
+TASK_BYTES = 64 << 20
+
+
+def text_bytes(rows: DataFrame, text_col: str = "text") -> int:
+    return rows.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+
+
+def dealt_by(df: DataFrame, n_bytes: int, *by: Column | str) -> DataFrame:
+    """df shuffled by some columns into as many partitions as the session says, or more where so many bytes of text need them."""
+    n = math.ceil(n_bytes / TASK_BYTES)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*by)

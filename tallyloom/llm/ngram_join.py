@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, table
+from .common import broadcast_if, dealt_by, materialize, table, text_bytes
 from .components import connected_components
 
 CACHE = 400_000
@@ -463,7 +463,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     rows = rows if row_col else materialize(rows, "rows")
     emitted = rows.mapInArrow(_candidates(num, den, words, frequent_buckets(rows, words)), FOUND_SCHEMA)
     # Part hashes are dealt by hash, all else evenly.
-    dealt = emitted.repartition(F.when(F.col("b") == -1, F.col("key")).otherwise(F.xxhash64("a", "b", "key", "row")))
+    n_bytes = text_bytes(rows)
+    dealt = dealt_by(emitted, n_bytes, F.when(F.col("b") == -1, F.col("key")).otherwise(F.xxhash64("a", "b", "key", "row")))
     found = materialize(dealt.mapInArrow(_stars, FOUND_SCHEMA), "candidates")
     members = found.where("b >= 0").select(F.col("key").alias("node"), F.col("a").alias("id"), F.col("b").alias("n"), "row")
     classes = materialize(members.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("first_row"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -488,7 +489,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     stored = texts.mapInArrow(sets, "node long, component long, copies long, blocks int, block int, tokens binary").where("tokens IS NOT NULL")
     units = stored.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "tokens")
-    sorted_units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    sorted_units = dealt_by(units, n_bytes, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     linked = materialize(sorted_units.mapInArrow(_units(num, den), "node long, root long, links long"), "links")
     joined = connected_components(linked.where("node <> root"), "node", "root")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import dealt_by, materialize, table, text_bytes
 
 GRAM = 32
 LAST = (1 << 63) - 1
@@ -388,7 +388,7 @@ def _factors(least: int, size_of_array: int):
 def compared(rows: DataFrame, least: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Ranges that go, found without text (row, spans); and the contexts that need a suffix array (anchor, doc, row, packed, piece)."""
     emitted = rows.mapInArrow(_emit(least, hot_anchors(rows, least, chunk), chunk), ROWS_SCHEMA)
-    dealt = emitted.repartition(F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("row", "spans")))
+    dealt = dealt_by(emitted, text_bytes(rows), F.when(F.col("anchor").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("row", "spans")))
     met = materialize(dealt.mapInArrow(_meet(least), ROWS_SCHEMA), "repeats")
     done = met.where("anchor IS NULL").select("row", "spans")
     # Text is fetched for the places of a row all at once; the wanted places of one are bounded by its length.

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, fingerprints, mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
+from tallyloom.llm import common, components, fingerprints, mixing, ngram_join, packing, suffix_dedup, tiff, token_counts, toxicity, url_filter, warc
 from tallyloom.llm.common import shared_dir
 
 P = pytest.importorskip("public_tokenizers")
@@ -597,3 +597,12 @@ def test_toxicity_of_odd_rows(odd, empty, spark):
     model = toxicity.train(odd, labels)
     out = toxicity.score(odd, model).collect()
     assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out) and toxicity.score(empty, model).count() == 0
+
+
+def test_shuffles_follow_the_bytes(docs, rows, monkeypatch):
+    """With very few bytes a task both jobs cut their shuffles further; results stay."""
+    plain = [sorted(map(tuple, f(docs).collect()), key=str) for f in (ngram_join.jaccard_components, suffix_dedup.remove_repeats)]
+    monkeypatch.setattr(common, "TASK_BYTES", 4000)
+    assert common.dealt_by(docs, 40_000, "doc_id").rdd.getNumPartitions() == 10
+    again = [sorted(map(tuple, f(docs).collect()), key=str) for f in (ngram_join.jaccard_components, suffix_dedup.remove_repeats)]
+    assert again == plain
