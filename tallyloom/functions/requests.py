@@ -115,6 +115,42 @@ def column_unit(column: str, table_unit: str | None, otherwise: str) -> str:
     return next(hinted, otherwise) if len(units) > 1 else otherwise
 
 
+# Words of columns that hold per cents, what a value without a unit is called, and how far apart two scales of one unit, or of unknown ones, may be.
+PERCENT_WORDS = ("비율", "percentage", "ratio", "%")
+NO_UNIT = "값"
+SCALE_OF_ONE_UNIT, SCALE_OF_ANY = 100, 20
+
+
+def metric_units(columns: list[str], table_unit: str | None) -> list[str]:
+    """The unit of each column: per cent by its name, else the one that fits of those that the table lists; a pair that is left over belongs together."""
+    listed = list(dict.fromkeys(u.strip() for u in (table_unit or "").split(",") if u.strip()))
+    whole = table_unit or NO_UNIT
+
+    def fitting(column: str) -> str:
+        if wants(column, PERCENT_WORDS):
+            return "%"
+        for some in ([u for u in listed if "%" not in u], [u for u in listed if u in column]):
+            if len(listed) > 1 and len(some) == 1:
+                return some[0]
+        return whole
+
+    out = [fitting(c) for c in columns]
+    left_over, unsure = set(listed) - set(out), [k for k, u in enumerate(out) if u not in listed]
+    if len(listed) > 1 and (len(left_over), len(unsure)) == (1, 1):
+        out[unsure[0]] = left_over.pop()
+    return out
+
+
+def splits_axis(units: list[str], largest: list[float]) -> bool:
+    """Whether series need two axes: units of exactly two kinds, or two series of which one is out of sight beside the other."""
+    known = {u.strip() for u in units if u and u.strip()}
+    if len(units) > 1 and all(units) and len(known) == 2:
+        return True
+    if len(largest) != 2 or not all(largest):
+        return False
+    return max(largest) >= min(largest) * (SCALE_OF_ONE_UNIT if len(known) == 1 and all(units) else SCALE_OF_ANY)
+
+
 #: Of each derived metric: its label, and its unit by what is known of the operands' units: both alike, both, one or none.
 DERIVED = {
     "share": ("{bottom} 대비 {top} 비중", {"both": "%", "alike": "%", "one": "%", "none": "%"}),

@@ -27,12 +27,12 @@ def cells(tables: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     return long.select(*keys, "row_no", "col_no", "column", text.alias("text")).withColumns({"number": parse_number(F.col("text")), "year": parse_year(F.col("text"))})
 
 
-def profile(long: DataFrame, keys: list[str]) -> DataFrame:
-    """For each column: filled cells, shares of numbers and years, and what it is."""
+def profile(long: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """For each column: filled cells, shares of numbers and years, and what it is; more: further aggregates to take along."""
     filled = ~is_missing(F.col("text"))
     n = F.count_if(filled)
     share = lambda c: F.bround(F.coalesce(F.try_divide(F.count_if(filled & F.col(c).isNotNull()).cast("double"), n), F.lit(0.0)), 3)
-    p = long.groupBy(*keys, "column").agg(F.min("col_no").alias("col_no"), n.alias("n_filled"), share("number").alias("numeric_ratio"), share("year").alias("year_ratio"))
+    p = long.groupBy(*keys, "column").agg(F.min("col_no").alias("col_no"), n.alias("n_filled"), share("number").alias("numeric_ratio"), share("year").alias("year_ratio"), *more)
     year = F.col("year_ratio") >= SHARE
     numeric = (F.col("numeric_ratio") >= SHARE) & ~year
     return p.withColumns({"is_year": year, "is_numeric": numeric, "is_categorical": (F.col("n_filled") > 0) & ~year & ~numeric, "is_missing_only": F.col("n_filled") == 0})

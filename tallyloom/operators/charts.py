@@ -40,6 +40,35 @@ def top_by_sum(records: DataFrame, by: str, n: int) -> DataFrame:
     return records.join(F.broadcast(sums.orderBy(F.col("s").desc(), "p").limit(n).select(by)), by, "left_semi")  # n rows
 
 
+def first_categories(records: DataFrame, n: int) -> DataFrame:
+    """Records of the n categories that come first, since a running sum can't do without one in between. 0: all."""
+    if not n:
+        return records
+    first = records.groupBy("x").agg(F.min("pos").alias("p")).orderBy("p", "x").limit(n).select("x")
+    return records.join(F.broadcast(first), "x", "left_semi")  # n rows
+
+
+def ends_of_time(records: DataFrame) -> DataFrame:
+    """Records of the first and last x, with end_no 0 and 1 and the place of the value between the least (0) and the greatest (1); 0.5 where all are equal."""
+    ends = records.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    kept = records.join(F.broadcast(ends)).where("x = lo OR x = hi").withColumn("end_no", (F.col("x") == F.col("hi")).cast("int")).drop("lo", "hi")
+    bounds = kept.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    place = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.5))
+    return kept.join(F.broadcast(bounds)).withColumn("place", place).drop("lo", "hi")  # one row each
+
+
+def year_key_order(key: str = "key") -> list[Column]:
+    """Years in order, then what is no year."""
+    n = F.when(F.col(key).rlike("^[0-9]+$"), F.col(key).try_cast("bigint"))
+    return [n.isNull(), n, F.col(key)]
+
+
+def leading_order(value: str, descending: bool, *ties: str) -> list[Column]:
+    """By the leading series; what it lacks comes last both ways."""
+    v = F.col(value)
+    return [v.desc_nulls_last() if descending else v.asc_nulls_last(), *map(F.col, ties)]
+
+
 def sort_by_value(records: DataFrame, descending: bool = True) -> DataFrame:
     """order_no: categories by their sum, then by where they come first."""
     sums = records.groupBy("x").agg(F.sum("value").alias("total"), F.min("pos").alias("first_pos"))
