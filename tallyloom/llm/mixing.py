@@ -6,14 +6,14 @@ several times; the last pass draws blocks in a permuted order until the target i
 met, and of the block that straddles the target a part is taken: whole sub-blocks by another
 hash, then documents in the order of a third.
 
-How many blocks of each source and pass go to each output shard is drawn by a splitting tree.
-Each drawn block is a ticket without a name; the tickets are put in a random order, and every node of the
-tree passes the first half of its tickets left and the rest right. So the numbers that the sources
-send left are a draw from the multivariate hypergeometric distribution, and the leaves hold exact quotas.
+How many blocks of each source and pass go to each output shard is drawn by a splitting tree. A node that has n blocks passes
+half of them, rounded up, to the left: of each source and pass in turn a hypergeometric variate, given what the earlier ones took, so that the numbers together
+are a draw from the multivariate hypergeometric distribution; the rest goes right, and the leaves hold exact quotas. A variate is the quantile at a hash of seed, node, source and pass.
 The blocks of a source, in their permuted order, are then handed to the shards by these quotas, each block to one shard,
 and inside its shard a document has a position by a hash.
 
-Tables of sources, tickets and blocks are ranked in ranges where they have more than RANGE rows, and are broadcast only where their counted rows are few; shards hold about
+Tables of sources, quotas and blocks are ranked in ranges where they have more than RANGE rows, and are broadcast only where their counted rows are few. A node keeps its numbers in arrays of CELLS, or
+of the root of their number where that is more, and first shares its draws among the arrays; so a node is no group that grows with the sources. Shards hold about
 SHARD_WORDS words each and blocks are at least BLOCKS_A_SHARD times as many, so no group grows with the data. No draw
 depends on the order of rows or on partitions: reruns agree.
 
@@ -38,8 +38,12 @@ LEAST_LEVELS, LEAST_BLOCKS, BLOCKS_A_SHARD = 4, 8192, 16
 SHARD_WORDS = 16_000_000
 #: Parts by hash of a block that is taken in part.
 SUB_BLOCKS = 1024
-#: Rows of a table of sources, tickets or blocks that one task ranks.
+#: Rows of a table of sources, quotas or blocks that one task ranks.
 RANGE = 1_000_000
+#: Numbers of sources and passes in one array of a node, unless their root is more, and levels of the tree that one plan holds.
+CELLS, PLANNED_LEVELS = 1024, 4
+#: A variate is looked for so many deviations, and so many units more, around its mean; what lies beyond weighs less than 2^-53.
+REACH, SLACK = 12, 24
 
 
 def word_count(text: Column) -> Column:
@@ -86,23 +90,89 @@ def _draw(seed: int, salt: str, *cols) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(salt), *cols)
 
 
-def split(place: Column, total: int, levels: int) -> Column:
-    """The leaf of the splitting tree to which the ticket at a place goes: at each node the first half, rounded up, goes left."""
-    shard, first, n = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(total).cast("long")
-    for _ in range(levels):
-        half = F.shiftright(n + 1, 1)
-        right = place >= first + half
-        shard = shard * 2 + right.cast("long")
-        first, n = F.when(right, first + half).otherwise(first), F.when(right, n - half).otherwise(half)
-    return shard
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
-def shard_quotas(drawn: DataFrame, total: int, levels: int, seed: int) -> DataFrame:
-    """From (source, pass, n) drawn blocks of each source and pass, so many in all: source, pass, shard, quota."""
-    tickets = drawn.withColumn("ticket", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
-    order = [F.col("draw"), F.col("source").asc_nulls_last(), F.col("pass"), F.col("ticket")]
-    placed = ranked(tickets.withColumn("draw", _draw(seed, "ticket", "source", "pass", "ticket")), total, order, label="tickets")
-    return placed.withColumn("shard", split(F.col("place"), total, levels)).groupBy("source", "pass", "shard").agg(F.count(F.lit(1)).alias("quota"))
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """How many marked ones are among `drawn` of `total` things, `marked` of them marked: the quantile at u, from 0 to below 1.
+
+    Weights follow from the ratio of each to the one before, from the lower end of the range on, and u cuts their sum.
+    """
+    given = _struct(t=total.cast("double"), k=marked.cast("double"), d=drawn.cast("double"), u=u)
+
+    def reach(g: Column) -> Column:
+        mean = g["d"] * g["k"] / F.greatest(g["t"], F.lit(1.0))
+        spread = F.sqrt(mean * (g["t"] - g["k"]) * (g["t"] - g["d"]) / F.greatest(g["t"] * (g["t"] - 1), F.lit(1.0))) * REACH + SLACK
+        low = F.greatest(F.lit(0.0), g["d"] + g["k"] - g["t"], F.floor(mean - spread).cast("double"))
+        return _struct(g=g, low=low.cast("long"), high=F.least(g["k"], g["d"], F.ceil(mean + spread).cast("double")).cast("long"))
+
+    def quantile(r: Column) -> Column:
+        g, steps = r["g"], F.sequence(r["low"], r["high"])
+
+        def ratio(x: Column) -> Column:
+            return (g["k"] - x) * (g["d"] - x) / ((x + 1) * (g["t"] - g["k"] - g["d"] + x + 1))
+
+        whole = F.aggregate(
+            steps, _struct(w=F.lit(1.0), sum=F.lit(0.0)), lambda a, x: _struct(w=a["w"] * ratio(x), sum=a["sum"] + a["w"]), lambda a: a["sum"] * g["u"]
+        )
+
+        def below(cut: Column) -> Column:
+            start = _struct(w=F.lit(1.0), sum=F.lit(0.0), n=F.lit(0).cast("long"))
+            more = lambda a, x: _struct(w=a["w"] * ratio(x), sum=a["sum"] + a["w"], n=a["n"] + (a["sum"] + a["w"] <= cut).cast("long"))
+            return F.aggregate(steps, start, more, lambda a: F.least(r["low"] + a["n"], r["high"]))
+
+        return _let(whole, below)
+
+    return _let(_let(given, reach), quantile)
+
+
+def shared(cells: Column, drawn: Column, uniform) -> Column:
+    """How many of so many drawn things fall to each of the cells, in their order; uniform gives a cell's u. A draw from the multivariate hypergeometric distribution."""
+    start = _struct(rest=F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"]), drawn=drawn.cast("long"), out=F.array().cast("array<bigint>"))
+
+    def step(a: Column, c: Column) -> Column:
+        taken = lambda x: _struct(rest=a["rest"] - c["n"], drawn=a["drawn"] - x, out=F.concat(a["out"], F.array(x)))
+        return _let(hypergeometric(a["rest"], c["n"], a["drawn"], uniform(c)), taken)
+
+    return F.aggregate(cells, start, step, lambda a: a["out"])
+
+
+def shard_quotas(drawn: DataFrame, rows: int, levels: int, seed: int) -> DataFrame:
+    """From (source, pass, n) drawn blocks of each source and pass, so many rows at most: source, pass, shard, quota. Rows of no blocks have no quota."""
+
+    def uniform(*cols: Column) -> Column:
+        return F.shiftrightunsigned(_draw(seed, "node", *cols), 11) * F.lit(2.0**-53)
+
+    length = max(CELLS, math.isqrt(rows) + 1)
+    cells = ranked(drawn.where("n > 0"), rows, [F.col("source").asc_nulls_last(), F.col("pass")], label="cells")
+    cells = cells.select(F.floor(F.col("place") / length).alias("part"), F.struct("place", "source", "pass", "n").alias("cell"))
+    nodes = cells.groupBy("part").agg(F.array_sort(F.collect_list("cell")).alias("cells")).select(F.lit(1).cast("long").alias("node"), "part", "cells")
+    for level in range(1, levels + 1):
+        nodes = nodes.withColumn("n", F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"]))
+        if rows > length:
+            # The node's draws are shared among its arrays first.
+            parts = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"), F.shiftright(F.sum("n") + 1, 1).alias("half"))
+            to_part = shared(F.col("parts"), F.col("half"), lambda c: uniform(F.col("node"), F.lit("part"), c["part"]))
+            each = parts.select("node", F.inline(F.zip_with("parts", to_part, lambda c, x: _struct(part=c["part"], half=x))))
+            nodes = nodes.join(each, ["node", "part"])
+        else:
+            nodes = nodes.withColumn("half", F.shiftright(F.col("n") + 1, 1))
+        nodes = nodes.withColumn("left", shared(F.col("cells"), F.col("half"), lambda c: uniform(F.col("node"), c["source"], c["pass"])))
+
+        def side(n, node: Column) -> Column:
+            kept = F.zip_with("cells", "left", lambda c, x: _struct(place=c["place"], source=c["source"], **{"pass": c["pass"]}, n=n(c["n"], x)))
+            return _struct(node=node, part=F.col("part"), cells=F.filter(kept, lambda c: c["n"] > 0))
+
+        nodes = nodes.select(F.inline(F.array(side(lambda n, x: x, F.col("node") * 2), side(lambda n, x: n - x, F.col("node") * 2 + 1)))).where(F.size("cells") > 0)
+        if rows > length or level % PLANNED_LEVELS == 0:
+            nodes = materialize(nodes.repartition("node", "part"), "nodes")
+    return nodes.select((F.col("node") - (1 << levels)).alias("shard"), F.inline("cells")).select("source", "pass", "shard", F.col("n").alias("quota"))
 
 
 def draw_blocks(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -130,9 +200,10 @@ def draw_blocks(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     left = F.round("target").cast("long") - F.col("pass") * F.col("source_size") - (F.col("before_block_size") - F.col("start"))
     taken = begun.withColumn("words", F.greatest(F.lit(0).cast("long"), F.least("block_size", left))).where("words > 0 OR block_size = 0 AND pass = 0")
     taken = materialize(ranked(taken.select("source", "pass", "draw", "block", "block_size", "words"), most, [*own, F.col("draw"), F.col("block")], label="taken"), "drawn")
-    # As many places of each source and pass as it has blocks drawn, shard by shard: the blocks take them in their permuted order.
-    quotas = shard_quotas(taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")), taken.count(), levels, seed)
-    places = ranked(quotas.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("quota")))), most, [*own, F.col("shard"), F.col("k")], label="quotas").select("place", "shard")
+    # Each shard has a run of places in the order of a source and pass, as many as its quota: the blocks take them in their permuted order.
+    quotas = shard_quotas(taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")), MAX_PASSES * n_sources, levels, seed)
+    runs = ranked(quotas, most, [*own, F.col("shard")], ["quota"], "quotas")
+    places = runs.select("shard", F.explode(F.sequence(F.col("before_quota"), F.col("before_quota") + F.col("quota") - 1)).alias("place"))
     part = F.col("words") < F.col("block_size")
     handed = taken.join(places, "place").groupBy("source", "block").agg(
         F.first("block_size").alias("block_size"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max(F.when(part, F.col("pass"))).alias("part_pass"), F.max(F.when(part, F.col("words"))).alias("part_words")

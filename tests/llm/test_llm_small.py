@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -509,34 +510,92 @@ def test_mixing(spark, docs, rows, empty, odd):
     assert len({(d["shard"]) for r in out for d in r["draws"]}) > 8
 
 
+def hypergeometric_weights(t, k, d):
+    """The exact law by binomials."""
+    return {x: math.comb(k, x) * math.comb(t - k, d - x) / math.comb(t, d) for x in range(max(0, d + k - t), min(k, d) + 1)}
+
+
+def test_hypergeometric_quantiles(spark):
+    cases = [(1, 1, 1), (1, 0, 1), (5, 5, 3), (10, 4, 5), (10, 9, 9), (60, 1, 30), (200, 90, 100), (1500, 40, 750), (4000, 1500, 2000)]
+    rows = [(t, k, d, (i + 0.5) / 25) for t, k, d in cases for i in range(25)]
+    df = spark.createDataFrame(rows, "t long, k long, d long, u double")
+    for t, k, d, u, x in df.select("*", mixing.hypergeometric(F.col("t"), F.col("k"), F.col("d"), F.col("u"))).collect():
+        below, want = 0.0, None
+        for want, w in hypergeometric_weights(t, k, d).items():  # noqa: B007
+            below += w
+            if below > u:
+                break
+        assert x == want, (t, k, d, u)
+    # Large ones: near the mean, and the ends of u stay in range.
+    for u, reach in ((0.0, 13), (0.5, 0.1), (1 - 2.0**-53, 13)):
+        x = spark.range(1).select(mixing.hypergeometric(F.lit(16_000_000), F.lit(5_000_000), F.lit(8_000_000), F.lit(u))).first()[0]
+        assert abs(x - 2_500_000) <= reach * (5e6 * 0.25 * 11 / 16) ** 0.5 + 24
+
+
+DRAWN = [("a", 0, 600), ("b", 0, 300), (None, 0, 60), ("b", 1, 43)]
+
+
+def quotas_of(spark, drawn, levels, seed=7):
+    rows = mixing.shard_quotas(spark.createDataFrame(drawn, "source string, pass int, n long"), len(drawn), levels, seed).collect()
+    out = {(r["source"], r["pass"], r["shard"]): r["quota"] for r in rows}
+    assert len(out) == len(rows) and all(out.values())
+    return out
+
+
 def test_mixing_tree(spark):
-    """Quotas are exact at every level, and near their hypergeometric means; the blocks' shards follow them."""
-    total, levels = 1003, 4
-    shards = [r[0] for r in spark.range(total).select(mixing.split(F.col("id"), total, levels)).collect()]
-    size = {0: (0, total)}
-    for _ in range(levels):
-        size = {2 * k + side: (n + 1) // 2 if not side else n // 2 for k, (_, n) in size.items() for side in (0, 1)}
-        size = {k: (0, n) for k, n in size.items()}
-    assert collections.Counter(shards) == {k: n for k, (_, n) in size.items()} and shards == sorted(shards)
-    drawn = [("a", 0, 600), ("b", 0, 300), (None, 0, 60), ("b", 1, 43)]
-    quotas = mixing.shard_quotas(spark.createDataFrame(drawn, "source string, pass int, n long"), total, levels, 7).collect()
-    by_source, by_shard = collections.Counter(), collections.Counter()
-    for r in quotas:
-        by_source[r["source"], r["pass"]] += r["quota"]
-        by_shard[r["shard"]] += r["quota"]
-        mean = dict(((s, p), n) for s, p, n in drawn)[r["source"], r["pass"]] / 16
-        assert abs(r["quota"] - mean) <= 5 * mean**0.5 + 1
-    assert by_source == {(s, p): n for s, p, n in drawn} and by_shard == {k: n for k, (_, n) in size.items()}
+    """At every node half of the blocks go left, rounded up, and each source and pass keeps its number; a node's children add up to it; the blocks' shards follow the leaves."""
+    above = {(s, p, 0): n for s, p, n in DRAWN}
+    size = {0: 1003}
+    for levels in range(1, 6):
+        size = {2 * k + side: n // 2 if side else (n + 1) // 2 for k, n in size.items() for side in (0, 1)}
+        quotas = quotas_of(spark, DRAWN, levels)
+        by_shard, by_parent = collections.Counter(), collections.Counter()
+        for (s, p, shard), n in quotas.items():
+            by_shard[shard] += n
+            by_parent[s, p, shard // 2] += n
+        assert by_shard == size and by_parent == above
+        above = quotas
+    assert quotas_of(spark, DRAWN, 3) != quotas_of(spark, DRAWN, 3, 8)
+    assert quotas_of(spark, [("a", 0, 0), ("b", 0, 1)], 2) == {("b", 0, 0): 1}
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.when(F.col("id") % 7 < 4, "a").otherwise("b").alias("source"))
     base = docs.select("source", mixing.word_count(F.col("text")).alias("size"), F.col("doc_id").alias("key"))
     blocks = mixing.draw_blocks(base, 7)[1].select("source", F.explode("draws").alias("d")).groupBy("source", "d.pass", "d.shard").count().collect()
     n = collections.Counter()
     for r in blocks:
         n[r["source"], r["pass"]] += r["count"]
-    want = mixing.shard_quotas(spark.createDataFrame([(s, p, k) for (s, p), k in n.items()], "source string, pass int, n long"), sum(n.values()), mixing.LEAST_LEVELS, 7).collect()
+    want = mixing.shard_quotas(spark.createDataFrame([(s, p, k) for (s, p), k in n.items()], "source string, pass int, n long"), len(n), mixing.LEAST_LEVELS, 7).collect()
     assert {(r["source"], r["pass"], r["shard"]): r["count"] for r in blocks} == {(r["source"], r["pass"], r["shard"]): r["quota"] for r in want}
 
 
+def test_mixing_tree_follows_the_law(spark):
+    """Over many nodes the numbers have the mean, the variance and the covariance of the multivariate hypergeometric distribution."""
+    cells = F.array(*[mixing._struct(source=F.lit(s), n=F.lit(n).cast("long")) for s, n in (("a", 30), ("b", 20), ("c", 10))])
+    uniform = lambda c: F.shiftrightunsigned(F.xxhash64(F.col("id"), c["source"]), 11) * F.lit(2.0**-53)
+    got = np.array([r[0] for r in spark.range(4000).select(mixing.shared(cells, F.lit(30), uniform)).collect()])
+    assert (got.sum(axis=1) == 30).all()
+    share = np.array([30, 20, 10]) / 60
+    spread = 30 * 30 / 59 * (np.diag(share) - np.outer(share, share))
+    assert np.abs(got.mean(axis=0) - 30 * share).max() < 5 * (spread.max() / 4000) ** 0.5
+    assert np.abs(np.cov(got.T) - spread).max() < 0.35
+    for column, (k, d) in enumerate(((30, 30), (20, 30), (10, 30))):
+        for x, w in hypergeometric_weights(60, k, d).items():
+            assert abs((got[:, column] == x).mean() - w) < 5 * (w / 4000) ** 0.5 + 0.002
+
+
+def test_mixing_tree_of_many_sources(spark, monkeypatch):
+    """Where a node's numbers fill several arrays, sums are as exact."""
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    drawn = [(f"s{i:03}", i % 3, 1 + i % 5) for i in range(150)]
+    quotas = quotas_of(spark, drawn, 3)
+    by_source, by_shard = collections.Counter(), collections.Counter()
+    for (s, p, shard), n in quotas.items():
+        by_source[s, p] += n
+        by_shard[shard] += n
+    assert by_source == {(s, p): n for s, p, n in drawn}
+    total = sum(n for _, _, n in drawn)
+    assert sum(by_shard.values()) == total and max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
 def test_mixing_in_ranges(docs, monkeypatch):
     """Tables ranked range by range give the same mix."""
     want = {r["id"]: r["draws"] for r in mixing.mix(docs).collect()}
