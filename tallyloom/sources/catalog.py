@@ -6,7 +6,9 @@ import hashlib
 import json
 import math
 import re
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -36,6 +38,11 @@ SCHEMAS = {
     "embedding_jobs": "job_id bigint, source_name string, profile_key string, status string, force_reembed boolean, target_count int, processed_count int, max_source_id bigint, error_message string, started_at timestamp, finished_at timestamp",
 }
 CHILDREN = ("stat_tables", "table_search_chunks", "footnotes", "contacts")
+IDS = {"publications": "pub_id", "statistics": "stat_id", "stat_tables": "table_id", "table_search_chunks": "chunk_id", "footnotes": "note_id", "contacts": "contact_id"}
+EDITION = ("publication_kind", "year", "period")
+#: Under a catalogue's path: a row for each edition that was loaded (with the version its tables were written under) or removed (without one), the last turn counts.
+SWITCHES = "switches"
+SWITCH_SCHEMA = "publication_kind string, year int, period string, version string, turn long"
 
 
 def period_of(value: str | None) -> str:
@@ -67,7 +74,9 @@ class Catalog:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Catalog:
-        return cls(*(read_table(spark, path, n) for n in ("publications", "statistics", "stat_tables", "footnotes", "contacts", "table_search_chunks")))
+        """All tables at one state: what is loaded or removed after this doesn't show."""
+        live = live_versions(spark, path)
+        return cls(*(read_table(spark, path, n, live) for n in ("publications", "statistics", "stat_tables", "footnotes", "contacts", "table_search_chunks")))
 
 
 def duplicates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -104,18 +113,61 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the catalogue under path, without rows if no edition is loaded. The only place that knows how editions are written."""
-    fields = {f.name: f for f in T.StructType.fromDDL(SCHEMAS[name])}
-    edition = [T.StructField("publication_kind", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("period", T.StringType())]
-    schema = T.StructType([*fields.values(), *(f for f in edition if f.name not in fields)])
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What is written under path, without rows if nothing is."""
     try:
-        df = spark.read.schema(schema).parquet(f"{path}/{name}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], SCHEMAS[name])
-    return df.withColumn("period", F.when(F.col("period") != ANNUAL, F.col("period")).otherwise("")).select(*fields)
+        return spark.createDataFrame([], schema)
+
+
+def _versions(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table with every version that was ever written, finished or not, and the columns of its partitions. The only place that knows how editions are written."""
+    fields = {f.name: f for f in T.StructType.fromDDL(SCHEMAS[name])}
+    parts = T.StructType.fromDDL("publication_kind string, year int, period string, version string")
+    return _stored(spark, f"{path}/{name}", T.StructType([*fields.values(), *(f for f in parts if f.name not in fields)]))
+
+
+def _place() -> Column:
+    return F.concat_ws("/", *EDITION, "version")
+
+
+def live_versions(spark: SparkSession, path: str) -> list[str]:
+    """The partitions that count: of each edition the version that was switched to last, unless it was removed. A row for each edition comes to the driver."""
+    last = F.max_by("version", F.struct("turn", "version")).alias("version")
+    switches = _stored(spark, f"{path}/{SWITCHES}", T.StructType.fromDDL(SWITCH_SCHEMA))
+    return [r[0] for r in switches.groupBy(*EDITION).agg(last).where("version IS NOT NULL").select(_place()).collect()]
+
+
+def _switch(editions: DataFrame, path: str, version: str | None) -> None:
+    """Point these editions to a version, all at once: one file is added."""
+    spark = editions.sparkSession
+    turn = _stored(spark, f"{path}/{SWITCHES}", T.StructType.fromDDL(SWITCH_SCHEMA)).agg(F.coalesce(F.max("turn"), F.lit(0)) + 1).first()[0]
+    annual = F.when(F.coalesce("period", F.lit("")) == "", ANNUAL).otherwise(F.col("period")).alias("period")
+    rows = editions.select("publication_kind", F.col("year").cast("int").alias("year"), annual, F.lit(version).cast("string").alias("version"), F.lit(turn).cast("long").alias("turn"))
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/{SWITCHES}")
+
+
+def read_table(spark: SparkSession, path: str, name: str, live: list[str] | None = None) -> DataFrame:
+    """A table of the catalogue under path, without rows if no edition is loaded. live: the partitions that count, those of the moment if not given.
+
+    The list is a filter of partitions, so only files of live versions are read.
+    """
+    rows = _versions(spark, path, name).where(_place().isin(live_versions(spark, path) if live is None else live))
+    return rows.withColumn("period", F.when(F.col("period") != ANNUAL, F.col("period")).otherwise("")).select(*[f.name for f in T.StructType.fromDDL(SCHEMAS[name])])
+
+
+def taken_ids(new: dict[str, DataFrame], path: str, live: list[str]) -> list[str]:
+    """Which of the new tables have ids that rows of these partitions have already; one job."""
+    spark = new["publications"].sparkSession
+    given = {name: key for name, key in IDS.items() if name in new and key in new[name].columns}
+    met = [
+        new[name].select(key).join(read_table(spark, path, name, live).select(key), key, "left_semi").limit(1).select(F.lit(f"ids of {name} are taken").alias("fault"))
+        for name, key in given.items()
+    ]
+    return sorted(r[0] for r in reduce(DataFrame.unionByName, met).collect()) if met and live else []
 
 
 def editions_of(publications: DataFrame) -> list[tuple[str, int, str]]:
@@ -128,8 +180,8 @@ def load_edition(publications: DataFrame, new: dict[str, DataFrame], path: str,
     """Check one edition's tables and write them under its partition of kind, year and period. publications: those that are loaded.
 
     reject: an edition that is there stays, and this fails; replace: it gives way with all its children, also where
-    the new one has none. Each table's partition is overwritten as a whole and publications come last, so that a load which broke off
-    isn't taken for one, and can be repeated.
+    the new one has none. Tables are written under a version of their own, and one added row makes that the one that counts. So readers see the old edition or the new
+    one, never parts of both; a load that breaks off changes nothing and can be repeated. Ids that another edition has are refused.
     """
     if mode not in ("reject", "replace"):
         raise ValueError(f"unknown mode: {mode}")
@@ -146,27 +198,35 @@ def load_edition(publications: DataFrame, new: dict[str, DataFrame], path: str,
     loaded = conform(publications, "publications").unionByName(read_table(spark, path, "publications"))
     if mode == "reject" and editions[0] in editions_of(loaded):
         raise ValueError("the edition is loaded already")
-    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}"
+    own = f"{kind}/{year}/{period or ANNUAL}/"
+    faults = taken_ids(new, path, [place for place in live_versions(spark, path) if not place.startswith(own)])
+    if faults:
+        raise ValueError("; ".join(faults))
+    version = uuid.uuid4().hex
+    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}/version={version}"
     for name in (*CHILDREN, "statistics", "publications"):
-        rows = conform(new[name], name) if name in new else spark.createDataFrame([], SCHEMAS[name])
-        rows.drop("publication_kind", "year", "period").write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+        if name in new:
+            conform(new[name], name).drop(*EDITION).write.parquet(f"{path}/{name}/{place}")
+    _switch(spark.createDataFrame(editions, "publication_kind string, year int, period string"), path, version)
 
 
 def load_editions(new: dict[str, DataFrame], path: str) -> None:
     """Check and write any number of new editions at once. Rows carry publication_kind, year and period; an edition that is there already is refused.
 
-    Each table is one job that writes its own partitions only, publications last: what broke off is no edition, and is written over by the next try.
+    Each table is one job that writes partitions of a new version; then one added file makes all the editions count at once. What broke off shows nowhere, and the next try
+    is written beside it. Ids that a loaded edition has are refused.
     """
     spark = new["publications"].sparkSession
-    edition = ["publication_kind", "year", "period"]
+    edition, live, version = list(EDITION), live_versions(spark, path), uuid.uuid4().hex
     pubs = new["publications"].select(*edition)
     faults = [f"{r['publication_kind']} {r['year']} {r['period']} comes more than once" for r in pubs.groupBy(*edition).count().where("count > 1").limit(5).collect()]
     faults += [f"no such edition: {r['publication_kind']} {r['year']} {r['period']}" for r in pubs.where(~F.coalesce(F.col("publication_kind").rlike("^[0-9A-Za-z_]+$") & F.col("period").isin(*PERIODS) & F.col("year").between(1900, 2100), F.lit(False))).limit(5).collect()]
-    faults += [f"{tuple(r)} is loaded already" for r in pubs.join(read_table(spark, path, "publications").select(*edition), edition, "left_semi").limit(5).collect()]
+    faults += [f"{tuple(r)} is loaded already" for r in pubs.join(read_table(spark, path, "publications", live).select(*edition), edition, "left_semi").limit(5).collect()]
     named = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     each = new["statistics"].groupBy(*edition).agg(F.count_if(named("ref_id")).alias("no_ref"), F.count_if(named("title_ko")).alias("no_title"), (F.count("ref_id") - F.count_distinct("ref_id")).alias("repeated"))
     checked = pubs.join(each, edition, "left").where("no_ref IS NULL OR no_ref > 0 OR no_title > 0 OR repeated > 0")
     faults += [f"{tuple(r)[:3]}: no statistics, or references or titles that lack or repeat" for r in checked.limit(5).collect()]
+    faults = faults or taken_ids(new, path, live)
     if faults:
         raise ValueError("; ".join(faults))
     for name in (*CHILDREN, "statistics", "publications"):
@@ -174,15 +234,25 @@ def load_editions(new: dict[str, DataFrame], path: str) -> None:
             fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]) if f.name not in edition]
             own = [(F.col(f.name) if f.name in new[name].columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
             place = F.when(F.col("period") == "", ANNUAL).otherwise(F.col("period")).alias("period")
-            rows = new[name].select(*own, "publication_kind", F.col("year").cast("int").alias("year"), place)
-            rows.repartition(*edition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*edition).parquet(f"{path}/{name}")
+            rows = new[name].select(*own, "publication_kind", F.col("year").cast("int").alias("year"), place, F.lit(version).alias("version"))
+            rows.repartition(*edition).write.mode("append").partitionBy(*edition, "version").parquet(f"{path}/{name}")
+    _switch(pubs, path, version)
 
 
 def remove_edition(spark: SparkSession, path: str, kind: str, year: int, period: str = "") -> None:
-    """Empty an edition's partition of every table, publications first."""
-    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}"
+    """An edition counts no more, in any table at once; its files stay until `vacuum`."""
+    _switch(spark.createDataFrame([(kind, year, period)], "publication_kind string, year int, period string"), path, None)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Empty the partitions of versions that don't count: replaced, removed or broken off. Their number. No load may run meanwhile, nor a reader of an older state."""
+    live, n = live_versions(spark, path), 0
     for name in ("publications", "statistics", *CHILDREN):
-        spark.createDataFrame([], SCHEMAS[name]).drop("publication_kind", "year", "period").write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+        for kind, year, period, version in _versions(spark, path, name).where(~_place().isin(live)).select(*EDITION, "version").distinct().collect():
+            place = f"publication_kind={kind}/year={year}/period={period}/version={version}"
+            spark.createDataFrame([], SCHEMAS[name]).drop(*EDITION).write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+            n += 1
+    return n
 
 
 def children_of(units: DataFrame) -> dict[str, DataFrame]:

@@ -131,15 +131,60 @@ def test_loading(spark, tmp_path):
     pub = spark.createDataFrame([(1, "yearbook", "", 2024, None, "t", 3)], catalog.SCHEMAS["publications"])
     s = spark.createDataFrame([(10, 1, "r1"), (11, 1, "r2")], "stat_id bigint, pub_id int, ref_id string")
     catalog.load_edition(spark.createDataFrame([], catalog.SCHEMAS["publications"]), {"publications": pub, "statistics": s}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/statistics").count() == 2
+    assert catalog.read_table(spark, str(tmp_path), "statistics").count() == 2
     with pytest.raises(ValueError):
         catalog.load_edition(pub, {"publications": pub, "statistics": s}, str(tmp_path))
     catalog.load_edition(pub, {"publications": pub, "statistics": s.limit(1)}, str(tmp_path), "replace")
-    assert spark.read.parquet(f"{tmp_path}/statistics").count() == 1
+    assert catalog.read_table(spark, str(tmp_path), "statistics").count() == 1
     ids = catalog.assign_ids(spark.range(100).withColumnRenamed("id", "n"), ["n"], "stat_id", 5).orderBy("n").collect()
     assert [r["stat_id"] for r in ids] == list(range(6, 106))
 
 
+def test_versions_of_editions(spark, tmp_path):
+    """Readers see whole editions: a broken load, a replacement and a removal change all tables at once, and an older state stays readable until the files are cleared."""
+    path, none = str(tmp_path), spark.createDataFrame([], catalog.SCHEMAS["publications"])
+
+    def tables(pub_id, year, stat_ids, note=None):
+        pub = spark.createDataFrame([(pub_id, "yearbook", "", year, None, "t", 3)], catalog.SCHEMAS["publications"])
+        s = spark.createDataFrame([(i, pub_id, f"r{i}", f"title {i}") for i in stat_ids], "stat_id bigint, pub_id int, ref_id string, title_ko string")
+        notes = spark.createDataFrame([(i * 10, i, 1, "1", note) for i in stat_ids], catalog.SCHEMAS["footnotes"])
+        return {"publications": pub, "statistics": s, "footnotes": notes}
+
+    def state(c):
+        return sorted((r["stat_id"], r["content"]) for r in c.statistics.join(c.footnotes, "stat_id", "left").collect()), c.publications.count()
+
+    catalog.load_edition(none, tables(1, 2024, [10, 11], "old"), path)
+    before = catalog.Catalog.read(spark, path)
+    assert state(before) == ([(10, "old"), (11, "old")], 1)
+    # A load whose last table fails leaves its children under a version to which nothing points.
+    fail = F.udf(lambda x: 1 // 0, "int")
+    broken = tables(1, 2024, [10, 12, 13], "broken")
+    broken["publications"] = broken["publications"].withColumn("page_count", fail("page_count"))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        catalog.load_edition(none, broken, path, "replace")
+    assert state(catalog.Catalog.read(spark, path)) == ([(10, "old"), (11, "old")], 1)
+    # Ids of another edition are refused, those of the replaced one are not.
+    with pytest.raises(ValueError, match="ids of footnotes are taken; ids of publications are taken; ids of statistics are taken"):
+        catalog.load_edition(none, tables(1, 2025, [11, 20], "other"), path)
+    catalog.load_edition(none, tables(2, 2025, [20], "other"), path)
+    replaced = tables(1, 2024, [11], "new")
+    replaced.pop("footnotes")
+    catalog.load_edition(none, replaced, path, "replace")
+    assert state(catalog.Catalog.read(spark, path)) == ([(11, None), (20, "other")], 2) and state(before) == ([(10, "old"), (11, "old")], 1)
+    many = {k: v.withColumns({"publication_kind": F.lit("yearbook"), "year": F.lit(2026), "period": F.lit("")}) for k, v in tables(3, 2026, [20], "many").items()}
+    with pytest.raises(ValueError, match="ids of footnotes are taken; ids of statistics are taken"):
+        catalog.load_editions(many, path)
+    catalog.remove_edition(spark, path, "yearbook", 2025)
+    assert state(catalog.Catalog.read(spark, path)) == ([(11, None)], 1)
+    catalog.load_editions(many, path)
+    now = ([(11, None), (20, "many")], 2)
+    assert state(catalog.Catalog.read(spark, path)) == now
+    # Of the dead versions: two old editions' tables, and what the broken load had written before it failed.
+    assert catalog.vacuum(spark, path) == 3 + 3 + 2 and state(catalog.Catalog.read(spark, path)) == now and catalog.vacuum(spark, path) == 0
+    scan = catalog.read_table(spark, path, "statistics")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [concat_ws(" in scan
+
+
 def test_vectors_are_kept_and_put(spark):
     s = spark.createDataFrame([(1, None, "a", [1.0], "p")], "year int, period string, ref string, embedding array<float>, embedding_profile_key string")
     v = spark.createDataFrame([(1, None, "a", [2.0], "q")], s.schema)
