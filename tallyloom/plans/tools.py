@@ -15,6 +15,7 @@ from ..operators import cells, charts, derive, search
 from ..operators.analyze import base_rows, scoped
 from ..operators.compare import first_contact
 from ..sources.catalog import Catalog, kinds_of
+from ..sources.staging import written
 
 MOST_FOUND = 20
 
@@ -119,7 +120,8 @@ def search_statistics(
             shown = shown.withColumns({"score": F.bround("score", 6), "edition": edition, "matched_tokens": tokens})
             return search.first_of_each(shown, ["ref_id", "title_ko"], [F.col("score").desc(), F.col("publication_year").desc(), F.col("stat_id")], limit)
 
-        rows = fused(year)
+        # What a year finds is at most `limit` rows: written, so that the search runs once for the question and the result.
+        rows = fused(None) if year is None else written(fused(year), "found")
         if year is not None and rows.isEmpty():
             rows, relaxed = fused(None), True
         lists.append(rows)
