@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.numbers import edition_rank
 from ..functions.text import match_key, once, text_tokens
 from ..functions.vectors import cosine_distance
+from .blocks import nearest_in_block
 
 # The constant of reciprocal ranks, weights of the ways to find something, and additions for labels.
 RRF_K = 10
 WEIGHTS = {"title": 1.0, "table_vector": 1.8, "table_lexical": 3.0, "note_vector": 1.0, "note_lexical": 1.2}
 PRIORITIES = {"title": 1, "note": 2, "vector_column": 3, "vector_row": 2, "lexical": 4, "lexical_exact_column": 5}
 EXACT_BONUS, TOKEN_BONUS = 0.05, 0.04
+#: Rows and queries that meet in one block, about.
+ROW_BLOCK, QUERY_BLOCK = 32_768, 2_048
 
 
 def pool_size(limit: int) -> int:
@@ -46,10 +50,29 @@ def nearest(rows: DataFrame, query: Column, k: int, vector: str = "embedding", t
 
 
 def nearest_each(rows: DataFrame, queries: DataFrame, item: str, k: int, vector: str = "embedding") -> DataFrame:
-    """query_id, item, distance: for each of queries (query_id, q) the k rows of least cosine distance, exactly: a top-k of each query in every task, then of these."""
-    pairs = rows.where(F.col(vector).isNotNull()).crossJoin(queries).select("query_id", item, (F.round(cosine_distance(F.col(vector), F.col("q")), 6) + F.lit(0.0)).alias("distance"))
-    order = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), item)
-    return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    """query_id, item, distance: for each of queries (query_id, q) the k rows of least cosine distance, exactly: block against block, a top-k of each query in every block, then of these."""
+    near = nearest_in_groups(rows.select(F.lit(0).alias("group"), F.col(item).alias("item"), F.col(vector).alias("vector")), queries.select(F.lit(0).alias("group"), "query_id", "q"), k)
+    return near.withColumnRenamed("item", item)
+
+
+def nearest_in_groups(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, item, distance: the k nearest of the rows (group, item, vector) of each query's groups (group, query_id, q), by cosine distance to 6 decimals, then by item.
+
+    Groups are cut into blocks of about ROW_BLOCK rows and QUERY_BLOCK queries; each pair of blocks is one small product of matrices (`blocks.nearest_in_block`).
+    Groups are few: cells of an index, or one.
+    """
+    rows = rows.where(F.col("vector").isNotNull())
+    n_rows, n_queries = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_r")), queries.groupBy("group").agg(F.count(F.lit(1)).alias("_q"))
+    cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = n_rows.join(n_queries, "group").select("group", cut("_r", ROW_BLOCK).alias("_r"), cut("_q", QUERY_BLOCK).alias("_q"))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(F.broadcast(sizes), "group").select("group", F.pmod(F.xxhash64("item", "vector"), "_r").cast("int").alias("row_block"), others("_q").alias("query_block"), "item", "vector")
+    right = queries.join(F.broadcast(sizes), "group").select("group", others("_r").alias("row_block"), F.pmod(F.xxhash64("query_id", "q"), "_q").cast("int").alias("query_block"), "query_id", "q")
+    keys, kinds = ["group", "row_block", "query_block"], dict(left.dtypes) | dict(right.dtypes)
+    schema = f"query_id {kinds['query_id']}, item {kinds['item']}, distance double"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(nearest_in_block, k=k), schema)
+    order = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "item")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
 def _times(tokens: Column, word: str) -> Column:
