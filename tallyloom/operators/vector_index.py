@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance
+from .search import nearest_in_groups
 
 #: Vectors that cells are learned from at most, those of least hash of the item; that bounds what the driver gets.
 SAMPLE = 20_000
@@ -66,6 +65,5 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     if not len(centres):
         return spark.createDataFrame([], "query_id long, item long, distance double")
     asked = _in_cells(queries.select("query_id", "q"), "q", centres, min(probes, len(centres)))
-    pairs = spark.read.parquet(f"{path}/cells").join(asked, "cell").select("query_id", "item", (F.round(cosine_distance(F.col("vector"), F.col("q")), 6) + F.lit(0.0)).alias("distance"))
-    order = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "item")
-    return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    rows = spark.read.parquet(f"{path}/cells").withColumnRenamed("cell", "group")
+    return nearest_in_groups(rows, asked.withColumnRenamed("cell", "group"), k)
