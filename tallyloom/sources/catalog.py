@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_tokens
+from .staging import written
 
 KINDS = ("yearbook", "major_statistics")
 PERIODS = ("", "H1", "H2")
@@ -85,13 +86,18 @@ def duplicates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def assign_ids(new: DataFrame, order: list[str], id_col: str, start: int = 0) -> DataFrame:
-    """Consecutive ids in a fixed order, so that reruns agree. Ranks are counted within ranges of the order, not in one task."""
-    ranged = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    """Consecutive ids in a fixed order, so that reruns agree. Ranks are counted within ranges of the order, not in one task.
+
+    The ranges are a written table: planned twice, for the rows and for the ranges' sizes, they need not be cut alike, and ids would repeat and differ from table to table.
+    """
+    empty = [f.name for f in new.schema if isinstance(f.dataType, T.NullType)]  # no file can hold these
+    ranged = new.drop(*empty).repartitionByRange(*order).sortWithinPartitions(*order)
+    table = written(ranged.withColumn("_g", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_g", 33))
     # One row for each partition.
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = table.groupBy("_part").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(F.broadcast(bases), "_part").withColumn(id_col, F.col("_base") + F.col("_place") + start).drop("_part", "_place", "_base")
+    numbered = table.join(F.broadcast(bases), "_part").withColumn(id_col, F.col("_g") - F.col("_first") + F.col("_base") + start + 1)
+    return numbered.select(*[F.lit(None).alias(c) if c in empty else F.col(c) for c in new.columns if c != id_col], id_col)
 
 
 def check_edition(statistics: DataFrame, year: int) -> list[str]:
