@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_label
-from ..sources.staging import written
+from ..sources.staging import shuffled, written
 
 # Fixed value: characters of a chunk.
 LENGTH = 800
@@ -74,20 +74,20 @@ def pack_rows(labels: DataFrame, key: str, place: str, label: str, room: str, gl
     ends = sums.groupBy("key", F.expr("end div room").alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("end", "pos"))).alias("ends"))
     asked = sums.select("key", "pos", (F.col("start") + F.col("room")).alias("most"), F.explode(F.array(F.expr("(start + room) div room"), F.expr("(start + room) div room - 1"))).alias("stretch"))
     fits = F.array_max(F.transform(F.filter("ends", lambda e: e["end"] <= F.col("most")), lambda e: e["pos"]))
-    after = asked.join(ends, ["key", "stretch"], "left").groupBy("key", "pos").agg((F.greatest(F.max(fits), F.col("pos")) + 1).alias("next"))
+    after = asked.join(shuffled(ends), ["key", "stretch"], "left").groupBy("key", "pos").agg((F.greatest(F.max(fits), F.col("pos")) + 1).alias("next"))
     jumps = written(after, "jumps")
     marks, pointers = written(jumps.where("pos = 0").select("key", "pos"), "marks"), jumps
     while True:
-        reached = marks.join(pointers, ["key", "pos"]).join(jumps.select("key", F.col("pos").alias("next")), ["key", "next"], "left_semi").select("key", F.col("next").alias("pos"))
+        reached = marks.join(shuffled(pointers), ["key", "pos"]).join(shuffled(jumps.select("key", F.col("pos").alias("next"))), ["key", "next"], "left_semi").select("key", F.col("next").alias("pos"))
         more = written(marks.union(reached).distinct(), "marks")
         if more.count() == marks.count():
             break
         onward = pointers.select("key", F.col("pos").alias("next"), F.col("next").alias("beyond"))
-        pointers = written(pointers.join(onward, ["key", "next"]).select("key", "pos", F.col("beyond").alias("next")), "pointers")
+        pointers = written(pointers.join(shuffled(onward), ["key", "next"]).select("key", "pos", F.col("beyond").alias("next")), "pointers")
         marks = more
     starts = in_order(marks.withColumnRenamed("pos", "place"), "key", "place").select("key", F.col("place").alias("from"), F.col("pos").cast("int").alias("chunk_no"))
-    spans = starts.join(jumps.withColumnRenamed("pos", "from"), ["key", "from"]).select("key", "chunk_no", F.explode(F.sequence("from", F.col("next") - 1)).alias("pos"))
-    pieces = spans.join(sums.select("key", "pos", "label"), ["key", "pos"]).groupBy("key", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x"))
+    spans = starts.join(shuffled(jumps.withColumnRenamed("pos", "from")), ["key", "from"]).select("key", "chunk_no", F.explode(F.sequence("from", F.col("next") - 1)).alias("pos"))
+    pieces = spans.join(shuffled(sums.select("key", "pos", "label")), ["key", "pos"]).groupBy("key", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x"))
     return pieces.select(F.col("key").alias(key), "chunk_no", F.array_join(F.transform("x", lambda p: p["label"]), glue).alias("text"))
 
 

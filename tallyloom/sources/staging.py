@@ -22,3 +22,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as one side of a join that is to be shuffled. Cells and positions are small as files and many as rows, so that by the files' size they would be collected and broadcast."""
+    return df.hint("merge")
