@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import canonical_key, is_whole
 from ..functions.numbers import header_year, is_missing
 from ..functions.text import clean_label, compact_hangul, display_label, is_total, label_key, label_keys, leaf, once, short_label
+from ..sources.staging import shuffled, written
 
 # Words by which a request names a column by what it holds.
 YEAR_NAMES = ("year", "date", "연도", "년도")
@@ -41,7 +42,7 @@ def resolve_columns(profiles: DataFrame, asked: DataFrame, keys: list[str]) -> D
         .when((want_key != "") & (key != "") & (key.contains(want_key) | want_key.contains(key)), 4)
         .when(holds, 5)
     )
-    hits = own.join(want, keys).withColumn("step", step).where("step IS NOT NULL")
+    hits = own.join(shuffled(want), keys).withColumn("step", step).where("step IS NOT NULL")
     return _first(hits, [*keys, "requested"], F.col("step"), F.col("col_no")).select(*keys, "requested", "column", "step")
 
 
@@ -56,7 +57,7 @@ def resolve_values(long: DataFrame, asked: DataFrame, keys: list[str]) -> DataFr
     part = (F.length("want") >= 2) & F.exists("all_keys", lambda k: k.contains(F.col("want")))
     step = F.when(F.col("text") == F.col("plain"), 1).when(F.arrays_overlap("all_keys", "wants"), 2).when(part, 3)
     group = [*keys, "column", "requested"]
-    hits = want.join(texts, [*keys, "column"], "left").withColumn("step", step)
+    hits = want.join(shuffled(texts), [*keys, "column"], "left").withColumn("step", step)
     best = hits.withColumn("best", F.min("step").over(W.partitionBy(*group)))
     fits = F.array_sort(F.collect_set(F.when(F.col("step") == F.col("best"), F.col("text"))))
     out = best.groupBy(*group).agg(fits.alias("fits"))
@@ -77,15 +78,16 @@ def exact_filters(long: DataFrame, profiles: DataFrame, filters: list[tuple[str,
     for column, values in by_column.items():
         named = resolve_columns(profiles, tables.withColumn("requested", F.lit(column)), keys).select(*keys, "column")
         asked = named.join(F.broadcast(spark.createDataFrame([(v,) for v in values], "requested string")))  # the request's few values
-        found = resolve_values(left, asked, keys)
+        found = written(resolve_values(left, asked, keys), "found")
         notes = found if notes is None else notes.unionByName(found)
-        rows = left.join(found.where("value IS NOT NULL").select(*keys, "column", F.col("value").alias("text")), [*keys, "column", "text"], "left_semi").select(*keys, "row_no").distinct()
+        rows = left.join(shuffled(found.where("value IS NOT NULL").select(*keys, "column", F.col("value").alias("text"))), [*keys, "column", "text"], "left_semi").select(*keys, "row_no").distinct()
         # A table without such a column isn't filtered by it, but needs one of the columns.
-        kept = left.join(rows, [*keys, "row_no"], "left_semi")
-        left = kept.unionByName(left.join(named.select(*keys).distinct(), keys, "left_anti")) if len(by_column) > 1 else kept
+        kept = left.join(shuffled(rows), [*keys, "row_no"], "left_semi")
+        # Written, so that a task holds the sorts of one column, and no column is resolved again for the next.
+        left = written(kept.unionByName(left.join(shuffled(named.select(*keys).distinct()), keys, "left_anti")), "left") if len(by_column) > 1 else kept
     if notes is None:
         return long, spark.createDataFrame([], "requested string")
-    return left.join(notes.select(*keys).distinct(), keys, "left_semi"), notes
+    return left.join(shuffled(notes.select(*keys).distinct()), keys, "left_semi"), notes
 
 
 def _tokens(c: Column) -> Column:
@@ -378,16 +380,16 @@ def grid_cells(grid: DataFrame, keys: list[str], loading: bool = True) -> DataFr
     from . import cells
 
     ends = header_ends(row_kinds(grid, keys, loading), keys, loading)
-    known = grid.join(ends, keys)
+    known = grid.join(shuffled(ends), keys)
     names = cells.header_names(known, keys, F.greatest(F.col("first_data"), F.lit(1)))
     if not loading:
         names = names.withColumn("column", F.regexp_replace("column", "_([0-9]+)$", " #$1"))
     width = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("width"))
-    data = known.where("r >= first_data").join(names, [*keys, "c"]).withColumn("text", clean_label(F.col("text"))).join(width, keys)
+    data = known.where("r >= first_data").join(shuffled(names), [*keys, "c"]).withColumn("text", clean_label(F.col("text"))).join(shuffled(width), keys)
     same = data.groupBy(*keys, "r").agg(F.count_if(F.col("text") == F.col("column")).alias("same"), F.max("width").alias("width"), F.count_if(F.col("text") != "").alias("filled"))
     repeats = F.col("same") >= (F.greatest(F.lit(2), F.floor(F.col("width") / 2)) if loading else F.least(F.lit(2), F.col("width")))
     kept = same.where(~repeats & (F.col("filled") > 0)).withColumn("row_no", F.row_number().over(W.partitionBy(*keys).orderBy("r")) - 1).select(*keys, "r", "row_no")
-    return data.join(kept, [*keys, "r"]).select(*keys, "row_no", F.col("c").alias("col_no"), "column", "text")
+    return data.join(shuffled(kept), [*keys, "r"]).select(*keys, "row_no", F.col("c").alias("col_no"), "column", "text")
 
 
 def markdown(long: DataFrame, keys: list[str]) -> DataFrame:
