@@ -13,7 +13,7 @@ from ..functions.numbers import parse_number, parse_year
 from ..operators import cells, compare, interpret, search
 from ..sources import catalog as cat
 from ..sources import parsing
-from ..sources.staging import scratch
+from ..sources.staging import scratch, shuffled, written
 from .queries import fixture, query, read
 
 K = ["k"]
@@ -202,11 +202,16 @@ def edition_replace(spark, d):
     """K1, K2, K4: two editions loaded, one replaced by a part of it without contacts, read again from disk."""
     c, path = fixture(spark, d), scratch(spark, "editions")
 
+    # What belongs to the two editions is met once, and not again for each check and each load.
+    both = F.col("pub_id").isin(19960, 19961)
+    statistics = written(c.statistics.where(both).withColumn("ordinal", F.lit(1)), "statistics")
+    theirs = lambda df, name: written(df.join(shuffled(statistics.select("stat_id", "pub_id", "unit")), "stat_id"), name)
+    publications, tables, contacts = written(c.publications.where(both), "publications"), theirs(c.stat_tables, "tables"), theirs(c.contacts, "contacts")
+
     def tables_of(pub_id: int, chosen=None) -> dict[str, DataFrame]:
-        s = c.statistics.where(F.col("pub_id") == pub_id)
-        s = (s if chosen is None else s.where(chosen)).withColumn("ordinal", F.lit(1))
-        own = lambda df: df.join(s.select("stat_id"), "stat_id", "left_semi")
-        return {"publications": c.publications.where(F.col("pub_id") == pub_id), "statistics": s, "stat_tables": own(c.stat_tables), "contacts": own(c.contacts)}
+        own = F.col("pub_id") == pub_id
+        of = lambda df: df.where(own if chosen is None else own & chosen)
+        return {"publications": publications.where(own), "statistics": of(statistics), "stat_tables": of(tables), "contacts": of(contacts)}
 
     loaded = spark.createDataFrame([], cat.SCHEMAS["publications"])
     cat.load_edition(loaded, tables_of(19960), path)
