@@ -4,6 +4,7 @@ import collections
 import glob
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -49,6 +50,39 @@ def test_index_of_odd_rows(spark, tmp_path):
     assert counts == {"a": 3, "b": 3, "x": 1, "été": 1, "b_1": 1}
 
 
+def test_places_are_gathered_before_the_shuffle(spark, data, tmp_path):
+    path = str(tmp_path / "index")
+    inverted.build(read(spark, data, "documents"), "doc_id", "text", path)
+    # Not a row for each word of each text.
+    n_places = spark.read.parquet(f"{path}/words").agg(F.sum("n_items")).first()[0]
+    assert spark.read.parquet(f"{path}/postings").count() < n_places / 2
+    plan = inverted.ranked(spark, path, ["the", "and"], 25)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ObjectHashAggregate(keys=[item") >= 2
+
+
+def test_gathering_in_parts(monkeypatch):
+    texts = [(7, ["a", "b", "a"]), (None, []), (8, ["b"]), (7, ["a"]), (9, []), (10, ["c", "a", "c", "a"])]
+    want = collections.Counter((w, k, i) for k, ws in texts for i, w in enumerate(ws))
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts], pa.int64()), pa.array([ws for _, ws in texts], pa.list_(pa.string()))], names=["item", "tokens"])
+    for at_once, items in ((1 << 20, 128), (1 << 20, 1), (3, 2), (1, 2)):
+        monkeypatch.setattr(inverted, "AT_ONCE", at_once)
+        monkeypatch.setattr(inverted, "ITEMS", items)
+        for parts in ([batch], [batch.slice(0, 0), batch.slice(1, 3), batch.slice(4), batch.slice(0, 1)]):
+            rows = [r for b in inverted._gather(iter(parts)) for r in b.to_pylist()]
+            assert collections.Counter((r["word"], k, i) for r in rows for k, at in zip(r["items"], r["positions"], strict=True) for i in at) == want
+            assert all(len(r["items"]) <= items and all(list(at) == sorted(at) for at in r["positions"]) for r in rows)
+
+
+def test_index_of_items_in_several_rows(spark, tmp_path):
+    rows = [("x", "a b"), ("x", "b a"), (None, "a"), (None, "a b"), ("y", "a")]
+    path = str(tmp_path / "index")
+    inverted.build(spark.createDataFrame(rows, "id string, t string"), "id", "t", path)
+    assert {r["word"]: r["n_items"] for r in spark.read.parquet(f"{path}/words").collect()} == {"a": 3, "b": 2}
+    hits = {r["item"]: [tuple(h) for h in r["hits"]] for r in inverted.containing(spark, path, ["a", "b"]).collect()}
+    assert hits == {"x": [(0, "a"), (0, "b"), (1, "a"), (1, "b")]}
+    assert {r["item"]: len(r["hits"]) for r in inverted.containing(spark, path, ["a"]).collect()} == {"x": 2, None: 2, "y": 1}
+
+
 def test_recall_of_the_whole_query_set(spark, data):
     want = collections.defaultdict(dict)
     for r in QUERIES["vector_topk_all"](spark, data).collect():
