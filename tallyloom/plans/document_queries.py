@@ -6,10 +6,12 @@ Customers stand in for statistics: those of one nation and one thousand keys are
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,12 @@ def yearbook_archive(rows: pd.DataFrame) -> bytes:
     """Contents without the customers whose key 10 divides, then sections with a cover, a table without a heading, and the customers; the imprint; and a heading that is none."""
     rows = rows.sort_values(["section_no", "k"])
     lines, body = [], []
-    for no, part in rows.groupby("section_no"):
-        segment = part["c_mktsegment"].iloc[0]
+    for no, same in itertools.groupby(rows.itertuples(), lambda c: c.section_no):
+        part = list(same)
+        segment = part[0].c_mktsegment
         lines.append([f"제 {no} 절 부문{segment} 3", ""])
         body += [paragraph("", True), table([f"제 {no} 절"], [f"부문 {segment}"], [f"Segment {segment}"]), table(["가", "나"], ["1", "2"])]
-        for c in part.itertuples():
+        for c in part:
             title = f"고객{c.c_custkey}"
             if c.c_custkey % 10:
                 lines.append([f"1-{no}-{c.k} {title} {c.k}", ""])
@@ -68,7 +71,7 @@ def yearbooks(spark, d) -> tuple[DataFrame, DataFrame]:
     c = c.withColumns({"part": F.expr("c_custkey div 1000"), "doc": F.concat_ws("-", F.expr("c_custkey div 1000"), "c_nationkey")})
     segments = c.select("c_mktsegment").distinct().withColumn("section_no", F.expr("row_number() over (order by c_mktsegment)"))
     c = c.join(F.broadcast(segments), "c_mktsegment").withColumn("k", F.expr("row_number() over (partition by doc, c_mktsegment order by c_custkey)"))
-    made = c.groupBy("doc").applyInPandas(lambda f: pd.DataFrame({"doc": f["doc"].iloc[:1], "content": [yearbook_archive(f)]}), "doc string, content binary")
+    made = c.groupBy("doc").applyInArrow(lambda t: pa.table({"doc": t["doc"][:1], "content": [yearbook_archive(t.to_pandas())]}), "doc string, content binary")
     pubs = c.select("doc", F.concat(F.lit("yearbook_"), "part").alias("publication_kind"), (F.col("c_nationkey") + 1990).alias("year"), F.lit("").alias("period"), F.concat("n_name", F.lit(" 연보")).alias("title")).distinct()
     return pubs, made
 

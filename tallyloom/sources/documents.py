@@ -96,7 +96,8 @@ def table_bodies(data: DataFrame) -> DataFrame:
     captions = interpret.caption_rows(spans, keys, F.col("n_cols"))
     caption = captions.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: clean_label(x["text"])), " ").alias("caption"))
     grid = cell_ops.expand_spans(spans, keys).join(captions.select(*keys, F.col("row").alias("r")), [*keys, "r"], "left_anti")
-    grid = grid.join(interpret.active_columns(spans, keys), [*keys, "c"], "left_semi")
+    # Names, ends of headers and rows are all made of the grid.
+    grid = written(grid.join(interpret.active_columns(spans, keys), [*keys, "c"], "left_semi"), "grid")
     long = interpret.grid_cells(grid, keys)
     rows = long.groupBy(*keys, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "column", "text"))).alias("row"))
     record = F.map_from_entries(F.transform("row", lambda c: F.struct(c["column"], F.coalesce(c["text"], F.lit("")))))
@@ -125,7 +126,7 @@ def yearbook(blocks: DataFrame) -> dict[str, DataFrame]:
     gloss = heads.groupBy(DOC, F.col("h.ref_id").alias("ref_id")).agg(F.min_by("h.en", F.when(F.col("h.en").isNotNull(), F.col("order"))).alias("later_en"))
     units = written(units.join(gloss, [DOC, "ref_id"], "left").withColumn("title_en", F.coalesce("title_en", "later_en")).drop("later_en"), "units")
     own = body.withColumn("ref_id", F.col("now.ref_id")).join(units.select(DOC, "ref_id"), [DOC, "ref_id"])
-    data = own.where("role = 'data'")
+    data = written(own.where("role = 'data'").select(DOC, NO, "ref_id", "n_rows", "n_cols", "plain", "cells"), "data")
     bodies = table_bodies(data).join(data.select(DOC, NO, "ref_id", "n_rows", "n_cols", "plain"), [DOC, NO])
     said = F.coalesce("caption", "plain")
     bodies = written(bodies.withColumns({"base_date": parsing.base_date(said), "unit": parsing.unit(said)}), "bodies")

@@ -1,5 +1,6 @@
 """Archives as a data source, whole documents as editions, and loading of many editions at once."""
 
+import io
 import json
 
 import pandas as pd
@@ -68,6 +69,37 @@ def test_yearbook(blocks):
     assert {(r["difference"], r["title"]) for r in parts["differences"].where("doc = 'a'").collect()} == {("toc_only", "세대"), ("body_only", "세대 현황"), ("toc_only", "여성"), ("body_only", "여자")}
 
 
+def test_section_files_in_pieces(monkeypatch):
+    whole = list(archive.blocks_of(book()))
+    for n in (1, 7, 300):
+        monkeypatch.setattr(archive, "PIECE", n)
+        assert list(archive.blocks_of(book())) == whole and len(whole) == 22
+    read = []
+
+    class Noted(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    xml = (dq.NAMES + P("one") + P("two") * 50 + "</hs:sec>").encode()
+    # The first block is there before the file is read to its end.
+    assert next(iter(archive.section_blocks(Noted(xml), True))) == ("paragraph", "one") and sum(read) < len(xml) / 2
+    with pytest.raises(SyntaxError):
+        list(archive.section_blocks(io.BytesIO(xml[:-5]), True))
+
+
+def test_tables_are_read_from_written_grids(blocks, monkeypatch):
+    made, write = {}, documents.written
+
+    def noted(df, label):
+        made[label] = df.inputFiles()
+        return write(df, label)
+
+    monkeypatch.setattr(documents, "written", noted)
+    documents.yearbook(blocks)
+    assert not [f for f in made["bodies"] if "/body-" in f or "/units-" in f] and [f for f in made["bodies"] if "/grid-" in f]
+
+
 def test_half_yearly_collection(spark):
     rows = archive.archive_blocks(spark.createDataFrame([("h", half_year())], "doc string, content binary"), "doc").withColumnRenamed("path", "doc").withColumn("year", F.lit(2025))
     parts = documents.major_statistics(rows)
