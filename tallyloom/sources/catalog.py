@@ -22,8 +22,6 @@ from .staging import written
 
 KINDS = ("yearbook", "major_statistics")
 PERIODS = ("", "H1", "H2")
-#: The partition of editions without a period: it can't be named by an empty text.
-ANNUAL = "annual"
 # Other spellings of the halves of a year.
 PERIOD_ALIASES = {"": "", "none": "", "annual": "", "h1": "H1", "1h": "H1", "first_half": "H1", "상반기": "H1", "h2": "H2", "2h": "H2", "second_half": "H2", "하반기": "H2"}
 
@@ -41,9 +39,11 @@ SCHEMAS = {
 CHILDREN = ("stat_tables", "table_search_chunks", "footnotes", "contacts")
 IDS = {"publications": "pub_id", "statistics": "stat_id", "stat_tables": "table_id", "table_search_chunks": "chunk_id", "footnotes": "note_id", "contacts": "contact_id"}
 EDITION = ("publication_kind", "year", "period")
-#: Under a catalogue's path: a row for each edition that was loaded (with the version its tables were written under) or removed (without one), the last turn counts.
+#: Under a catalogue's path: a row for each edition that was loaded (with the version and the shelf its tables were written under) or removed (without them), the last turn counts.
 SWITCHES = "switches"
-SWITCH_SCHEMA = "publication_kind string, year int, period string, version string, turn long"
+SWITCH_SCHEMA = "publication_kind string, year int, period string, version string, shelf int, turn long"
+#: Editions of one load that share a partition, about: files are for so many, not for each.
+SHELF = 1000
 
 
 def period_of(value: str | None) -> str:
@@ -76,7 +76,7 @@ class Catalog:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Catalog:
         """All tables at one state: what is loaded or removed after this doesn't show."""
-        live = live_versions(spark, path)
+        live = live_state(spark, path)
         return cls(*(read_table(spark, path, n, live) for n in ("publications", "statistics", "stat_tables", "footnotes", "contacts", "table_search_chunks")))
 
 
@@ -130,50 +130,78 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def _versions(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table with every version that was ever written, finished or not, and the columns of its partitions. The only place that knows how editions are written."""
+    """A table with every version that was ever written, finished or not, and the columns of its editions and partitions. With `_shelve` the only place that knows how editions are written."""
     fields = {f.name: f for f in T.StructType.fromDDL(SCHEMAS[name])}
-    parts = T.StructType.fromDDL("publication_kind string, year int, period string, version string")
+    parts = T.StructType.fromDDL("publication_kind string, year int, period string, version string, shelf int")
     return _stored(spark, f"{path}/{name}", T.StructType([*fields.values(), *(f for f in parts if f.name not in fields)]))
 
 
 def _place() -> Column:
-    return F.concat_ws("/", *EDITION, "version")
+    return F.concat_ws("/", "version", "shelf")
 
 
-def live_versions(spark: SparkSession, path: str) -> list[str]:
-    """The partitions that count: of each edition the version that was switched to last, unless it was removed. A row for each edition comes to the driver."""
-    last = F.max_by("version", F.struct("turn", "version")).alias("version")
-    switches = _stored(spark, f"{path}/{SWITCHES}", T.StructType.fromDDL(SWITCH_SCHEMA))
-    return [r[0] for r in switches.groupBy(*EDITION).agg(last).where("version IS NOT NULL").select(_place()).collect()]
+def _shelf(shelves: int) -> Column:
+    """The shelf of an edition in a load of so many shelves."""
+    return F.pmod(F.xxhash64("publication_kind", F.col("year").cast("int"), F.coalesce("period", F.lit(""))), F.lit(shelves)).cast("int").alias("shelf")
 
 
-def _switch(editions: DataFrame, path: str, version: str | None) -> None:
+def _shelve(rows: DataFrame, name: str, path: str, version: str, shelves: int) -> None:
+    """Write rows of many editions (with publication_kind, year and period) under a version: a shelf is a partition, tasks have ranges of shelves, editions and ids."""
+    keyed = rows.withColumns({"year": F.col("year").cast("int"), "period": F.coalesce("period", F.lit(""))})
+    order = ["shelf", *EDITION, IDS[name]]
+    fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]) if f.name not in EDITION]
+    own = [(F.col(f.name) if f.name in keyed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    table = keyed.select(*own, *EDITION, _shelf(shelves))
+    table.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shelf").parquet(f"{path}/{name}/version={version}")
+
+
+@dataclass(frozen=True)
+class State:
+    """What counts at one moment: the editions, with version and shelf, and the partitions that they are in."""
+
+    editions: DataFrame
+    places: list[str]
+
+
+def _switches(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, f"{path}/{SWITCHES}", T.StructType.fromDDL(SWITCH_SCHEMA))
+
+
+def live_state(spark: SparkSession, path: str) -> State:
+    """Of each edition the version that was switched to last, unless it was removed. A text for each partition comes to the driver; the editions stay a table, of the files that there are now."""
+    last = F.max_by(F.struct("version", "shelf"), F.struct("turn", "version")).alias("last")
+    editions = _switches(spark, path).groupBy(*EDITION).agg(last).where("last.version IS NOT NULL").select(*EDITION, "last.*")
+    return State(editions, [r[0] for r in editions.select(_place()).distinct().collect()])
+
+
+def _switch(editions: DataFrame, path: str, version: str | None, shelves: int = 1) -> None:
     """Point these editions to a version, all at once: one file is added."""
-    spark = editions.sparkSession
-    turn = _stored(spark, f"{path}/{SWITCHES}", T.StructType.fromDDL(SWITCH_SCHEMA)).agg(F.coalesce(F.max("turn"), F.lit(0)) + 1).first()[0]
-    annual = F.when(F.coalesce("period", F.lit("")) == "", ANNUAL).otherwise(F.col("period")).alias("period")
-    rows = editions.select("publication_kind", F.col("year").cast("int").alias("year"), annual, F.lit(version).cast("string").alias("version"), F.lit(turn).cast("long").alias("turn"))
+    turn = _switches(editions.sparkSession, path).agg(F.coalesce(F.max("turn"), F.lit(0)) + 1).first()[0]
+    shelf = _shelf(shelves) if version else F.lit(None).cast("int").alias("shelf")
+    rows = editions.select("publication_kind", F.col("year").cast("int").alias("year"), F.coalesce("period", F.lit("")).alias("period"), F.lit(version).cast("string").alias("version"), shelf, F.lit(turn).cast("long").alias("turn"))
     rows.coalesce(1).write.mode("append").parquet(f"{path}/{SWITCHES}")
 
 
-def read_table(spark: SparkSession, path: str, name: str, live: list[str] | None = None) -> DataFrame:
-    """A table of the catalogue under path, without rows if no edition is loaded. live: the partitions that count, those of the moment if not given.
+def _rows_of(spark: SparkSession, path: str, name: str, live: State) -> DataFrame:
+    """Rows of the editions of a state. Its partitions are a filter, so only their files are read; editions that count no more may share a partition with some that do."""
+    rows, e = _versions(spark, path, name).where(_place().isin(live.places)), live.editions
+    return rows.join(e, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(e[c]) for c in (*EDITION, "version")]), "left_semi")
 
-    The list is a filter of partitions, so only files of live versions are read.
-    """
-    rows = _versions(spark, path, name).where(_place().isin(live_versions(spark, path) if live is None else live))
-    return rows.withColumn("period", F.when(F.col("period") != ANNUAL, F.col("period")).otherwise("")).select(*[f.name for f in T.StructType.fromDDL(SCHEMAS[name])])
+
+def read_table(spark: SparkSession, path: str, name: str, live: State | None = None) -> DataFrame:
+    """A table of the catalogue under path, without rows if no edition is loaded. live: what counts, that of the moment if not given."""
+    return conform(_rows_of(spark, path, name, live or live_state(spark, path)), name)
 
 
-def taken_ids(new: dict[str, DataFrame], path: str, live: list[str]) -> list[str]:
-    """Which of the new tables have ids that rows of these partitions have already; one job."""
+def taken_ids(new: dict[str, DataFrame], path: str, live: State) -> list[str]:
+    """Which of the new tables have ids that rows of these editions have already; one job."""
     spark = new["publications"].sparkSession
     given = {name: key for name, key in IDS.items() if name in new and key in new[name].columns}
     met = [
         new[name].select(key).join(read_table(spark, path, name, live).select(key), key, "left_semi").limit(1).select(F.lit(f"ids of {name} are taken").alias("fault"))
         for name, key in given.items()
     ]
-    return sorted(r[0] for r in reduce(DataFrame.unionByName, met).collect()) if met and live else []
+    return sorted(r[0] for r in reduce(DataFrame.unionByName, met).collect()) if met and live.places else []
 
 
 def editions_of(publications: DataFrame) -> list[tuple[str, int, str]]:
@@ -204,26 +232,27 @@ def load_edition(publications: DataFrame, new: dict[str, DataFrame], path: str,
     loaded = conform(publications, "publications").unionByName(read_table(spark, path, "publications"))
     if mode == "reject" and editions[0] in editions_of(loaded):
         raise ValueError("the edition is loaded already")
-    own = f"{kind}/{year}/{period or ANNUAL}/"
-    faults = taken_ids(new, path, [place for place in live_versions(spark, path) if not place.startswith(own)])
+    live = live_state(spark, path)
+    own = (F.col("publication_kind") == kind) & (F.col("year") == year) & (F.col("period") == period)
+    faults = taken_ids(new, path, State(live.editions.where(~own), live.places))
     if faults:
         raise ValueError("; ".join(faults))
     version = uuid.uuid4().hex
-    place = f"publication_kind={kind}/year={year}/period={period or ANNUAL}/version={version}"
+    edition = [F.lit(kind).alias("publication_kind"), F.lit(year).cast("int").alias("year"), F.lit(period).alias("period")]
     for name in (*CHILDREN, "statistics", "publications"):
         if name in new:
-            conform(new[name], name).drop(*EDITION).write.parquet(f"{path}/{name}/{place}")
+            conform(new[name], name).drop(*EDITION).select("*", *edition).write.parquet(f"{path}/{name}/version={version}/shelf=0")
     _switch(spark.createDataFrame(editions, "publication_kind string, year int, period string"), path, version)
 
 
 def load_editions(new: dict[str, DataFrame], path: str) -> None:
     """Check and write any number of new editions at once. Rows carry publication_kind, year and period; an edition that is there already is refused.
 
-    Each table is one job that writes partitions of a new version; then one added file makes all the editions count at once. What broke off shows nowhere, and the next try
-    is written beside it. Ids that a loaded edition has are refused.
+    Each table is one job that writes a new version, about SHELF editions to a partition; then one added file makes all the editions count at once. What broke off shows nowhere, and
+    the next try is written beside it. Ids that a loaded edition has are refused.
     """
     spark = new["publications"].sparkSession
-    edition, live, version = list(EDITION), live_versions(spark, path), uuid.uuid4().hex
+    edition, live, version = list(EDITION), live_state(spark, path), uuid.uuid4().hex
     pubs = new["publications"].select(*edition)
     faults = [f"{r['publication_kind']} {r['year']} {r['period']} comes more than once" for r in pubs.groupBy(*edition).count().where("count > 1").limit(5).collect()]
     faults += [f"no such edition: {r['publication_kind']} {r['year']} {r['period']}" for r in pubs.where(~F.coalesce(F.col("publication_kind").rlike("^[0-9A-Za-z_]+$") & F.col("period").isin(*PERIODS) & F.col("year").between(1900, 2100), F.lit(False))).limit(5).collect()]
@@ -235,14 +264,11 @@ def load_editions(new: dict[str, DataFrame], path: str) -> None:
     faults = faults or taken_ids(new, path, live)
     if faults:
         raise ValueError("; ".join(faults))
+    shelves = max(1, math.ceil(pubs.count() / SHELF))
     for name in (*CHILDREN, "statistics", "publications"):
         if name in new:
-            fields = [f for f in T.StructType.fromDDL(SCHEMAS[name]) if f.name not in edition]
-            own = [(F.col(f.name) if f.name in new[name].columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
-            place = F.when(F.col("period") == "", ANNUAL).otherwise(F.col("period")).alias("period")
-            rows = new[name].select(*own, "publication_kind", F.col("year").cast("int").alias("year"), place, F.lit(version).alias("version"))
-            rows.repartition(*edition).write.mode("append").partitionBy(*edition, "version").parquet(f"{path}/{name}")
-    _switch(pubs, path, version)
+            _shelve(new[name], name, path, version, shelves)
+    _switch(pubs, path, version, shelves)
 
 
 def remove_edition(spark: SparkSession, path: str, kind: str, year: int, period: str = "") -> None:
@@ -250,13 +276,27 @@ def remove_edition(spark: SparkSession, path: str, kind: str, year: int, period:
     _switch(spark.createDataFrame([(kind, year, period)], "publication_kind string, year int, period string"), path, None)
 
 
+def _apart(spark: SparkSession, path: str, live: State) -> State:
+    """Editions that share a partition with some that count no more move to a version of their own, all at once. The state after that."""
+    shared = _switches(spark, path).where("version IS NOT NULL").select(*EDITION, "version", "shelf").join(live.editions, [*EDITION, "version"], "left_anti")
+    mixed = live.editions.join(shared.select("version", "shelf").distinct(), ["version", "shelf"], "left_semi").select(*live.editions.columns)
+    moving = State(mixed, [r[0] for r in mixed.select(_place()).distinct().collect()])
+    if not moving.places:
+        return live
+    version, shelves = uuid.uuid4().hex, math.ceil(mixed.count() / SHELF)
+    for name in (*CHILDREN, "statistics", "publications"):
+        _shelve(_rows_of(spark, path, name, moving), name, path, version, shelves)
+    _switch(mixed, path, version, shelves)
+    return live_state(spark, path)
+
+
 def vacuum(spark: SparkSession, path: str) -> int:
     """Empty the partitions of versions that don't count: replaced, removed or broken off. Their number. No load may run meanwhile, nor a reader of an older state."""
-    live, n = live_versions(spark, path), 0
+    live, n = _apart(spark, path, live_state(spark, path)), 0
     for name in ("publications", "statistics", *CHILDREN):
-        for kind, year, period, version in _versions(spark, path, name).where(~_place().isin(live)).select(*EDITION, "version").distinct().collect():
-            place = f"publication_kind={kind}/year={year}/period={period}/version={version}"
-            spark.createDataFrame([], SCHEMAS[name]).drop(*EDITION).write.mode("overwrite").parquet(f"{path}/{name}/{place}")
+        for version, shelf in _versions(spark, path, name).where(~_place().isin(live.places)).select("version", "shelf").distinct().collect():
+            empty = spark.createDataFrame([], T.StructType([f for f in _versions(spark, path, name).schema if f.name not in ("version", "shelf")]))
+            empty.write.mode("overwrite").parquet(f"{path}/{name}/version={version}/shelf={shelf}")
             n += 1
     return n
 
